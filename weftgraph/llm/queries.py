@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, mixing, quality_rules, shared, token_files
+from weftgraph.llm import bpe, fingerprints, mixing, quality_rules, shared, token_files, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -15,10 +15,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.read(spark, sf_dir, "documents")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_documents(spark, sf_dir))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(shared.read(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared.shared_dir(spark, "token-files")
     token_files.write_token_files(_documents(spark, sf_dir), out, public_tokenizers.path(TOKENIZER), END_ID)
@@ -34,5 +42,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_documents(spark, sf_dir), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op3_mix, op5_token_files, op6_quality_rules, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op10_bpe)}
+ORACLES: dict[str, str] = {"op4_url_filter": url_filter.ORACLE}
