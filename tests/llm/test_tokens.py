@@ -83,7 +83,7 @@ def test_decode(spark):
 def test_token_files(spark, tmp_path):
     rows = documents()
     token_files.write_token_files(clashing(spark, rows), str(tmp_path / "t"), PATH, 2)
-    found = token_files.digests(token_files.read_token_files(spark, str(tmp_path / "t"))).collect()
+    found = token_files.digests(spark, str(tmp_path / "t")).collect()
     start, want = 0, []
     for doc_id, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
         x = [*ids(text), 2]

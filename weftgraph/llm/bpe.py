@@ -28,17 +28,18 @@ from weftgraph.llm import shared
 
 LEAF_CHARS = 16_384
 GUARD = 4
-_CACHED_WORDS = 300_000
-_CACHED_CHARS = 64
-#: A space before white space or the end may share a token with it; texts without one split safely at spaces.
-_SHARED_SPACE = re.compile(r" (?:\s|\Z)")
+_CACHED_WORDS = 800_000
+_CACHED_CHARS = 24
+#: White space next to more of it, or at the end, may share a token with it; texts without any split safely.
+_SHARED_SPACE = re.compile(r"\s(?:\s|\Z)")
+_TOGETHER = 100
 
 
 class Codec:
-    """The tokenizers library on one vocabulary, with a bounded cache of space-led words.
+    """The tokenizers library on one vocabulary, with a bounded cache of the parts that texts split into.
 
-    A space that is followed by a character other than white space begins a new word of the pre-tokenizer
-    whatever stands before it, so a text splits there and each part has its own ids.
+    Between characters other than white space, a space begins a new word of the pre-tokenizer and a line feed is one
+    of its own, so a text splits before each and every part has its own ids. A part is kept without its space.
     """
 
     def __init__(self, path: str):
@@ -50,6 +51,10 @@ class Codec:
         self.library.no_padding()
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._words: dict[str, bytes] = {}
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        #: Whether a token begins with a space or a line feed.
+        self._starts = np.zeros(max(vocab.values()) + 1, bool)
+        self._starts[[i for t, i in vocab.items() if t[:1] in "\u0120\u010a"]] = True
         self._names: list[str] | None = None
         self._pieces: list[bytes] | None = None
 
@@ -58,20 +63,37 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        parts = [None if _SHARED_SPACE.search(t) or any(s in t for s in self._special) else t.split(" ") for t in texts]
+        parts = [None if _SHARED_SPACE.search(t) or any(s in t for s in self._special) else t.replace("\n", " \n").split(" ") for t in texts]
         if len(self._words) > _CACHED_WORDS:
             self._words.clear()
         words = self._words
-        new = list(set(chain.from_iterable(p[1:] for p in parts if p)) - words.keys())
-        for w, ids in zip(new, self.plain([" " + w for w in new])):
-            words[w] = np.array(ids, "<u4").tobytes()
+        flat = list(chain.from_iterable(p[1:] for p in parts if p))
+        found = list(map(words.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = dict.fromkeys(flat[i] for i in missing)
+        new = dict(zip(new, self._led_parts(list(new))))
+        for i in missing:
+            found[i] = new[flat[i]]
+        words.update((w, ids) for w, ids in new.items() if len(w) <= _CACHED_CHARS)
         first = self.plain([p[0] if p else t for p, t in zip(parts, texts)])
-        out = [np.array(f, "<u4").tobytes() + b"".join(map(words.__getitem__, p[1:])) if p else np.array(f, "<u4").tobytes() for f, p in zip(first, parts)]
-        for w in new:
-            if len(w) > _CACHED_CHARS:
-                del words[w]
+        out, at = [], 0
+        for f, p in zip(first, parts):
+            n = len(p) - 1 if p else 0
+            out.append(b"".join([np.array(f, "<u4").tobytes(), *found[at : at + n]]))
+            at += n
         return out
 
+    def _led_parts(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each part: joined texts, cut before each token that begins with a space or a line feed."""
+        led = [p if p[:1] == "\n" else " " + p for p in parts]
+        ids = [np.array(x, "<u4") for x in self.plain(["".join(led[i : i + _TOGETHER]) for i in range(0, len(led), _TOGETHER)])]
+        if not ids:
+            return []
+        flat = np.concatenate(ids)
+        cuts = np.flatnonzero(self._starts[flat]).tolist()
+        packed = flat.tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]
+
     def decode(self, rows: list[bytes]) -> list[str]:
         return self.library.decode_batch([np.frombuffer(r, "<u4").tolist() for r in rows], skip_special_tokens=False)
 

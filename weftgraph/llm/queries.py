@@ -30,7 +30,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared.shared_dir(spark, "token-files")
     token_files.write_token_files(_documents(spark, sf_dir), out, public_tokenizers.path(TOKENIZER), END_ID)
-    return token_files.digests(token_files.read_token_files(spark, out))
+    return token_files.digests(spark, out)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ their text. A null text is empty and has the end id alone. Other columns are not
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import shared
@@ -109,7 +108,7 @@ class Reader:
             before += int(x["n"])
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> None:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> None:
     """Encode every row and write the files below `out`: one shuffle, by ranges of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +135,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id
     images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<I", SEEKABLE_MAGIC).decode("latin-1")).option("compression", "none").text(out)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, payload: Column | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document in the files; start counts all ids before it.
 
-    An empty folder gives no rows.
+    payload: what is wanted of the ids instead, taken before the files' places are joined. An empty folder gives no rows.
     """
+    payload = F.col("ids") if payload is None else payload
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +161,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     # One row per file of FILE_BYTES: the only thing that is put in one order.
     base = files.mapInArrow(lengths, "part long, number long, n long").withColumn("base", F.sum("n").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)))
-    found = files.mapInArrow(rows, "part long, number long, doc_id long, at long, n_tokens long, ids binary")
-    return found.join(base.select("part", "number", "base"), ["part", "number"]).select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("at")).alias("start"), "n_tokens", "ids")
+    found = files.mapInArrow(rows, "part long, number long, doc_id long, at long, n_tokens long, ids binary").select("part", "number", "doc_id", "at", "n_tokens", payload.alias("payload"))
+    name = spark.range(0).select(F.lit(b"").alias("ids")).select(payload).columns[0]
+    return found.join(base.select("part", "number", "base"), ["part", "number"]).select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("at")).alias("start"), "n_tokens", F.col("payload").alias(name))
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32): Spark's crc32 is the unsigned one."""
-    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files; Spark's crc32 is the unsigned one."""
+    return read_token_files(spark, path, F.crc32("ids").alias("ids_crc32"))
