@@ -196,3 +196,35 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id
     """
     gone = near_duplicates(docs, like, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+
+
+#: DuckDB SQL for near_duplicates with CONTRACT over documents: every pair with a shingle in common.
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+    ELSE [] END) AS g
+  FROM split
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT a AS doc_id, b AS other FROM links
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+  least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(r.least, d.doc_id) AS kept
+FROM documents d
+LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, fingerprints, mixing, quality_rules, shared, token_files, url_filter
+from weftgraph.llm import bpe, fingerprints, mixing, near_dedup, quality_rules, shared, suffix_dedup, token_files, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), near_dedup.CONTRACT)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_documents(spark, sf_dir))
 
@@ -37,10 +41,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     return bpe.digests(bpe.encode(_documents(spark, sf_dir), path), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op10_bpe)}
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op9_suffix_dedup, op10_bpe)}
+ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
