@@ -1,20 +1,33 @@
-"""From raw documents to token ids in five stages; each reads what the one before wrote."""
+"""From raw documents to token ids in five stages; each reads what the one before wrote.
+
+Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, mixing, quality_rules, shared
+from weftgraph.llm import bpe, mixing, near_dedup, quality_rules, shared, suffix_dedup
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, unchanged."""
     return quality_rules.keep_good(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    return near_dedup.keep_one(docs)
+
+
+def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that occur earlier in the corpus."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources draws them."""
     return mixing.mix(docs)
@@ -25,7 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("quality rules", quality), ("mixing", mixture), ("bpe", tokens)]
+STAGES = [("quality rules", quality), ("near duplicates", one_of_each), ("suffix array", no_repeats), ("mixing", mixture), ("bpe", tokens)]
 #: Compression ratios and token merges have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 

@@ -72,6 +72,7 @@ def test_encode_rows_and_trees(spark):
     for leaf in (16_384, 37):
         out = bpe.digests(bpe.encode(clashing(spark, rows), PATH, leaf_chars=leaf), PATH)
         assert got(out) == brute(rows)
+        assert got(bpe.encode(clashing(spark, rows), PATH, leaf_chars=leaf, digest=True)) == brute(rows)
 
 
 def test_decode(spark):

@@ -28,7 +28,7 @@ from weftgraph.llm import shared
 
 LEAF_CHARS = 16_384
 GUARD = 4
-_CACHED_WORDS = 800_000
+_CACHED_WORDS = 400_000
 _CACHED_CHARS = 24
 #: White space next to more of it, or at the end, may share a token with it; texts without any split safely.
 _SHARED_SPACE = re.compile(r"\s(?:\s|\Z)")
@@ -143,8 +143,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _encode_rows(docs: DataFrame, path: str, schema: str) -> DataFrame:
-    """docs' last column is the text; its packed ids take its place."""
+_IDS = "doc_id long, ids binary"
+_DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _encode_rows(docs: DataFrame, path: str, schema: str, digest: bool = False) -> DataFrame:
+    """docs' last column is the text; its packed ids, or their digests, take its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -153,18 +157,32 @@ def _encode_rows(docs: DataFrame, path: str, schema: str) -> DataFrame:
             for lo, hi, _, _ in shared.pieces(data, offs):
                 part = batch.slice(lo, hi - lo)
                 ids = own.encode(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
+                if digest:
+                    yield _digest_batch(own, part.column(0), ids)
+                else:
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
 
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(doc_id, ids binary) for each row."""
+def _digest_batch(own: Codec, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    cols = [pa.array([len(r) // 4 for r in ids], pa.int64()), pa.array([sha(own.decimal(r)) for r in ids], pa.string()), pa.array([sha(t) for t in own.decode(ids)], pa.string())]
+    return pa.RecordBatch.from_arrays([doc_id, *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, digest: bool = False) -> DataFrame:
+    """(doc_id, ids binary) for each row.
+
+    digest: (doc_id, n_tokens, ids_sha256, decoded_sha256) instead, decoded in the worker that holds the ids.
+    """
     spark = docs.sparkSession
     shared.arrow_sized(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
     longest = rows.agg(F.max(F.length("text"))).first()[0] or 0
-    short = _encode_rows(rows.where(F.length("text") <= 2 * leaf_chars), path, "doc_id long, ids binary")
+    short = _encode_rows(rows.where(F.length("text") <= 2 * leaf_chars), path, _DIGESTS if digest else _IDS, digest)
     if longest <= 2 * leaf_chars:
         return short
     # Rows that repeat are encoded once and counted; (doc_id, digest) names a text on its way through the levels.
@@ -184,7 +202,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         level = _join_rows(pairs, path)
         width = -(-width // 2)
     tree = level.select("doc_id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("doc_id", "ids")
-    return short.unionByName(tree)
+    return short.unionByName(digests(tree, path) if digest else tree)
 
 
 def _join_rows(pairs: DataFrame, path: str) -> DataFrame:
@@ -212,16 +230,11 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 def digests(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows, decoded again."""
 
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
             data, offs = shared.buffers(batch.column(1))
             for lo, hi, _, _ in shared.pieces(data, offs):
-                rows = batch.column(1).slice(lo, hi - lo).to_pylist()
-                cols = [[len(r) // 4 for r in rows], [sha(own.decimal(r)) for r in rows], [sha(t) for t in own.decode(rows)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield _digest_batch(own, batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).to_pylist())
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select("doc_id", "ids").mapInArrow(run, _DIGESTS)

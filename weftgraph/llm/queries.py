@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, fingerprints, mixing, near_dedup, quality_rules, shared, suffix_dedup, token_files, url_filter
+from weftgraph.llm import bpe, fingerprints, mixing, near_dedup, quality_model, quality_rules, shared, suffix_dedup, token_files, token_rollup, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -41,14 +41,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"))
+
+
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.corpus_rollup(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"), shared.shared_dir(spark, "rollup"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_documents(spark, sf_dir))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    return bpe.digests(bpe.encode(_documents(spark, sf_dir), path), path)
+    return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op9_suffix_dedup, op10_bpe)}
-ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op9_suffix_dedup, op10_bpe)}
+ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_token_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
