@@ -1,6 +1,6 @@
-"""Registered queries over the driver's tables, with SQL for each."""
+"""All registered queries over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from weftgraph.plans import catalog_events, catalog_filters, catalog_matches, catalog_state  # noqa: F401
+from weftgraph.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -43,3 +44,9 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder in spark.checkpoint.dir, which all machines share; where unset (tests), a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/weftgraph-checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
