@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed by the log format: names of event ids.
@@ -87,3 +87,12 @@ def strip_zone(path: Column) -> Column:
 def image_name(path: Column) -> Column:
     """The last segment of a path, without "- "."""
     return F.replace(F.element_at(F.split(path, r"\\"), -1), F.lit("- "), F.lit(""))
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row, however often later expressions read them.
+
+    A generator of one row stands between, through which the optimizer does not copy expressions.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(one).alias("_once")).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])

@@ -10,7 +10,7 @@ from weftgraph.plans.registry import query
 from weftgraph.schema import endpoint_schema
 from weftgraph.sources import fixture, osquery, sysmon
 
-_MS = "epoch_ms(ts)"
+_MS = "(epoch_us(ts) // 1000)"
 _SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
 _HOST = "('HOST-' || (user_id % 7))"
 _OHOST = "('host-' || (user_id % 7))"

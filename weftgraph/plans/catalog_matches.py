@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.predicates import Contains, Eq, Gt, Le, StartsWith
+from weftgraph.functions.predicates import Contains, Eq, Gt, Lt, StartsWith
 from weftgraph.operators import analyzers, merge
 from weftgraph.plans import match
 from weftgraph.plans.pattern import Node
@@ -44,10 +44,10 @@ def q_chain_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT DISTINCT {_N} AS nation, {_C} AS customer, {_O} AS "order", {_S} AS supplier FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
-JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderpriority = '1-URGENT' AND s_acctbal < 0"""
+JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderpriority = '1-URGENT' AND s_acctbal < 3000"""
 )
 def q_chain_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Node("Order", "order").where("o_orderpriority", Eq("1-URGENT")).to("supplied_by", Node("Supplier", "supplier").where("s_acctbal_cents", Le(-1)))
+    order = Node("Order", "order").where("o_orderpriority", Eq("1-URGENT")).to("supplied_by", Node("Supplier", "supplier").where("s_acctbal_cents", Lt(300000)))
     return match.bindings(graph(spark, sf_dir), Node("Nation", "nation").to("customers", Node("Customer", "customer").to("orders", order)))
 
 
@@ -145,10 +145,10 @@ def q_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.view_edges(graph(spark, sf_dir), CHAIN)
 
 
-@query(f"SELECT DISTINCT {_S} AS uid, {_P} AS neighbor FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE s_acctbal < 0 AND contains(p_name, 'gear')")
+@query(f"SELECT DISTINCT {_S} AS uid, {_P} AS neighbor FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE s_acctbal < 3000 AND contains(p_name, 'gear')")
 def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
-    return match.neighbors(g, match.nodes(g, Node("Supplier").where("s_acctbal_cents", Le(-1))), "offers", Node("Part").where("p_name", Contains("gear")))
+    return match.neighbors(g, match.nodes(g, Node("Supplier").where("s_acctbal_cents", Lt(300000))), "offers", Node("Part").where("p_name", Contains("gear")))
 
 
 @query(f"SELECT {_O} AS uid, o_orderstatus AS value FROM orders WHERE o_orderstatus IS NOT NULL AND o_totalprice > 300000")

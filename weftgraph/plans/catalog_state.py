@@ -69,7 +69,7 @@ def m_latest_edge_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Identity.
 
-_MS = "epoch_ms(ts)"
+_MS = "(epoch_us(ts) // 1000)"
 _BUCKET = f"({_MS} - {_MS} % 100)"
 
 
@@ -188,7 +188,8 @@ def a_analyzer_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fixture.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    # A glob, since a stream's plain path has to be a folder and the table may be one file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 @query(_merged())

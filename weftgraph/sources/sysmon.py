@@ -24,7 +24,7 @@ def first_event(text: Column) -> Column:
 def parse(logs: DataFrame, text: str = "log_event") -> DataFrame:
     """logs with event_id_no, event_name, system (typed) and data (field name -> text); null system where it is no event."""
     xml = F.from_xml(F.regexp_replace(first_event(F.col(text).cast("string")), r' xmlns="[^"]*"', ""), EVENT, {"mode": "PERMISSIVE"})
-    rows = logs.withColumn("_x", xml)
+    rows = P.computed_once(logs, _x=xml)
     s = lambda name: F.col(f"_x.System.{name}")
     fields = F.col("_x.EventData.Data")
     named = F.filter(fields, lambda d: d["_Name"].isNotNull())
@@ -47,11 +47,11 @@ def parse(logs: DataFrame, text: str = "log_event") -> DataFrame:
         s("Computer").alias("computer"),
         s("Security._UserID").alias("user_id"),
     )
-    # A field that a payload names twice counts once, the first.
-    distinct = F.filter(named, lambda d, i: F.array_position(F.transform(named, lambda x: x["_Name"]), d["_Name"]) == i + 1)
-    data = F.map_from_entries(F.transform(distinct, lambda d: F.struct(d["_Name"], d["_VALUE"])))
+    # A field that a payload names twice counts once, the last.
+    data = F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, d: F.map_concat(F.map_filter(m, lambda k, _: k != d["_Name"]), F.create_map(d["_Name"], d["_VALUE"])))
     good = P.integer(s("EventID")).isNotNull() & s("Computer").isNotNull()
-    return rows.withColumn("system", F.when(good, system)).withColumn("data", F.when(good, F.coalesce(data, F.create_map().cast("map<string,string>")))).withColumn("event_name", F.when(good, P.event_name(s("EventID")))).drop("_x")
+    given = F.when(good, F.coalesce(data, F.create_map().cast("map<string,string>")))
+    return P.computed_once(rows, system=F.when(good, system), data=given, event_name=F.when(good, P.event_name(s("EventID")))).drop("_x")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
