@@ -6,9 +6,11 @@ minhashes, are computed; table (i, j) is keyed by the pair of the i-th of the fi
 similarity and the chance that a pair exactly at it is missed.
 
 Equal sets are one class from the start, so copies meet in no table. Classes that share a table entry are candidates;
-those that candidates connect form a cluster. A cluster's classes are dealt into blocks and each pair of blocks is
-compared in full, set against set, by one task that returns only a spanning forest of the links it confirms. A cluster
-of any size is so spread over many small tasks, no link inside it is missed and no list of all pairs is written.
+those that candidates connect form a cluster. Unlike classes chain into large clusters, so a cluster of more than one
+block is first taken apart by its sketches, all its minhashes at 16 bits each: only classes whose sketches agree often
+enough stay connected. Then a cluster's classes are dealt into blocks and each pair of blocks is compared in full, set
+against set, by one task that returns only a spanning forest of the links it confirms. A cluster of any size is so
+spread over many small tasks, no link inside it is missed and no list of all pairs is written.
 
 Null and wordless texts have no shingles and are linked with nothing. Rows that share a doc_id are one document. Rows
 without a doc_id are linked with nothing: component_id is null, kept is true. Other columns are not read.
@@ -30,7 +32,9 @@ from weftgraph.llm import shared
 from weftgraph.llm.components import components
 
 BLOCK_SETS = 96
+BLOCK_SKETCHES = 2048
 _CHUNK = 8192
+_ROWS = 128
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,15 @@ class Likeness:
     miss: float = 2e-5
     seed: int = 0x5EED
 
+    @property
+    def least_agreement(self) -> int:
+        """How many of a sketch's minhashes agree at least: a pair exactly at the similarity has fewer by the chance to miss it."""
+        n, p = 2 * self.rows * self.side, self.percent / 100
+        below, k = 0.0, 0
+        while (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= self.miss:
+            k += 1
+        return k
+
     @property
     def side(self) -> int:
         return math.ceil(math.log(self.miss / 2) / math.log(1 - (self.percent / 100) ** self.rows))
@@ -72,7 +85,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, u, v): a 128-bit name of the set and the two collections."""
+    """(doc_id, n_shingles, set_a, set_b, u, v, sketch): a 128-bit name of the set, the two collections, their minhashes."""
     rng = np.random.default_rng(like.seed)
     count = 2 * like.rows * like.side
     times = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,18 +101,20 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
                 first = ranges[:-1][some]
                 cols = np.zeros((2 * like.side, hi - lo), np.uint64)
                 names = np.zeros((2, hi - lo), np.uint64)
+                sketch = np.zeros((hi - lo, count), np.uint16)
                 if len(first):
                     for t in range(count):
                         least = np.minimum.reduceat(sets * times[t] + plus[t], first)
                         cols[t // like.rows, some] = shared.mix(cols[t // like.rows, some] * np.uint64(3) + least)
+                        sketch[some, t] = (shared.mix(least) >> np.uint64(48)).astype(np.uint16)
                     names[0, some] = np.add.reduceat(shared.mix(sets), first)
                     names[1, some] = np.add.reduceat(shared.mix(sets ^ np.uint64(0x6A09E667F3BCC909)), first)
                 side = np.arange(0, (hi - lo + 1) * like.side, like.side, dtype=np.int32)[: hi - lo + 1]
                 lists = [pa.ListArray.from_arrays(pa.array(side), pa.array(np.ascontiguousarray(c.T).reshape(-1).view(np.int64))) for c in (cols[: like.side], cols[like.side :])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in names), *lists], names=["doc_id", "n_shingles", "set_a", "set_b", "u", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in names), *lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "u", "v", "sketch"])
 
     shared.arrow_sized(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, u array<long>, v array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, u array<long>, v array<long>, sketch binary")
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -108,15 +123,54 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     keys = first.select("rep", "i", "x", F.posexplode("v").alias("j", "y")).select("rep", F.xxhash64("i", "j", "x", "y").alias("key"))
     # A join, not a window, brings an entry's members to its least one: Spark can split the entry of a hot group.
     shared_keys = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    edges = keys.join(shared_keys, "key").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    # A class hangs on the least class of all its entries, and so do those entries' own least ones: few different edges.
+    met = keys.join(shared_keys, "key").groupBy("rep").agg(F.min("least").alias("b"), F.collect_set("least").alias("others"))
+    edges = met.select("b", F.explode(F.array_append("others", F.col("rep"))).alias("a")).where("a <> b").distinct()
     return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
 
+def _block_pairs(members: DataFrame, block_rows: int, *columns: str) -> DataFrame:
+    """Members (cluster, size, rep, columns) once for each pair of blocks (i, j) that theirs is part of."""
+    blocks = F.ceil(F.col("size") / block_rows)
+    placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", *columns)
+
+
+def sized(clusters: DataFrame) -> DataFrame:
+    return clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+
+
+def taken_apart(clusters: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """(rep, cluster, size): clusters of more than one block only as far as their sketches hold them together."""
+    members = sized(clusters)
+    large = members.where(F.col("size") > BLOCK_SETS).join(classes.select("rep", "sketch"), "rep")
+    need = like.least_agreement
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rep, block = group["rep"].to_numpy(), group["block"].to_numpy()
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(len(rep), -1)
+        left = np.flatnonzero(block == group["i"].iloc[0])
+        right = np.flatnonzero(block == group["j"].iloc[0])
+        other = np.ascontiguousarray(sketch[right].T)
+        out: list[tuple[int, int]] = []
+        for lo in range(0, len(left), _ROWS):
+            own = sketch[left[lo : lo + _ROWS]]
+            agree = np.zeros((len(own), len(right)), np.uint8 if sketch.shape[1] < 256 else np.uint16)
+            for k in range(sketch.shape[1]):
+                agree += own[:, k, None] == other[None, k]
+            a, b = np.nonzero(agree >= need)
+            a, b = rep[left[lo + a]], rep[right[b]]
+            out += forest(a[a != b], b[a != b])
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    edges = _block_pairs(large, BLOCK_SKETCHES, "sketch").groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+    parts = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    return members.where(F.col("size") <= BLOCK_SETS).select("rep", "cluster", "size").unionByName(sized(parts).select("rep", "cluster", "size"))
+
+
 def confirm(texts: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): a spanning forest of the confirmed links, from (rep, cluster, size, text)."""
-    blocks = F.ceil(F.col("size") / BLOCK_SETS)
-    placed = texts.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    pairs = placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
+    pairs = _block_pairs(texts, BLOCK_SETS, "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         data, offs = shared.buffers(pa.array(group["text"], pa.large_string()))
@@ -175,11 +229,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
     signed = shared.written(signatures(rows, like), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"), F.first("v").alias("v"))
+    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("sketch").alias("sketch"))
     classes = shared.written(classes, "classes")
     clusters = shared.written(candidate_clusters(classes), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "cluster")
+    members = shared.written(taken_apart(clusters, classes, like), "members")
     texts = rows.join(members, rows.doc_id == members.rep).select("rep", "cluster", "size", "text")
     linked = components(confirm(texts, like))
     found = classes.select("set_a", "set_b", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
