@@ -1,10 +1,15 @@
 """Operator 6 against plain Python."""
 
+import base64
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 import zstandard
 from fixtures import SCHEMA, clashing, documents, frame, got
+from pyspark.sql import functions as F
 
 from weftgraph.llm import quality_rules as q
 
@@ -64,5 +69,46 @@ def test_bands_reject_repetition_and_noise():
         assert bool(q.judge(raw, np.array([0, len(raw)]), q.Bands())["kept"][0]) == kept
 
 
+def kept(*texts):
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
+    out = q.judge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), q.Bands())
+    return out["kept"].tolist()
+
+
+def junk(kind, size, rnd):
+    word = {
+        "base64": lambda: base64.b64encode(rnd.randbytes(rnd.choice([6, 9, 12]))).decode(),
+        "hex": lambda: rnd.randbytes(rnd.randint(3, 8)).hex(),
+        "HEX": lambda: rnd.randbytes(rnd.randint(3, 8)).hex().upper(),
+        "ascii": lambda: "".join(chr(rnd.randint(33, 126)) for _ in range(rnd.randint(4, 10))),
+    }[kind]
+    return " ".join(word() for _ in range(size // 4 + 2)).encode()[:size]
+
+
+@pytest.mark.parametrize("kind", ["base64", "hex", "HEX", "ascii"])
+@pytest.mark.parametrize("size", [200, 300, 500, 700, 1000, 1200, 2000, 3000, 5000, 8191, 20000, 50000])
+def test_noise_is_rejected_at_every_length(kind, size):
+    rnd = random.Random(f"{kind}{size}")
+    assert not any(kept(*[junk(kind, size, rnd) for _ in range(40)]))
+
+
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_clean_text_of_each_language_stays(spark, lang):
+    """Texts of the language that the contract's counts leave are kept, but for those cut short by the lower limits."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("lang") == lang).collect() if r.text]
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    got = q.judge(data, offs, q.Bands())
+    lost = [i for i in np.flatnonzero(~got["base_failed"] & ~got["kept"]) if got["ratio"][i] > 0.4]
+    assert (~got["base_failed"]).sum() > 50 and not lost
+
+
+def test_numbers_and_short_words_are_not_hex():
+    rnd = random.Random(9)
+    syllables = ["the", "re", "in", "ed", "tion", "or", "al", "st", "an", "ly", "be", "ma"]
+    words = lambda n: ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
+    text = " ".join(w for x in words(300) for w in (x, str(rnd.randint(1, 9999)), "a1", "decade"))
+    assert kept(text, " ".join(words(60)), " ".join(words(700))) == [True] * 3
+
+
 def test_empty(spark):
     assert q.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
