@@ -102,6 +102,27 @@ def test_clean_text_of_each_language_stays(spark, lang):
     assert (~got["base_failed"]).sum() > 50 and not lost
 
 
+@pytest.mark.parametrize("kind", ["base64", "hex", "ascii"])
+@pytest.mark.parametrize("size", [8190, 8191, 8192, 8193, 12287, 12288, 12289, 20000])
+def test_a_junk_block_is_found_wherever_it_lies(kind, size):
+    rnd = random.Random(size)
+    syllables = ["the", "re", "in", "ed", "tion", "or", "al", "st", "an", "ly", "be", "ma"]
+    prose = " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(9000)).encode()
+    block = junk(kind, 4094, rnd)
+    rest = size - len(block)
+    texts = [prose[:cut] + block + prose[cut:rest] for cut in (0, 1000, rest // 2, rest - 1000, rest)]
+    assert all(len(t) == size for t in texts) and not any(kept(*texts))
+    assert kept(prose[:size]) == [True]
+
+
+@pytest.mark.parametrize("size", [4095, 4096, 4097, 5000, 8191, 8192, 12287, 12288])
+def test_chunks_cover_every_byte(size):
+    spans = [(x, x + 4096) for x in q._chunks(7, 7 + size, 4096)]
+    assert bool(spans) == (size > 4096)
+    if spans:
+        assert spans[0][0] == 7 and spans[-1][1] == 7 + size and all(b[0] <= a[1] for a, b in zip(spans, spans[1:]))
+
+
 def test_numbers_and_short_words_are_not_hex():
     rnd = random.Random(9)
     syllables = ["the", "re", "in", "ed", "tion", "or", "al", "st", "an", "ly", "be", "ma"]

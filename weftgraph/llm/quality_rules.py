@@ -8,6 +8,9 @@ The upper limits lie between the greatest ratio of check_l's 256,410 documents (
 the least of base64 words. Hex digits compress like prose in texts of a few KB, so no limit parts them; a text with
 more than half of its word bytes in words of mixed hex digits is not kept.
 
+Every text longer than a chunk is judged by chunks too: one starts at every half chunk and one ends with the text, so
+each byte is judged and a block of junk as long as a chunk fills three quarters of some chunk wherever it starts.
+
 Nulls are empty texts: no words, base_failed, not kept. Rows that repeat are judged one by one. Columns other
 than the id and the text are not read and cannot clash.
 """
@@ -134,31 +137,42 @@ def _coded(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:-1], dtype=np.int8) > 0
 
 
-def _ratios(data: np.ndarray, offs: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ratio of whole rows; least and greatest of their full chunks (the whole row's where it has none)."""
+def _chunks(a: int, b: int, step: int) -> list[int]:
+    """Starts of a row's chunks: every half step, and one that ends where the row does; none if the row fits in one."""
+    return [] if b - a <= step else [*range(a, b - step, step // 2), b - step]
+
+
+def _ratios(data: np.ndarray, offs: np.ndarray, bands: Bands, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ratio of whole rows; least and greatest of their chunks (the whole row's where it has none); most hex a chunk."""
     packer = zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False)
     n, step = len(offs) - 1, bands.chunk_bytes
-    whole, low, high = np.ones(n), np.ones(n), np.ones(n)
+    whole, low, high, hexes = np.ones(n), np.ones(n), np.ones(n), np.zeros(n)
     view = memoryview(np.ascontiguousarray(data))
+    hex_upto, word_upto = (np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in (coded, shared._IS_WORD[data]))
     for i in range(n):
         a, b = int(offs[i]), int(offs[i + 1])
         if a == b:
             continue
         whole[i] = len(packer.compress(view[a:b])) / (b - a)
-        parts = [len(packer.compress(view[x : x + step])) / step for x in range(a, b - step + 1, step)] if b - a >= 2 * step else [whole[i]]
+        at = _chunks(a, b, step)
+        parts = [len(packer.compress(view[x : x + step])) / step for x in at] or [whole[i]]
         low[i], high[i] = min(parts), max(parts)
-    return whole, low, high
+        if at:
+            x = np.array(at)
+            hexes[i] = ((hex_upto[x + step] - hex_upto[x]) / np.maximum(word_upto[x + step] - word_upto[x], 1)).max()
+    return whole, low, high, hexes
 
 
 def judge(data: np.ndarray, offs: np.ndarray, bands: Bands) -> dict[str, np.ndarray]:
     out = base_counts(data, offs)
-    whole, low, high = _ratios(data, offs, bands)
+    coded = _coded(data, offs)
+    whole, low, high, hexes = _ratios(data, offs, bands, coded)
     size = np.diff(offs)
     band = np.searchsorted([b[0] for b in bands.bands], size, side="right") - 1
     least, most = (np.array([b[k] for b in bands.bands])[band] for k in (1, 2))
     fits = (whole >= least) & (whole <= most)
-    fits &= (size < 2 * bands.chunk_bytes) | ((low >= bands.chunk_low) & (high <= bands.chunk_high))
-    fits &= _sums(_coded(data, offs), offs) <= bands.hex_high * _sums(shared._IS_WORD[data], offs)
+    fits &= (size <= bands.chunk_bytes) | ((low >= bands.chunk_low) & (high <= bands.chunk_high) & (hexes <= bands.hex_high))
+    fits &= _sums(coded, offs) <= bands.hex_high * _sums(shared._IS_WORD[data], offs)
     failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
     return out | {"base_failed": failed, "kept": fits & ~failed, "ratio": whole, "chunk_min": low, "chunk_max": high}
 
