@@ -72,6 +72,59 @@ def test_block_tables_find_every_neighbour(spark):
         assert got == {(a, b, d) for a in set(signed) for b in set(signed) if (d := ((a ^ b) & mask).bit_count()) <= radius}
 
 
+def test_wide_search_finds_every_neighbour(spark):
+    rnd = random.Random(6)
+    fps = [rnd.getrandbits(64) for _ in range(20)] + [0, (1 << 64) - 1, 1 << 63]
+    fps += [x ^ sum(1 << b for b in rnd.sample(range(64), k)) for x in fps for k in (0, 1, 4, 8, 11, 12, 13, 13, 13, 14, 15)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    queries, df = (spark.createDataFrame([(x,) for x in rows], "fp long") for rows in (signed[:60], signed))
+    mask = (1 << 64) - 1
+    for radius, blocks in ((f.NEAR_RADIUS, f.NEAR_BLOCKS), (5, 3)):
+        got = [tuple(r) for r in f.within_wide(queries, df, radius, blocks).collect()]
+        want = {(a, b, d) for a in set(signed[:60]) for b in set(signed) if (d := ((a ^ b) & mask).bit_count()) <= radius}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_edited_copies_at_the_required_similarity_are_found(spark):
+    """Of copies that share at least four fifths of their terms, nine in ten are near, each under its own doc_id."""
+    rnd = random.Random(8)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, planted = [], {}
+    for i in range(40):
+        a = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([100, 200, 500]))]
+        b = list(a)
+        while True:
+            c = list(b)
+            c[rnd.randrange(len(c))] = "edited"
+            if len(shingles(a) & shingles(c)) < 0.8 * len(shingles(a) | shingles(c)):
+                break
+            b = c
+        planted[100 * i] = 100 * i + 1
+        rows += [(100 * i, " ".join(a), None, None, None), (100 * i + 1, " ".join(b), None, None, None)]
+    out = f.fingerprints(frame(spark, rows), radius=f.NEAR_RADIUS, neighbours=True).collect()
+    prints = {r.doc_id: int(r.fingerprint, 16) for r in out}
+    for r in out:
+        if r.doc_id % 100:
+            assert r.near is None and r.n_near is None
+            continue
+        want = sorted(((prints[r.doc_id] ^ p).bit_count(), i) for i, p in prints.items() if (prints[r.doc_id] ^ p).bit_count() <= 13)
+        assert sorted((x.distance, x.first_id) for x in r.near) == want and r.n_near == len(want) - 1
+        assert all(int(x.fingerprint, 16) == prints[x.first_id] and x.docs == 1 for x in r.near)
+    found = sum(planted[r.doc_id] in {x.first_id for x in r.near} for r in out if r.doc_id in planted)
+    assert found >= 36
+
+
+def test_the_query_returns_neighbours(spark, sf):
+    from weftgraph.llm import queries
+
+    out = queries.op1_simhash(spark, sf).collect()
+    asked = [r for r in out if r.doc_id % 100 == 0]
+    for r in asked:
+        near = [o for o in out if (int(o.fingerprint, 16) ^ int(r.fingerprint, 16)).bit_count() <= 13]
+        assert r.n_near == len(near) - 1 == sum(x.docs for x in r.near) - 1
+        assert {x.fingerprint for x in r.near} == {o.fingerprint for o in near}
+
+
 def test_empty(spark):
     assert f.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     assert f.fingerprints(frame(spark, [(1, None, None, None, None)])).first().fingerprint == "0" * 16

@@ -8,6 +8,12 @@ Search: the 64 bits fall into BLOCKS blocks. Fingerprints within RADIUS bits dif
 agree in some BLOCKS - RADIUS of them; there is one table for each choice, keyed by those blocks moved to the front.
 A join on the keys finds every fingerprint within the radius, and the distance is checked on each candidate.
 
+Texts that share four fifths of their terms lie about 10 bits apart, 13 at most as a rule: NEAR_RADIUS. For so wide a
+radius the bits fall into NEAR_BLOCKS blocks, one table each, and a query asks for its own block and for those that
+differ in a few bits (`probes`): as many in each block that, by counting, a fingerprint within the radius has one block
+no further off. So nothing within the radius is missed here either, and a fingerprint is stored only once a block. Of
+all pairs of a query and a fingerprint the join looks at about one in forty.
+
 Nulls are empty texts; a text without words has fingerprint 0. A null doc_id comes before all others. Rows with the
 same id follow in order of their text; equal rows get equal results. Other columns are not read.
 """
@@ -24,6 +30,8 @@ from weftgraph.llm import shared
 SHINGLE = 5
 RADIUS = 3
 BLOCKS = 6
+NEAR_RADIUS = 13
+NEAR_BLOCKS = 4
 RANGE_ROWS = 1024
 MOST_RANGES = 4096
 _STRIDE = 64
@@ -70,6 +78,39 @@ def within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int
     return q.join(f, ["table", "key"]).where(distance <= radius).select("q", "fp", distance.alias("distance")).distinct()
 
 
+def probes(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(table, mask of its block, bits to flip): what a query asks for, so that no fingerprint within the radius is missed.
+
+    The flips allowed in each block, and one more for each, add up to radius + 1.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for t in range(blocks):
+        bits = range(edges[t], edges[t + 1])
+        most = (radius + 1 + blocks - 1 - t) // blocks - 1
+        out += [(t, _signed(sum(1 << b for b in bits)), _signed(sum(1 << b for b in flip))) for k in range(most + 1) for flip in combinations(bits, k)]
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def within_wide(queries: DataFrame, fps: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS) -> DataFrame:
+    """What within() returns, by tables of single blocks and flipped queries, for a radius of many bits."""
+    asked = probes(radius, blocks)
+    masks = sorted({(t, m) for t, m, _ in asked})
+    literal = lambda x: "(-9223372036854775807L - 1)" if x == -(1 << 63) else f"{x}L"
+    flips = F.expr("array(" + ",".join(f"named_struct('table', {t}, 'mask', {literal(m)}, 'flip', {literal(x)})" for t, m, x in asked) + ")")
+    q = queries.select(F.col("fp").alias("q")).distinct().select("q", F.explode(flips).alias("_k"))
+    q = q.select("q", "_k.table", F.col("q").bitwiseXOR(F.col("_k.flip")).bitwiseAND(F.col("_k.mask")).alias("key"))
+    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in masks])
+    f = fps.select("fp").distinct().select("fp", F.explode(keys).alias("_k")).select("fp", "_k.table", "_k.key")
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("fp")))
+    # The probes grow out of few queries, whose size Spark would take for theirs and broadcast them.
+    return q.hint("merge").join(f, ["table", "key"]).where(distance <= radius).select("q", "fp", distance.alias("distance")).distinct()
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with next_text of the next row in ascending doc_id, row and next_row naming them.
 
@@ -109,10 +150,13 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - cut), F.substring(following, F.lit(1), cut))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, neighbours: bool = False) -> DataFrame:
     """The contract's row for every document, and n_near for each hundredth id.
 
-    n_near: how many other documents lie within RADIUS of it, from the block tables.
+    n_near: how many other documents lie within the radius of it, from the block tables.
+    neighbours: also `near`, the fingerprints within the radius, its own among them, by distance: each with its
+    distance, the number of its documents and the least doc_id of them. The result's rows with that fingerprint are
+    all the documents, so copies are not listed once a pair.
     """
     rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text")))
     changed = edited(F.col("text"), F.col("next_text"))
@@ -123,11 +167,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     meta = rows.select("row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(changed, 256).alias("edited_sha256"))
     out = meta.join(base, "row", "left").join(other, "row", "left").join(base.select(F.col("row").alias("next_row"), F.col("fp").alias("next_fp")), "next_row", "left")
     out = out.na.fill(0, ["fp", "edited_fp", "next_fp"])
-    fps = base.groupBy("fp").agg(F.count("*").alias("docs"))
+    named = base.join(meta.select("row", "doc_id"), "row") if neighbours else base.withColumn("doc_id", F.lit(None).cast("long"))
+    fps = named.groupBy("fp").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id"))
     asked = meta.where(F.pmod("doc_id", F.lit(100)) == 0).select("row").join(base, "row")
-    near = within(asked, fps).join(fps, "fp").groupBy(F.col("q").alias("fp")).agg((F.sum("docs") - 1).alias("near"))
-    out = out.join(near, "fp", "left")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    pairs = (within if radius <= RADIUS else within_wide)(asked, fps, radius).join(fps, "fp")
+    one = F.struct("distance", hexed("fp").alias("fingerprint"), "docs", "first_id")
+    near = pairs.groupBy(F.col("q").alias("fp")).agg((F.sum("docs") - 1).alias("near"), *([F.array_sort(F.collect_list(one)).alias("pairs")] if neighbours else []))
+    out = out.join(near, "fp", "left")
     return out.select(
         "doc_id",
         "n_chars",
@@ -137,4 +184,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.when(F.pmod("doc_id", F.lit(100)) == 0, F.coalesce("near", F.lit(0))).cast("long").alias("n_near"),
+        *([F.when(F.pmod("doc_id", F.lit(100)) == 0, F.col("pairs")).alias("near")] if neighbours else []),
     )

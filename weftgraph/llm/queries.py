@@ -16,7 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(_documents(spark, sf_dir))
+    return fingerprints.fingerprints(_documents(spark, sf_dir), radius=fingerprints.NEAR_RADIUS, neighbours=True)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
