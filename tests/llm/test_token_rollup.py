@@ -3,8 +3,10 @@
 import re
 from collections import Counter
 
+import public_tokenizers
 import pytest
 from fixtures import SCHEMA, clashing, documents, frame
+from tokenizers import Tokenizer
 
 from weftgraph.llm import token_rollup as t
 
@@ -72,6 +74,28 @@ def test_revision_is_a_delete_and_an_insert(spark, tmp_path):
     assert totals(a) == totals(b)
 
 
+def test_the_tokenizer_itself_counts(spark, tmp_path):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["x = {'a': [1, 2]}; #!/%$" * 9, "日本語のテキスト" * 50, "a" * 3000, "  two  spaces \n\n", "𝛼β ≠ 1"]
+    rows = documents() + [(900 + i, x, "en", "s1", len(x)) for i, x in enumerate(odd)]
+    bpe = lambda text: len(library.encode(text or "", add_special_tokens=False).ids)
+    out = t.counted(clashing(spark, rows), ("byte_bpe_50k", "words-1", "bytes4-1")).collect()
+    want = Counter((r[0], r[3], r[2], bpe(r[1]), words(r[1]), bytes4(r[1])) for r in rows)
+    assert Counter((r.doc_id, r.source, r.lang, r.counts["byte_bpe_50k"], r.counts["words-1"], r.counts["bytes4-1"]) for r in out) == want
+    labels = [(r[0], i % 3 == 0, i % 5 == 0) for i, r in enumerate(rows[:40])]
+    marks = {}
+    for i, _, x in labels:
+        marks[i] = (marks.get(i, False) or x) and i is not None
+    docs, tokens = Counter(), Counter()
+    for i, text, lang, source, _ in rows:
+        if not marks.get(i, False):
+            docs[source, lang, "byte_bpe_50k"] += 1
+            tokens[source, lang, "byte_bpe_50k"] += bpe(text)
+    df = spark.createDataFrame([(i, int(q), int(x)) for i, q, x in labels], "doc_id long, quality int, toxic int")
+    got = t.bpe_rollup(clashing(spark, rows), df, str(tmp_path / "r")).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == {k: (docs[k], tokens[k]) for k in docs}
+
+
 def test_empty(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     assert t.corpus_rollup(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"), str(tmp_path / "r")).count() == 0

@@ -9,6 +9,10 @@ A batch is committed once: it is written aside and renamed to its name, which fa
 written aside is then dropped. So a batch that is sent again, or by two writers at once, or after a lost driver, counts
 once. compact() sums old batches into one and keeps their names, so they stay committed.
 
+Versions are counted in two ways: words-1 and bytes4-1 by expressions that SQL has too, byte_bpe_50k by the tokenizer
+itself, in one pass over the texts in Python workers that return only the counts. byte_bpe_50k is what to use; the
+other two are no tokenizer's counts.
+
 Null sources and languages are groups of their own. A null text has no tokens. Rows that repeat count each time.
 Groups whose documents and tokens both come to zero are left out. Columns other than those named are not read.
 """
@@ -16,11 +20,14 @@ Groups whose documents and tokens both come to zero are left out. Columns other
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import shared
+from weftgraph.llm import bpe, shared
 from weftgraph.llm.mixing import size_of
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -30,10 +37,41 @@ _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens l
 VERSIONS = {"words-1": size_of, "bytes4-1": lambda text: F.expr(f"(coalesce(octet_length({text}), 0) + 3) div 4").cast("long")}
 
 
+#: Tokenizer versions that a vocabulary counts.
+VOCABULARIES = {"byte_bpe_50k": "byte_bpe_50k.json"}
+
+
 def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(VERSIONS), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """(doc_id, source, lang, counts: map of version to tokens) for every row."""
-    counts = F.create_map(*[x for v in versions for x in (F.lit(v), VERSIONS[v](text_col))])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), counts.alias("counts"))
+    row = [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang")]
+    encoded = [v for v in versions if v in VOCABULARIES]
+    if encoded:
+        plain = [VERSIONS[v](text_col).alias(f"n{i}") for i, v in enumerate(versions) if v in VERSIONS]
+        docs = _encoded(docs.select(*row, *plain, shared.text_or_empty(text_col).alias("text")), encoded)
+        row = ["doc_id", "source", "lang"]
+    of = lambda i, v: VERSIONS[v](text_col) if not encoded else F.col(v if v in VOCABULARIES else f"n{i}")
+    counts = F.create_map(*[x for i, v in enumerate(versions) for x in (F.lit(v), of(i, v))])
+    return docs.select(*row, counts.alias("counts"))
+
+
+def _encoded(rows: DataFrame, versions: list[str]) -> DataFrame:
+    """rows, whose last column is the text, with each version's number of tokens in its place."""
+    paths = [public_tokenizers.path(VOCABULARIES[v]) for v in versions]
+    kept = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs = [bpe.codec(p) for p in paths]
+        for batch in batches:
+            data, offs = shared.buffers(batch.column(len(kept)))
+            for lo, hi, _, _ in shared.pieces(data, offs):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(len(kept)).to_pylist()
+                counts = [pa.array([len(ids) // 4 for ids in c.encode(texts)], pa.int64()) for c in codecs]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *counts], names=[*kept, *versions])
+
+    shared.arrow_sized(rows.sparkSession)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), *(f"`{v}` long" for v in versions)])
+    return rows.mapInArrow(run, schema)
 
 
 def _signed(rows: DataFrame, version: str, sign: int) -> DataFrame:
@@ -106,6 +144,12 @@ class Rollup:
         self._fs.rename(self._path(shadow), self._path(f"batches/{name}/data"))
 
 
+def _marked(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows that have labels, with toxic and quality."""
+    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.max("quality"), F.lit(0)).alias("quality"))
+    return shared.written(rows.join(marks, F.col("doc_id") == F.col("label_id")), "marked")
+
+
 def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """Totals after three batches, two of them sent twice.
 
@@ -114,8 +158,7 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = shared.written(counted(docs), "counted")
-    marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.max("quality"), F.lit(0)).alias("quality"))
-    marked = shared.written(rows.join(marks, F.col("doc_id") == F.col("label_id")), "marked")
+    marked = _marked(rows, labels)
     store = Rollup(spark, path)
     for batch, changes in (
         ("load", inserts(rows, "words-1")),
@@ -128,6 +171,25 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
     return store.totals()
 
 
+def bpe_rollup(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """Totals under byte_bpe_50k alone, after three batches, two of them sent twice.
+
+    All documents come in under words-1 and are all counted again by the tokenizer; those that a label calls toxic go.
+    """
+    rows = shared.written(counted(docs, ("words-1", "byte_bpe_50k")), "counted")
+    marked = _marked(rows, labels)
+    store = Rollup(docs.sparkSession, path)
+    for batch, changes in (
+        ("load", inserts(rows, "words-1")),
+        ("recount", revisions(rows, "words-1", "byte_bpe_50k")),
+        ("load", inserts(rows, "words-1")),
+        ("toxic", deletes(marked.where("toxic = 1"), "byte_bpe_50k")),
+        ("toxic", deletes(marked.where("toxic = 1"), "byte_bpe_50k")),
+    ):
+        store.commit(batch, changes)
+    return store.totals()
+
+
 #: DuckDB SQL for corpus_rollup over documents and labels.
 ORACLE = r"""
 WITH marks AS (
