@@ -73,7 +73,7 @@ def test_keep_one(spark):
 
 def test_tables_and_misses():
     like = nd.Likeness(3, 85)
-    assert like.side == 9
+    assert like.side == 13
     assert 2 * (1 - 0.85**like.rows) ** like.side <= like.miss
 
 
@@ -87,7 +87,8 @@ def test_minhash_agrees_with_jaccard(spark):
     for i in range(40):
         for j in range(i):
             a, b = (shingles(rows[x][1], 1) for x in (i, j))
-            same = np.mean([x == y for x, y in zip([*sig[i].u, *sig[i].v], [*sig[j].u, *sig[j].v])])
+            v = [np.frombuffer(sig[x].v, np.uint16) for x in (i, j)]
+            same = np.mean([x == y for x, y in zip([*sig[i].u, *v[0]], [*sig[j].u, *v[1]])])
             err.append(same - len(a & b) / len(a | b))
     assert abs(np.mean(err)) < 0.02
 
@@ -113,3 +114,75 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_large_group(spark, monkeypatch):
+    """2,000 different copies of one text, lightly and heavily edited: several blocks, several rounds, frequent table halves."""
+    monkeypatch.setattr(nd, "HOT_ROWS", 300)
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 1, 2, 3, 5])):
+            words[rnd.randrange(40)] = f"e{rnd.randrange(60)}"
+        rows.append((5000 - i, " ".join(words), None, None, None))
+    got = sorted(map(tuple, nd.near_duplicates(frame(spark, rows), nd.CONTRACT).collect()))
+    sets = {r[0]: shingles(r[1], 3) for r in rows}
+    ids = {s: min(i for i in sets if sets[i] == s) for s in set(sets.values())}
+    code = {g: k for k, g in enumerate(sorted({g for s in ids for g in s}))}
+    held = np.zeros((len(ids), len(code)), np.float32)
+    order = sorted(ids, key=ids.get)
+    for k, s in enumerate(order):
+        held[k, [code[g] for g in s]] = 1
+    both = held @ held.T
+    size = held.sum(1)
+    linked = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    label = np.array([ids[s] for s in order])
+    while (new := np.where(linked, label[None, :], 1 << 60).min(1)).tolist() != label.tolist():
+        label = new
+    want = dict(zip(order, label.tolist()))
+    assert got == sorted((i, len(s), want[s], want[s] == i) for i, s in sets.items())
+    assert 2 < len(set(label.tolist())) < 1500
+
+
+def test_sets_of_long_rows(monkeypatch):
+    rng = random.Random(1)
+    texts = [" ".join(f"W{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 2, 3, 40, 900)] + ["x" * 500, " " * 300, "é" * 200 + " b c"]
+    import pyarrow as pa
+
+    from weftgraph.llm import shared
+
+    data, offs = shared.buffers(pa.array(texts, pa.large_string()))
+    want = nd.shingle_sets(data, offs, 3)
+    monkeypatch.setattr(nd, "_LONG", 64)
+    monkeypatch.setattr(nd, "_PIECE", 64)
+    got = nd.shingle_sets(data, offs, 3)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got))
+
+
+def test_text_above_a_mebibyte(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(180_000)]
+    rows = [(1, " ".join(words), None, None, None), (2, " ".join(words[:-9]), None, None, None), (3, " ".join(words[:90_000]), None, None, None)]
+    assert len(rows[0][1]) > 1 << 20
+    assert [(r.doc_id, r.component_id) for r in nd.near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()] == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_repeated_ids_with_texts_of_their_own(spark):
+    rows = [(7, " ".join(f"t{i}w{j}" for j in range(30)), None, None, None) for i in range(30)] * 2
+    got = nd.near_duplicates(frame(spark, rows)).collect()
+    assert len(got) == 60 and {(r.component_id, r.kept) for r in got} == {(7, True)}
+
+
+def test_sorted_groups():
+    import pyarrow as pa
+
+    from weftgraph.llm import shared
+
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2])], names=["k"]) for i in range(0, 12, 2)]
+    assert [(t.column(0).to_pylist(), cut) for t, cut in shared.sorted_groups(iter(batches))] == [([1, 1], False), ([2], False), ([3] * 6, False), ([4], False), ([5, 5], False)]
+    got = [(t.column(0).to_pylist(), cut) for t, cut in shared.sorted_groups(iter(batches), 3)]
+    assert [x for t, _ in got for x in t] == keys
+    assert all(cut == (3 in t) for t, cut in got) and max(len(t) for t, _ in got) <= 4

@@ -5,15 +5,23 @@ minhashes, are computed; table (i, j) is keyed by the pair of the i-th of the fi
 `side`**2 tables of 2 * rows minhashes each cost only 2 * rows * side minhash functions. `side` follows from the
 similarity and the chance that a pair exactly at it is missed.
 
-Equal sets are one class from the start, so copies meet in no table. Classes that share a table entry are candidates;
-those that candidates connect form a cluster. Unlike classes chain into large clusters, so a cluster of more than one
-block is first taken apart by its sketches, all its minhashes at 16 bits each: only classes whose sketches agree often
-enough stay connected. Then a cluster's classes are dealt into blocks and each pair of blocks is compared in full, set
-against set, by one task that returns only a spanning forest of the links it confirms. A cluster of any size is so
-spread over many small tasks, no link inside it is missed and no list of all pairs is written.
+Equal sets are one class from the start, so copies meet in no table. A class goes through the shuffle once for each
+sub-signature of the first collection, with the whole second one: the tables that share the first half of their keys
+are looked up together where it lands. An entry's members hang on its least one. Frequent halves are dealt out over
+several tasks and cut into bounded runs, whose least members meet in a second, pre-aggregated step.
+
+Classes that entries connect form a cluster of candidates, and every link in it is told from full sets:
+1. A cluster of one block (by texts and by bytes) is compared in one task.
+2. A larger one is first taken apart exactly, by prefixes: sets that overlap enough share one of their rarest shingles,
+   rarest within the cluster. Clusters chained by what many share, and copies with many edits of their own, fall out.
+3. What stays together is compared in rounds. In each, some blocks of members are compared with all members. Members
+   already in the cluster's largest component are not asked any more, as they need not meet each other; the round's
+   blocks grow eightfold. So a group of near copies costs a few comparisons a member, however large it is, and no link
+   is missed: of any two members in different components one was compared with all others.
 
 Null and wordless texts have no shingles and are linked with nothing. Rows that share a doc_id are one document. Rows
-without a doc_id are linked with nothing: component_id is null, kept is true. Other columns are not read.
+without a doc_id are linked with nothing: component_id is null, kept is true. Other columns are not read. Long texts
+are hashed in pieces; their sets are held whole, 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -23,18 +31,21 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import shared
 from weftgraph.llm.components import components
 
 BLOCK_SETS = 96
-BLOCK_SKETCHES = 2048
+BLOCK_BYTES = 1 << 20
+HOT_ROWS = 20_000
+MOST_HOT = 100_000
+_PIECE = 1 << 18
+_LONG = 1 << 20
 _CHUNK = 8192
-_ROWS = 128
+_GROWTH = 8
 
 
 @dataclass(frozen=True)
@@ -43,19 +54,10 @@ class Likeness:
 
     shingle: int = 5
     percent: int = 80
-    rows: int = 2
+    rows: int = 3
     miss: float = 2e-5
     seed: int = 0x5EED
 
-    @property
-    def least_agreement(self) -> int:
-        """How many of a sketch's minhashes agree at least: a pair exactly at the similarity has fewer by the chance to miss it."""
-        n, p = 2 * self.rows * self.side, self.percent / 100
-        below, k = 0.0, 0
-        while (below := below + math.comb(n, k) * p**k * (1 - p) ** (n - k)) <= self.miss:
-            k += 1
-        return k
-
     @property
     def side(self) -> int:
         return math.ceil(math.log(self.miss / 2) / math.log(1 - (self.percent / 100) ** self.rows))
@@ -67,25 +69,53 @@ CONTRACT = Likeness(shingle=3, percent=85)
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row of UTF-8 bytes, and the rows' ranges of them."""
-    data = shared.lower_ascii(data)
-    starts, ends, ranges = shared.word_spans(data, offs)
-    words = shared.range_hash(shared.prefix_hash(data), starts, ends)
-    grams, spans = shared.grams(words, ranges, k)
-    out = []
-    for i in range(len(offs) - 1):
-        n = ranges[i + 1] - ranges[i]
-        if n >= k:
-            out.append(np.unique(grams[spans[i] : spans[i + 1]]))
-        elif n:
-            whole, _ = shared.grams(words[ranges[i] : ranges[i + 1]], np.array([0, n]), int(n))
-            out.append(shared.mix(whole + np.uint64(n)))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    out: list[np.ndarray] = []
+    for lo, hi, part, at in shared.pieces(data, offs, _PIECE):
+        if hi - lo == 1 and len(part) > _LONG:
+            out.append(_long_set(part, k))
+            continue
+        part = shared.lower_ascii(part)
+        starts, ends, ranges = shared.word_spans(part, at)
+        words = shared.range_hash(shared.prefix_hash(part), starts, ends)
+        grams, spans = shared.grams(words, ranges, k)
+        for i in range(hi - lo):
+            if ranges[i + 1] - ranges[i] >= k:
+                out.append(np.unique(grams[spans[i] : spans[i + 1]]))
+            else:
+                out.append(_short_set(words[ranges[i] : ranges[i + 1]]))
     return np.concatenate([*out, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
 
 
+def _short_set(words: np.ndarray) -> np.ndarray:
+    n = len(words)
+    return shared.mix(shared.grams(words, np.array([0, n]), n)[0] + np.uint64(n)) if n else words
+
+
+def _long_set(data: np.ndarray, k: int) -> np.ndarray:
+    """The set of one long row, word by word in pieces that end between words."""
+    parts, carry, total, lo = [], np.zeros(0, np.uint64), 0, 0
+    while lo < len(data):
+        hi = shared.next_separator(data, lo + _LONG)
+        part = shared.lower_ascii(data[lo:hi])
+        starts, ends, _ = shared.word_spans(part, np.array([0, len(part)]))
+        words = np.concatenate((carry, shared.range_hash(shared.prefix_hash(part), starts, ends)))
+        total += len(starts)
+        parts.append(np.unique(shared.grams(words, np.array([0, len(words)]), k)[0]))
+        carry = words[max(0, len(words) - (k - 1)) :]
+        lo = hi
+    return np.unique(np.concatenate(parts)) if total >= k else _short_set(carry)
+
+
+def minhashes(sets: np.ndarray, ranges: np.ndarray, times: np.uint64, plus: np.uint64) -> np.ndarray:
+    """The least value of each row's set, none of them empty."""
+    return np.minimum.reduceat(sets * times + plus, ranges[:-1])
+
+
 def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, u, v, sketch): a 128-bit name of the set, the two collections, their minhashes."""
+    """(doc_id, n_shingles, n_bytes, set_a, set_b, u, v): a 128-bit name of the set, and the two collections.
+
+    u are longs; v are 16 bits each, as they only part what shares a u.
+    """
     rng = np.random.default_rng(like.seed)
     count = 2 * like.rows * like.side
     times = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,93 +124,202 @@ def signatures(docs: DataFrame, like: Likeness) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = shared.buffers(batch.column(1))
-            for lo, hi, part, at in shared.pieces(data, offs):
+            for lo, hi, part, at in shared.pieces(data, offs, _PIECE):
                 sets, ranges = shingle_sets(part, at, like.shingle)
                 n = np.diff(ranges)
                 some = n > 0
-                first = ranges[:-1][some]
+                held = np.append(ranges[:-1][some], ranges[-1])
                 cols = np.zeros((2 * like.side, hi - lo), np.uint64)
                 names = np.zeros((2, hi - lo), np.uint64)
-                sketch = np.zeros((hi - lo, count), np.uint16)
-                if len(first):
+                if len(held) > 1:
                     for t in range(count):
-                        least = np.minimum.reduceat(sets * times[t] + plus[t], first)
-                        cols[t // like.rows, some] = shared.mix(cols[t // like.rows, some] * np.uint64(3) + least)
-                        sketch[some, t] = (shared.mix(least) >> np.uint64(48)).astype(np.uint16)
-                    names[0, some] = np.add.reduceat(shared.mix(sets), first)
-                    names[1, some] = np.add.reduceat(shared.mix(sets ^ np.uint64(0x6A09E667F3BCC909)), first)
+                        cols[t // like.rows, some] = shared.mix(cols[t // like.rows, some] * np.uint64(3) + minhashes(sets, held, times[t], plus[t]))
+                    names[0, some] = np.add.reduceat(shared.mix(sets), held[:-1])
+                    names[1, some] = np.add.reduceat(shared.mix(sets ^ np.uint64(0x6A09E667F3BCC909)), held[:-1])
                 side = np.arange(0, (hi - lo + 1) * like.side, like.side, dtype=np.int32)[: hi - lo + 1]
-                lists = [pa.ListArray.from_arrays(pa.array(side), pa.array(np.ascontiguousarray(c.T).reshape(-1).view(np.int64))) for c in (cols[: like.side], cols[like.side :])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in names), *lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "u", "v", "sketch"])
+                u = pa.ListArray.from_arrays(pa.array(side), pa.array(np.ascontiguousarray(cols[: like.side].T).reshape(-1).view(np.int64)))
+                v = np.ascontiguousarray((cols[like.side :] >> np.uint64(48)).astype(np.uint16).T)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.diff(at)), *(pa.array(x.view(np.int64)) for x in names), u, pa.array([r.tobytes() for r in v], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "n_bytes", "set_a", "set_b", "u", "v"])
 
     shared.arrow_sized(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, u array<long>, v array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, n_bytes long, set_a long, set_b long, u array<long>, v binary")
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(rep, cluster) of the classes (rep, u, v) that share a table entry with another one."""
-    first = classes.select("rep", "v", F.posexplode("u").alias("i", "x"))
-    keys = first.select("rep", "i", "x", F.posexplode("v").alias("j", "y")).select("rep", F.xxhash64("i", "j", "x", "y").alias("key"))
-    # A join, not a window, brings an entry's members to its least one: Spark can split the entry of a hot group.
-    shared_keys = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-    # A class hangs on the least class of all its entries, and so do those entries' own least ones: few different edges.
-    met = keys.join(shared_keys, "key").groupBy("rep").agg(F.min("least").alias("b"), F.collect_set("least").alias("others"))
-    edges = met.select("b", F.explode(F.array_append("others", F.col("rep"))).alias("a")).where("a <> b").distinct()
-    return components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+def candidate_edges(classes: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): edges that connect the classes (rep, u, v) of each table entry, one or a few a class."""
+    spread = -(-HOT_ROWS // 2)
+    side = like.side
+    halves = classes.select(F.transform("u", lambda x, i: F.xxhash64(x, i)).alias("u"), "rep", "v")
+    hot, often = shared.frequent(halves.select("u"), HOT_ROWS, MOST_HOT)
 
-
-def _block_pairs(members: DataFrame, block_rows: int, *columns: str) -> DataFrame:
-    """Members (cluster, size, rep, columns) once for each pair of blocks (i, j) that theirs is part of."""
-    blocks = F.ceil(F.col("size") / block_rows)
-    placed = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", *columns)
-
-
-def sized(clusters: DataFrame) -> DataFrame:
-    return clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column(0).flatten().to_numpy()
+            rep = np.repeat(batch.column(1).to_numpy(), side)
+            group = half.copy()
+            is_hot = np.isin(half, hot)
+            parts = -(-often[np.searchsorted(hot, half[is_hot])] // spread)
+            salt = shared.mix(rep[is_hot].view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
+            group[is_hot] = shared.mix(half[is_hot].view(np.uint64) + salt + np.uint64(1)).view(np.int64)
+            v = batch.column(2).take(pa.array(np.repeat(np.arange(batch.num_rows), side)))
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(rep), pa.array(np.where(is_hot, half, 0), mask=~is_hot), v], names=["group", "rep", "half", "v"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, is_cut in shared.sorted_groups(batches, HOT_ROWS):
+            group, rep = t.column(0).to_numpy(), t.column(1).to_numpy()
+            # A frequent half's runs, of whatever task, meet again by their least members.
+            half = np.where(t.column(2).is_null().to_numpy(), group, t.column(2).fill_null(0).to_numpy())
+            part = ~t.column(2).is_null().to_numpy() | is_cut
+            v = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, side)
+            again = np.zeros(len(group), bool)
+            again[1:] = group[1:] == group[:-1]
+            again[:-1] |= again[1:]
+            use = np.flatnonzero(again | part)
+            if not len(use):
+                continue
+            group, rep, half, part, v = group[use], rep[use], half[use], part[use], v[use]
+            pairs, open_ = [], []
+            for j in range(side):
+                order = np.lexsort((np.arange(len(use)), v[:, j], group))
+                head = np.ones(len(use), bool)
+                head[1:] = (group[order[1:]] != group[order[:-1]]) | (v[order[1:], j] != v[order[:-1], j])
+                least = order[np.maximum.accumulate(np.where(head, np.arange(len(use)), 0))]
+                pairs.append(np.stack((rep[least[~head]], rep[order[~head]]), 1))
+                first = order[head]
+                first = first[part[first]]
+                open_.append(np.stack((half[first], np.full(len(first), j), v[first, j].astype(np.int64), rep[first]), 1))
+            a, b = np.unique(np.concatenate(pairs), axis=0).T
+            h, slot, value, rep = np.concatenate(open_).T
+            columns = [np.concatenate((a, rep)), np.concatenate((b, rep))]
+            blank = np.arange(len(a) + len(rep)) < len(a)
+            extra = [pa.array(np.concatenate((np.zeros(len(a), np.int64), x)), mask=blank) for x in (h, slot, value)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *extra], names=["a", "b", "half", "slot", "value"])
+
+    dealt = halves.mapInArrow(entries, "group long, rep long, half long, v binary").repartition("group").sortWithinPartitions("group", "rep")
+    met = shared.written(dealt.mapInArrow(meet, "a long, b long, half long, slot long, value long"), "entries")
+    second = met.where("half is not null").groupBy("half", "slot", "value").agg(F.min("a").alias("least"), F.collect_set("a").alias("all")).where(F.size("all") > 1)
+    edges = met.where("half is null").select("a", "b").unionByName(second.select(F.col("least").alias("a"), F.explode("all").alias("b")))
+    # A class hangs on the least class of all its entries, and so do those entries' own least ones: few different edges.
+    hung = edges.where("a <> b").groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("others"))
+    return hung.select(F.col("least").alias("a"), F.explode(F.array_append("others", F.col("b"))).alias("b")).where("a <> b").distinct()
 
 
-def taken_apart(clusters: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """(rep, cluster, size): clusters of more than one block only as far as their sketches hold them together."""
-    members = sized(clusters)
-    large = members.where(F.col("size") > BLOCK_SETS).join(classes.select("rep", "sketch"), "rep")
-    need = like.least_agreement
+def _blocks(count: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(size / BLOCK_BYTES), F.lit(1).cast("long"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rep, block = group["rep"].to_numpy(), group["block"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint16).reshape(len(rep), -1)
-        left = np.flatnonzero(block == group["i"].iloc[0])
-        right = np.flatnonzero(block == group["j"].iloc[0])
-        other = np.ascontiguousarray(sketch[right].T)
-        out: list[tuple[int, int]] = []
-        for lo in range(0, len(left), _ROWS):
-            own = sketch[left[lo : lo + _ROWS]]
-            agree = np.zeros((len(own), len(right)), np.uint8 if sketch.shape[1] < 256 else np.uint16)
-            for k in range(sketch.shape[1]):
-                agree += own[:, k, None] == other[None, k]
-            a, b = np.nonzero(agree >= need)
-            a, b = rep[left[lo + a]], rep[right[b]]
-            out += forest(a[a != b], b[a != b])
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    edges = _block_pairs(large, BLOCK_SKETCHES, "sketch").groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
-    parts = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    return members.where(F.col("size") <= BLOCK_SETS).select("rep", "cluster", "size").unionByName(sized(parts).select("rep", "cluster", "size"))
+def sized(members: DataFrame) -> DataFrame:
+    """members (cluster, rep, n_bytes) with `blocks`, how many blocks their cluster fills."""
+    sizes = members.groupBy("cluster").agg(_blocks(F.count("*"), F.sum("n_bytes")).alias("blocks"))
+    return members.join(sizes, "cluster")
 
 
-def confirm(texts: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): a spanning forest of the confirmed links, from (rep, cluster, size, text)."""
-    pairs = _block_pairs(texts, BLOCK_SETS, "text")
+def compared(dealt: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): a spanning forest of each group's confirmed links, from (group, rep, left, right, text)."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        data, offs = shared.buffers(pa.array(group["text"], pa.large_string()))
-        sets, ranges = shingle_sets(data, offs, like.shingle)
-        left = group["block"].to_numpy() == group["i"].to_numpy()
-        a, b = links(sets, ranges, left, left if group["i"].iloc[0] == group["j"].iloc[0] else ~left, like.percent)
-        rep = group["rep"].to_numpy()
-        return pd.DataFrame(forest(rep[a], rep[b]), columns=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in shared.sorted_groups(batches):
+            group, rep, left, right = (t.column(i).to_numpy() for i in range(4))
+            data, offs = shared.buffers(t.column(4))
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo > 1:
+                    sets, ranges = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], like.shingle)
+                    a, b = links(sets, ranges, left[lo:hi] > 0, right[lo:hi] > 0, like.percent)
+                    out += forest(rep[lo + a], rep[lo + b])
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    plain = dealt.select("group", "rep", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "text")
+    return plain.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+
+
+def taken_apart(texts: DataFrame, like: Likeness) -> DataFrame:
+    """(rep, part) of the members of texts (cluster, rep, text) that share a prefix shingle with another one.
+
+    The order of shingles is by the number of members that hold them, then by hash. Only those that two hold matter:
+    a member's others come before them and use up its prefix.
+    """
 
-    return pairs.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = shared.buffers(batch.column(2))
+            for lo, hi, part, at in shared.pieces(data, offs, _PIECE):
+                sets, ranges = shingle_sets(part, at, like.shingle)
+                n = np.diff(ranges)
+                need = n - (n * like.percent + 99) // 100 + 1
+                for a in range(0, len(sets), 1 << 16):
+                    b = min(a + (1 << 16), len(sets))
+                    own = np.searchsorted(ranges, np.arange(a, b), side="right") - 1
+                    columns = [batch.column(0).slice(lo, hi - lo).to_numpy()[own], batch.column(1).slice(lo, hi - lo).to_numpy()[own], batch.column(3).slice(lo, hi - lo).to_numpy()[own], n[own], need[own], sets[a:b].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "rep", "item", "n", "need", "shingle"])
+
+    held = texts.select("cluster", "rep", "text", F.xxhash64("text").alias("item")).mapInArrow(run, "cluster long, rep long, item long, n long, need long, shingle long")
+    often = held.groupBy("cluster", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = held.join(often.hint("merge"), ["cluster", "shingle"]).groupBy("cluster", "rep", "item", "n", "need").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("known"))
+    left = F.greatest(F.col("need") - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
+    prefix = shared.written(ranked.select("cluster", "rep", F.explode(F.slice("known", F.lit(1), left)).alias("k")).select("cluster", "rep", "k.shingle"), "prefixes")
+    least = prefix.groupBy("cluster", "shingle").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hung = prefix.join(least.hint("merge"), ["cluster", "shingle"]).groupBy("rep").agg(F.min("a").alias("least"), F.collect_set("a").alias("others"))
+    edges = hung.select(F.col("least").alias("a"), F.explode(F.array_append("others", F.col("rep"))).alias("b")).where("a <> b").distinct()
+    parts = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    return parts
+
+
+def in_rounds(texts: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): edges between the components of clusters of several blocks, from texts (rep, text) and members (cluster, rep, n_bytes)."""
+    state = shared.written(members.select("cluster", "rep", "n_bytes", F.col("rep").alias("comp"), F.lit(False).alias("asked")), "round")
+    width = 1
+    while True:
+        counts = state.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+        giants = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("comp").alias("giant"))).alias("g")).select("cluster", "g.giant")
+        idle = ~F.col("asked") & ((F.col("comp") != F.col("giant")) if width > 1 else F.lit(True))
+        left = state.join(giants, "cluster").select("*", idle.alias("pool"))
+        open_ = left.groupBy("cluster").agg(
+            _blocks(F.count("*"), F.sum("n_bytes")).alias("chunks"),
+            F.count_if("pool").alias("waiting"),
+            _blocks(F.count_if("pool"), F.coalesce(F.sum(F.when(F.col("pool"), F.col("n_bytes"))), F.lit(0))).alias("slots"),
+        )
+        left = left.join(open_.where("waiting > 0"), "cluster").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(width)), F.col("slots")))
+        left = shared.written(left.withColumn("asks", F.col("pool") & (F.col("slot") < width)), "asking")
+        if left.isEmpty():
+            break
+        asking = left.where("asks").select("cluster", "rep", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("left"))
+        slots = F.least(F.col("slots"), F.lit(width).cast("long"))
+        others = left.where("not asked").select("cluster", "rep", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"), F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(False).alias("left"))
+        dealt = asking.unionByName(others).select(F.xxhash64("cluster", "slot", "chunk").alias("group"), "rep", "left", (~F.col("left")).alias("right"))
+        found = shared.written(compared(texts.join(dealt.hint("merge"), "rep").select("group", "rep", "left", "right", "text"), like), "links")
+        label = state.select("rep", "comp")
+        ends = found.join(label.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(label.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
+        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        asked = left.where("asks").select("rep", F.lit(True).alias("now")).distinct()
+        new = state.join(joined, F.col("comp") == F.col("node"), "left").join(asked, "rep", "left")
+        new = shared.written(new.select("cluster", "rep", "n_bytes", F.coalesce("component", "comp").alias("comp"), F.coalesce("now", "asked").alias("asked")), "round")
+        shared.dropped(state, left, found)
+        state, width = new, width * _GROWTH
+    shared.dropped(left)
+    return state.where("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
+
+
+def confirm(rows: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): edges that connect what confirmed links connect, from rows (doc_id, text) and members (cluster, rep, n_bytes)."""
+    members = shared.written(sized(members), "members")
+    # Rows that repeat an id and its text are one; the join has brought an id's rows together already.
+    texts = rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "cluster", "blocks", "text").distinct()
+    texts = shared.written(texts, "texts")
+    whole = F.lit(True)
+    small = compared(texts.where("blocks = 1").select(F.col("cluster").alias("group"), "rep", whole.alias("left"), whole.alias("right"), "text"), like)
+    large = texts.where("blocks > 1")
+    if large.isEmpty():
+        return small
+    parts = taken_apart(large, like)
+    again = shared.written(sized(members.where("blocks > 1").select("rep", "n_bytes").join(parts, "rep").select(F.col("part").alias("cluster"), "rep", "n_bytes")), "parts")
+    own = large.select("rep", "text").join(again.hint("merge"), "rep")
+    small = small.unionByName(compared(own.where("blocks = 1").select(F.col("cluster").alias("group"), "rep", whole.alias("left"), whole.alias("right"), "text"), like))
+    rest = again.where("blocks > 1")
+    return small.unionByName(in_rounds(shared.written(own.where("blocks > 1").select("rep", "text"), "texts"), rest, like))
 
 
 def links(sets: np.ndarray, ranges: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,15 +368,14 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
     signed = shared.written(signatures(rows, like), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("u").alias("u"), F.first("v").alias("v"), F.first("sketch").alias("sketch"))
+    classes = named.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("u", "v", "n_bytes")])
     classes = shared.written(classes, "classes")
-    clusters = shared.written(candidate_clusters(classes), "clusters")
-    members = shared.written(taken_apart(clusters, classes, like), "members")
-    texts = rows.join(members, rows.doc_id == members.rep).select("rep", "cluster", "size", "text")
-    linked = components(confirm(texts, like))
+    clusters = components(candidate_edges(classes.select("rep", "u", "v"), like)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    sizes = classes.groupBy("rep").agg(F.sum("n_bytes").alias("n_bytes"))
+    linked = components(confirm(rows, clusters.join(sizes, "rep"), like))
     found = classes.select("set_a", "set_b", "rep").join(linked, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     slim = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), F.when(F.col("n_shingles") > 0, F.col("set_b")).alias("set_b"))
-    out = slim.join(found, ["set_a", "set_b"], "left")
+    out = slim.join(found.hint("merge"), ["set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -248,7 +386,7 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id
     Rows without an id stay. Rows that repeat a kept id all stay.
     """
     gone = near_duplicates(docs, like, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
 
 
 #: DuckDB SQL for near_duplicates with CONTRACT over documents: every pair with a shingle in common.

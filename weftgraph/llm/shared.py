@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "/tmp/weftgraph-checkpoints"
         os.makedirs(root, exist_ok=True)
     if not spark.sparkContext.getCheckpointDir():
@@ -63,10 +66,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete what written() wrote, once nothing reads it any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str):
@@ -97,6 +103,67 @@ def pieces(data: np.ndarray, offs: np.ndarray, most: int = PIECE_BYTES):
         lo = hi
 
 
+def _table(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches).combine_chunks()
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Batches sorted by their first column (longs), regrouped so that no key's rows are in two tables.
+
+    A key of `most` rows or more is cut, so that a table stays bounded; each of its tables says so by True.
+    """
+    held: list[pa.RecordBatch] = []
+    key, rows, is_cut = 0, 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if held or is_cut:
+            end = int(np.searchsorted(keys, key, side="right"))
+            if end:
+                held.append(batch.slice(0, end))
+                rows += end
+            if end == len(keys):
+                if most and rows >= most:
+                    yield _table(held), True
+                    held, rows, is_cut = [], 0, True
+                continue
+            if held:
+                yield _table(held), is_cut
+            held, rows, is_cut = [], 0, False
+            batch, keys = batch.slice(end), keys[end:]
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield _table([batch.slice(0, last)]), False
+        held, key, rows = [batch.slice(last)], keys[-1], len(keys) - last
+    if held:
+        yield _table(held), is_cut
+
+
+def frequent(keys: DataFrame, at_least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of keys(key: array of longs) that are frequent, ascending, and how often each was seen at least.
+
+    Only keys that a batch holds twice are counted, so little is shuffled; a key with a share of all rows that matters
+    is in every batch. `most` bounds what the driver gets, as a frequent key has more than that part of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy()
+            found, often = np.unique(flat, return_counts=True)
+            twice = often > 1
+            key, n = np.append(found[twice], 0), np.append(often[twice], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.append(np.zeros(len(key) - 1, np.int64), len(flat)))], names=["key", "often", "total"])
+
+    counts = written(keys.mapInArrow(run, "key long, often long, total long").groupBy("key").agg(F.sum("often").alias("often"), F.sum("total").alias("total")), "frequent")
+    total = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    got = counts.where(F.col("often") >= max(at_least, -(-total // most))).select("key", "often").toArrow()
+    dropped(counts)
+    key, often = (got.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(key)
+    return key[order], often[order]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     if len(_POWERS.get("b", ())) < n:
@@ -144,6 +211,16 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def next_separator(data: np.ndarray, at: int) -> int:
+    """The first place from `at` on whose byte is in no word, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(~_IS_WORD[data[at : at + PIECE_BYTES]])
+        if len(found):
+            return at + int(found[0])
+        at += PIECE_BYTES
+    return len(data)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
