@@ -35,6 +35,7 @@ EVENT_NAMES = {
     26: "FileDeleteDetected",
     255: "Error",
 }
+#: Fixed by the log format: events whose data is read; of others only the header is.
 SUPPORTED = (1, 3, 5, 11, 15)
 _SECONDS_BELOW = 10**12
 
@@ -44,6 +45,20 @@ def event_name(event_id: Column) -> Column:
     return F.coalesce(F.try_element_at(names, event_id.cast("int")), F.lit("Unknown"))
 
 
+def payload(event_id: Column) -> Column:
+    """The name of an event whose data is read, else Unsupported."""
+    return F.when(event_id.cast("int").isin(*SUPPORTED), event_name(event_id)).otherwise("Unsupported")
+
+
+def last_of_each(entries: Column) -> Column:
+    """A map of an array of (name, value); a name that comes twice counts once, the last; entries without a name go."""
+    named = F.filter(entries, lambda d: d["_Name"].isNotNull())
+    names = F.transform(named, lambda d: d["_Name"])
+    turned = F.reverse(names)
+    last = F.filter(named, lambda d, i: F.array_position(turned, d["_Name"]) == F.size(names) - i)
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), named).otherwise(last))
+
+
 def hex_int(c: Column) -> Column:
     """"0" or base 16 with or without 0x, below 2**63."""
     digits = F.regexp_extract(c, "^(?:0[xX])?([0-9a-fA-F]{1,16})$", 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,23 @@ def edge(src: str, name: str, dst: str) -> Column:
     return F.struct(_key(src).alias("src_key"), F.lit(name).alias("edge"), _key(dst).alias("dst_key")).cast(EDGE)
 
 
-def subgraph(rows: DataFrame, nodes: list[Column], edges: list[Column]) -> DataFrame:
-    return rows.select("tenant_id", "event_id", F.array_compact(F.array(*nodes)).alias("nodes"), F.array_compact(F.array(*edges)).alias("edges"))
+@dataclass(frozen=True)
+class Rule:
+    """Which rows of a log have a subgraph, and its nodes and edges; nulls among them are left out."""
+
+    fits: Column
+    nodes: list[Column]
+    edges: list[Column]
+
+
+def subgraphs(rows: DataFrame, *rules: Rule) -> DataFrame:
+    """(tenant_id, event_id, nodes, edges) of the rows that a rule fits, in one pass; of several rules the first counts."""
+    fits, nodes, edges = F.lit(False), F.lit(None).cast(f"array<{NODE}>"), F.lit(None).cast(f"array<{EDGE}>")
+    for r in reversed(rules):
+        fits = F.coalesce(r.fits, F.lit(False)) | fits
+        nodes = F.when(r.fits, F.array_compact(F.array(*r.nodes))).otherwise(nodes)
+        edges = F.when(r.fits, F.array_compact(F.array(*r.edges))).otherwise(edges)
+    return rows.where(fits).select("tenant_id", "event_id", nodes.alias("nodes"), edges.alias("edges"))
 
 
 def _asset(host: Column) -> Column:
@@ -46,7 +62,7 @@ def _time(name: str) -> Column:
     return P.utc_ms(_text(name))
 
 
-def process_create(events: DataFrame) -> DataFrame:
+def _process_create() -> Rule:
     host, t = F.col("system.computer"), _time("UtcTime")
     nodes = [
         _asset(host),
@@ -55,20 +71,20 @@ def process_create(events: DataFrame) -> DataFrame:
         node("exe", "File", {"asset_id": host, "file_path": P.strip_zone(_text("Image"))}, {"last_seen_timestamp": t}),
     ]
     edges = [edge("parent", "process_asset", "asset"), edge("child", "process_asset", "asset"), edge("child", "binary_file", "exe"), edge("asset", "files_on_asset", "exe"), edge("parent", "children", "child")]
-    return subgraph(events.where("system.event_id = 1"), nodes, edges)
+    return Rule(F.col("system.event_id") == 1, nodes, edges)
 
 
-def file_create(events: DataFrame) -> DataFrame:
+def _file_create() -> Rule:
     host, t = F.col("system.computer"), _time("CreationUtcTime")
     nodes = [
         _asset(host),
         node("creator", "Process", {"asset_id": host, "process_name": P.image_name(_text("Image"))}, {"process_id": P.integer(_text("ProcessId")), "last_seen_timestamp": t}),
         node("file", "File", {"asset_id": host, "file_path": P.strip_zone(_text("TargetFilename"))}, {"created_timestamp": t}),
     ]
-    return subgraph(events.where("system.event_id = 11"), nodes, [edge("creator", "process_asset", "asset"), edge("creator", "created_files", "file"), edge("asset", "files_on_asset", "file")])
+    return Rule(F.col("system.event_id") == 11, nodes, [edge("creator", "process_asset", "asset"), edge("creator", "created_files", "file"), edge("asset", "files_on_asset", "file")])
 
 
-def outbound_connection(events: DataFrame) -> DataFrame:
+def _outbound_connection() -> Rule:
     """Only connections that the host initiated."""
     host, t, protocol = F.col("system.computer"), _time("UtcTime"), _text("Protocol")
     src, dst = P.ip(_text("SourceIp")), P.ip(_text("DestinationIp"))
@@ -95,19 +111,31 @@ def outbound_connection(events: DataFrame) -> DataFrame:
         edge("src_port", "network_connections", "network"),
         edge("dst_port", "network_connections", "network"),
     ]
-    return subgraph(events.where((F.col("system.event_id") == 3) & P.boolean(_text("Initiated"))), nodes, edges)
+    return Rule((F.col("system.event_id") == 3) & P.boolean(_text("Initiated")), nodes, edges)
+
+
+def process_create(events: DataFrame) -> DataFrame:
+    return subgraphs(events, _process_create())
+
+
+def file_create(events: DataFrame) -> DataFrame:
+    return subgraphs(events, _file_create())
+
+
+def outbound_connection(events: DataFrame) -> DataFrame:
+    return subgraphs(events, _outbound_connection())
 
 
 def sysmon(events: DataFrame) -> DataFrame:
     """Every event that has a generator; others give no subgraph."""
-    return process_create(events).unionByName(file_create(events)).unionByName(outbound_connection(events))
+    return subgraphs(events, _process_create(), _file_create(), _outbound_connection())
 
 
 def _column(name: str) -> Column:
     return F.col("columns")[name]
 
 
-def osquery_processes(lines: DataFrame) -> DataFrame:
+def _osquery_processes() -> Rule:
     host, name = F.col("host"), F.coalesce(_column("name"), F.lit(""))
     start = P.integer(_column("time"))
     t = F.when(start == -1, F.col("unix_ms")).otherwise(P.in_ms(start))
@@ -126,26 +154,38 @@ def osquery_processes(lines: DataFrame) -> DataFrame:
         F.when(has_parent, edge("asset", "asset_processes", "parent")),
         edge("asset", "asset_processes", "child"),
     ]
-    return subgraph(lines.where("pack = 'processes'"), nodes, edges)
+    return Rule(F.col("pack") == "processes", nodes, edges)
 
 
-def osquery_files(lines: DataFrame) -> DataFrame:
+def _osquery_files() -> Rule:
     host, t, action = F.col("host"), P.in_ms(P.integer(_column("time"))), _column("action")
     times = {"created_timestamp": F.when(action.isin("CREATED", "MOVED_FROM"), t), "terminated_timestamp": F.when(action.isin("DELETED", "MOVED_TO"), t), "last_seen_timestamp": t}
-    return subgraph(lines.where("pack = 'files'"), [_asset(host), node("file", "File", {"asset_id": host, "file_path": _column("target_path")}, times)], [edge("asset", "files_on_asset", "file")])
+    return Rule(F.col("pack") == "files", [_asset(host), node("file", "File", {"asset_id": host, "file_path": _column("target_path")}, times)], [edge("asset", "files_on_asset", "file")])
 
 
-def osquery_process_files(lines: DataFrame) -> DataFrame:
+def _osquery_process_files() -> Rule:
     host, t, action = F.col("host"), F.col("unix_ms"), F.col("action")
     other = ~F.coalesce(action.isin("added", "removed"), F.lit(False))
     times = {"created_timestamp": F.when(action == "added", t), "terminated_timestamp": F.when(action == "removed", t), "last_seen_timestamp": F.when(other, t)}
     nodes = [_asset(host), node("process", "Process", {"asset_id": host}, {"process_id": P.integer(_column("pid")), "last_seen_timestamp": t}), node("file", "File", {"asset_id": host, "file_path": _column("path")}, times)]
     edges = [F.when(action == "added", edge("process", "created_files", "file")), F.when(action == "removed", edge("process", "deleted_files", "file")), edge("asset", "files_on_asset", "file"), edge("asset", "asset_processes", "process")]
-    return subgraph(lines.where("pack = 'process-files'"), nodes, edges)
+    return Rule(F.col("pack") == "process-files", nodes, edges)
+
+
+def osquery_processes(lines: DataFrame) -> DataFrame:
+    return subgraphs(lines, _osquery_processes())
+
+
+def osquery_files(lines: DataFrame) -> DataFrame:
+    return subgraphs(lines, _osquery_files())
+
+
+def osquery_process_files(lines: DataFrame) -> DataFrame:
+    return subgraphs(lines, _osquery_process_files())
 
 
 def osquery(lines: DataFrame) -> DataFrame:
-    return osquery_processes(lines).unionByName(osquery_files(lines)).unionByName(osquery_process_files(lines))
+    return subgraphs(lines, _osquery_processes(), _osquery_files(), _osquery_process_files())
 
 
 #: Generators by event source kind; each takes raw logs (tenant_id, event_id, log_event).
@@ -173,6 +213,20 @@ def nodes_of(graphs: DataFrame) -> DataFrame:
     return graphs.select("tenant_id", "event_id", F.explode("nodes").alias("n")).select("tenant_id", "event_id", "n.*")
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes_of's rows, those of one node_key as one: of a property that several give, the least value."""
+    keys = ["tenant_id", "event_id", "node_key", "node_type"]
+    kinds = {"strings": "string", "numbers": "bigint"}
+
+    def entries(bag: str) -> Column:
+        values = lambda e: [(e["value"] if k == bag else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()]
+        return F.transform(F.map_entries(bag), lambda e: F.struct(F.lit(bag).alias("bag"), e["key"].alias("name"), *values(e)))
+
+    bags = nodes.select(*keys, F.explode_outer(F.concat(*[entries(b) for b in kinds])).alias("p"))
+    least = bags.groupBy(*keys, "p.bag", "p.name").agg(*[F.min(f"p.{k}").alias(k) for k in kinds])
+    return least.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("bag") == k, F.struct("name", k)))).alias(k) for k in kinds])
+
+
 def edges_of(graphs: DataFrame) -> DataFrame:
     """(tenant_id, event_id, src_key, edge, dst_key), none from a node to itself."""
     return graphs.select("tenant_id", "event_id", F.explode("edges").alias("e")).select("tenant_id", "event_id", "e.*").where("src_key <> dst_key")

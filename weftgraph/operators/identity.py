@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.schema import Schema
+from weftgraph.session import written
 
-SEPARATOR = "\x1f"
 BUCKET_MS = 100
 SKEW_MS = 10
 SLICE_MS = 86_400_000
@@ -29,9 +29,15 @@ def same_time(a: Column, b: Column) -> Column:
     return F.abs(a - b) < SKEW_MS
 
 
+def key_text(parts: list[Column]) -> Column:
+    """Parts with their lengths before them, so that no two lists give one text; a null part is a dash."""
+    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in (p.cast("string") for p in parts)]
+    return F.concat(*[F.coalesce(p, F.lit("-")) for p in sized])
+
+
 def static_key(tenant: Column, node_type: Column, values: list[Column]) -> Column:
-    """Hash of the key properties in order of name; null where one is missing."""
-    whole = F.md5(F.concat_ws(SEPARATOR, tenant, node_type, *[v.cast("string") for v in values]))
+    """Hash of the key properties in the schema's order; null where one is missing. A null tenant is one of its own."""
+    whole = F.md5(key_text([tenant, node_type, *values]))
     known = F.lit(True)
     for v in values:
         known = known & v.isNotNull()
@@ -39,7 +45,7 @@ def static_key(tenant: Column, node_type: Column, values: list[Column]) -> Colum
 
 
 def uid_of(key: Column) -> Column:
-    """A uid from a key: never 0."""
+    """A uid from a key: never 0. Keys that share a uid are found by clashes."""
     h = F.xxhash64(key)
     return F.when(key.isNotNull(), F.when(h == 0, F.lit(1)).otherwise(h))
 
@@ -90,8 +96,16 @@ def session_bounds(b: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     return out.withColumn("end_time", F.greatest("last_time", F.col("create_time") + FIRST_END_MS))
 
 
+def clashes(named: DataFrame) -> DataFrame:
+    """(uid): those that several entities of named (uid, entity) got, told by a pre-aggregated minimum and maximum."""
+    return named.groupBy("uid").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").select("uid")
+
+
 def identify_nodes(nodes: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
-    """(node rows with uid, quarantined rows with a reason) from described nodes."""
+    """(node rows with key, session_no and uid, quarantined rows with a reason) from described nodes.
+
+    session_no is null where identity is static. Entities that share a uid are quarantined, all of them.
+    """
     keyed = nodes.withColumn("key", identity_key(schema, F.col("tenant_id"), F.col("node_type"), F.col("strings"), F.col("numbers")))
     timed = F.lit(None).cast("struct<t:bigint,created:boolean>")
     for x in (x for x in schema.types.values() if x.identity == "session"):
@@ -100,12 +114,17 @@ def identify_nodes(nodes: DataFrame, schema: Schema) -> tuple[DataFrame, DataFra
     lasting = [x.name for x in schema.types.values() if x.identity == "session"]
     keyed = keyed.withColumn("_time", timed).withColumn("_session", F.col("node_type").isin(lasting))
     reason = F.when(F.col("key").isNull(), "missing key").when(F.col("_session") & F.col("_time.t").isNull(), "no time")
-    keyed = keyed.withColumn("reason", reason)
+    # Read by the static rows, twice by the lived ones, and by the quarantine.
+    keyed = written(keyed.withColumn("reason", reason), "keyed-nodes")
     good = keyed.where("reason is null")
-    static = good.where("not _session").select(*nodes.columns, uid_of(F.col("key")).alias("uid"))
+    static = good.where("not _session").select(*nodes.columns, "key", F.lit(None).cast("bigint").alias("session_no"), uid_of(F.col("key")).alias("uid"))
     lived = attribute(good.where("_session").select(*nodes.columns, "key", F.col("_time.t").alias("t"), F.col("_time.created").alias("created")))
-    lived = lived.select(*nodes.columns, uid_of(F.concat_ws(SEPARATOR, "key", F.col("session_no").cast("string"))).alias("uid"))
-    return static.unionByName(lived), keyed.where("reason is not null").select(*nodes.columns, "reason")
+    lived = lived.select(*nodes.columns, "key", "session_no", uid_of(F.concat("key", F.lit(":"), F.col("session_no").cast("string"))).alias("uid"))
+    named = written(static.unionByName(lived), "identified-nodes")
+    shared = written(clashes(named.select("uid", F.concat("key", F.lit(":"), F.coalesce(F.col("session_no").cast("string"), F.lit(""))).alias("entity"))), "uid-clashes")
+    reasons = keyed.where("reason is not null").select(*nodes.columns, "reason")
+    clashing = named.join(shared, "uid", "left_semi").select(*nodes.columns, F.lit("uid clash").alias("reason"))
+    return named.join(shared, "uid", "left_anti"), reasons.unionByName(clashing)
 
 
 def identify_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators import identity
+
 #: One property write: text in s, numbers in n; (ingested, event_id) is a total order of writes.
 WRITES = "tenant_id string, uid bigint, field string, kind string, s string, n bigint, ingested bigint, event_id bigint"
 KEY = ["tenant_id", "uid", "field"]
@@ -47,6 +49,12 @@ def node_types(nodes: DataFrame) -> DataFrame:
     return nodes.where("uid <> 0").select("tenant_id", "uid", "node_type").distinct()
 
 
+def create_nodes(entities: DataFrame) -> DataFrame:
+    """(tenant_id, uid, node_type, entity) from distinct (tenant_id, node_type, entity): uids by hash, so a retry creates the same."""
+    key = identity.key_text([F.col("tenant_id"), F.col("node_type"), F.col("entity")])
+    return entities.select("tenant_id", "node_type", "entity").distinct().select("tenant_id", identity.uid_of(key).alias("uid"), "node_type", "entity")
+
+
 def latest_reverse(edge_schemas: DataFrame) -> DataFrame:
     """(tenant_id, node_type, edge, reverse) of the newest schema version."""
     keys = ["tenant_id", "node_type", "edge"]
@@ -71,6 +79,13 @@ def changed_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.select(cols).distinct().join(old.select(cols), cols, "left_anti")
 
 
+def change_feed(old: DataFrame, new: DataFrame, old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """Changes as analyzers take them (kind, uid, name, src, dst), from partials of properties and from edges."""
+    none = F.lit(None).cast("bigint")
+    properties = merge_state(old, new)[1].select(F.lit("property").alias("kind"), "uid", F.col("field").alias("name"), none.alias("src"), none.alias("dst"))
+    return properties.unionByName(changed_edges(old_edges, new_edges).select(F.lit("edge").alias("kind"), none.alias("uid"), F.col("edge").alias("name"), "src", "dst"))
+
+
 def merge_state(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, changes) of partials old and new."""
     state = merge_partials(old.unionByName(new))

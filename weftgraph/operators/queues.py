@@ -38,3 +38,11 @@ def latest_deployment(log: DataFrame) -> DataFrame:
     """The newest row of each plugin in an append-only log (id, plugin_id, ...)."""
     rest = [c for c in log.columns if c != "plugin_id"]
     return log.groupBy("plugin_id").agg(F.max_by(F.struct(*rest), "id").alias("r")).select("plugin_id", "r.*")
+
+
+def plugins_where(registry: DataFrame, tenant: str | None = None, event_source: str | None = None, plugin: str | None = None) -> DataFrame:
+    """Registry rows of a tenant, of an event source, or of one plugin; any of them left out asks for all."""
+    for name, value in (("tenant_id", tenant), ("event_source_id", event_source), ("plugin_id", plugin)):
+        if value is not None:
+            registry = registry.where(F.col(name) == value)
+    return registry

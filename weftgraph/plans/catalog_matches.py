@@ -145,6 +145,37 @@ def q_view_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.view_edges(graph(spark, sf_dir), CHAIN)
 
 
+@query(
+    f"""WITH m AS ({_CHAIN_SQL}) SELECT DISTINCT customer AS root, customer AS uid, 'Customer' AS node_type, 'c_mktsegment' AS name, c_mktsegment AS value FROM m JOIN customer ON {_C} = customer
+UNION SELECT customer, "order", 'Order', 'o_orderpriority', o_orderpriority FROM m JOIN orders ON {_O} = "order" UNION SELECT customer, part, 'Part', 'p_name', p_name FROM m JOIN part ON {_P} = m.part"""
+)
+def q_view_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.view_properties(graph(spark, sf_dir), CHAIN)
+
+
+_VIEWED = f"WITH m AS ({_LOCAL_SQL}), v AS (SELECT * FROM m WHERE nation IN ({_NATION_SEEDS}))"
+
+
+@query(
+    f"""{_VIEWED}, n AS (SELECT DISTINCT nation AS root, nation AS uid, '' AS p FROM v UNION SELECT nation, customer, 'c_mktsegment=BUILDING' FROM v UNION SELECT nation, region, '' FROM v),
+e AS (SELECT DISTINCT nation AS root, nation AS a, customer AS b FROM v UNION SELECT nation, nation, region FROM v)
+SELECT n.root, string_agg(uid || ':' || p, ',' ORDER BY uid) AS nodes, (SELECT 2 * count(*) FROM e WHERE e.root = n.root) AS n_edges FROM n GROUP BY n.root"""
+)
+def q_grouped_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of the seeds' matches, a row each: nodes with their filtered properties, edges both ways."""
+    v = match.grouped_views(graph(spark, sf_dir), _LOCAL, _seeds(spark, sf_dir))
+    text = F.transform("nodes", lambda n: F.concat(n["uid"].cast("string"), F.lit(":"), F.array_join(F.transform(F.map_entries(n["properties"]), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")))
+    return v.select("root", F.array_join(text, ",").alias("nodes"), F.size("edges").cast("bigint").alias("n_edges"))
+
+
+@query(f"{_VIEWED} SELECT nation AS root, nation AS uid, 'Nation' AS node_type, string_agg(customer, ',' ORDER BY customer) AS customers FROM v GROUP BY nation")
+def q_view_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In each view, its root's node and where one of its edges leads."""
+    v = match.grouped_views(graph(spark, sf_dir), _LOCAL, _seeds(spark, sf_dir))
+    to = match.edges_of(v, F.col("root"), "customers").select("root", F.array_join(F.array_sort("neighbors"), ",").alias("customers"))
+    return match.node_of(v, F.col("root")).join(to, "root").select("root", "node.uid", "node.node_type", "customers")
+
+
 @query(f"SELECT DISTINCT {_S} AS uid, {_P} AS neighbor FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey WHERE s_acctbal < 3000 AND contains(p_name, 'gear')")
 def q_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)
@@ -196,7 +227,7 @@ chain AS (SELECT 'chain' AS analyzer, CAST(10 AS BIGINT) AS score, customer AS l
 
 @query(f"WITH {_SEEDED} SELECT * FROM chain")
 def a_incremental_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzers.run(CHAIN_ANALYZER, _updates(spark, sf_dir), graph(spark, sf_dir))
+    return analyzers.run(CHAIN_ANALYZER, _updates(spark, sf_dir), graph(spark, sf_dir)).drop("lens_refs", "time_of_match")
 
 
 @query(f"""WITH {_SEEDED} SELECT idempotency_key FROM chain WHERE "order" NOT IN (SELECT {_O} FROM orders WHERE o_orderstatus = 'F')""")

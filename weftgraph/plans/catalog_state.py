@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import analyzers, identity, merge, queues
-from weftgraph.plans.registry import query
+from weftgraph.plans.registry import key_sql, query
+from weftgraph.schema import parse
 from weftgraph.session import shared_path
 from weftgraph.sources import fixture
 from weftgraph.sources.fixture import uid_sql
@@ -60,6 +61,39 @@ def m_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_state(old, new)[1]
 
 
+@query(f"SELECT 't0' AS tenant_id, {uid_sql('Order', 'o_orderkey')} AS uid, 'Order' AS node_type FROM orders UNION SELECT 't0', {uid_sql('Customer', 'o_custkey')}, 'Customer' FROM orders")
+def m_node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that every order writes for itself and its customer, and some for a node that is none."""
+    o = fixture.table(spark, sf_dir, "orders")
+    rows = [o.select(F.lit(fixture.TENANT).alias("tenant_id"), uid.alias("uid"), F.lit(t).alias("node_type")) for t, uid in (("Order", fixture.uid("Order", "o_orderkey")), ("Customer", fixture.uid("Customer", "o_custkey")), ("Order", F.lit(0).cast("bigint")))]
+    return merge.node_types(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+@query("SELECT 't0' AS tenant_id, 'Kind' AS node_type, event_type AS entity, CAST(1 AS BIGINT) AS uids FROM events GROUP BY event_type UNION ALL SELECT 't0', 'User', '' || user_id, 1 FROM events GROUP BY user_id")
+def m_create_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node for each different kind and user: one uid each, no uid of two, none 0."""
+    e = fixture.table(spark, sf_dir, "events")
+    entity = lambda t, c: e.select(F.lit(fixture.TENANT).alias("tenant_id"), F.lit(t).alias("node_type"), F.col(c).cast("string").alias("entity"))
+    made = merge.create_nodes(entity("Kind", "event_type").unionByName(entity("User", "user_id"))).where("uid <> 0")
+    return made.join(identity.clashes(made), "uid", "left_anti").groupBy("tenant_id", "node_type", "entity").agg(F.count_distinct("uid").alias("uids"))
+
+
+_OLD = "o_orderdate < TIMESTAMP '1996-01-01'"
+
+
+@query(
+    f"""WITH o AS ({_merged(_EARLY)}), w AS ({_merged()}) SELECT 'property' AS kind, w.uid, w.field AS name, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst FROM w LEFT JOIN o ON o.uid = w.uid AND o.field = w.field WHERE o.s IS DISTINCT FROM w.s OR o.n IS DISTINCT FROM w.n
+UNION ALL SELECT 'edge', NULL, 'placed_by', {uid_sql('Order', 'o_orderkey')}, {uid_sql('Customer', 'o_custkey')} FROM orders WHERE NOT {_OLD}"""
+)
+def m_change_feed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of properties and of edges, as analyzers take them; edges that were there are written again."""
+    events, o = fixture.table(spark, sf_dir, "events"), fixture.table(spark, sf_dir, "orders")
+    half = F.expr("timestamp_ntz '2024-01-16 00:00:00'")
+    old, new = (merge.partial_properties(fixture.event_writes(events.where(w))) for w in (F.col("ts") < half, ~(F.col("ts") < half)))
+    edges = o.select(F.lit(fixture.TENANT).alias("tenant_id"), fixture.uid("Order", "o_orderkey").alias("src"), F.lit("placed_by").alias("edge"), fixture.uid("Customer", "o_custkey").alias("dst"), "o_orderdate")
+    return merge.change_feed(old, new, edges.where("o_orderdate < timestamp_ntz '1996-01-01 00:00:00'"), edges.unionByName(edges))
+
+
 @query("SELECT 't0' AS tenant_id, 'R' || n_regionkey AS node_type, 'nations' AS edge, arg_max(n_name, n_nationkey) AS reverse FROM nation GROUP BY n_regionkey")
 def m_latest_edge_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation as versions of edge schemas: the key is the version, the name the reverse edge."""
@@ -73,15 +107,36 @@ _MS = "(epoch_us(ts) // 1000)"
 _BUCKET = f"({_MS} - {_MS} % 100)"
 
 
-@query(f"SELECT {uid_sql('Customer', 'c_custkey')} AS uid, md5('t0' || chr(31) || 'Customer' || chr(31) || c_mktsegment || chr(31) || c_name) AS key FROM customer")
+_KEYS = parse("""
+type Customer @node(identity_algorithm: "static") { c_name: String! @static_id  c_acctbal_cents: Int! @static_id  c_mktsegment: String! @static_id }
+type UserSession @node(identity_algorithm: "session") {
+  user_id: UInt! @pseudo_key
+  event_type: String! @pseudo_key
+  created_ms: UInt! @create_time
+  seen_ms: UInt! @last_seen_time
+  ended_ms: UInt! @terminate_time
+}
+""")
+
+
+def _schema_key(rows: DataFrame, node_type: str, strings: dict[str, Column], numbers: dict[str, Column]) -> Column:
+    bag = lambda values, kind: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast(kind))])
+    return identity.identity_key(_KEYS, F.lit("t0"), F.lit(node_type), bag(strings, "string"), bag(numbers, "bigint"))
+
+
+@query(f"SELECT {uid_sql('Customer', 'c_custkey')} AS uid, {key_sql("'t0'", "'Customer'", 'CAST(round(c_acctbal * 100) AS BIGINT)', 'c_mktsegment', 'c_name')} AS key FROM customer")
 def i_static_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys by the schema: static ones in order of their names, whatever the order of declaration."""
     c = fixture.table(spark, sf_dir, "customer")
-    return c.select(fixture.uid("Customer", "c_custkey").alias("uid"), identity.static_key(F.lit("t0"), F.lit("Customer"), [F.col("c_mktsegment"), F.col("c_name")]).alias("key"))
+    key = _schema_key(c, "Customer", {"c_name": F.col("c_name"), "c_mktsegment": F.col("c_mktsegment")}, {"c_acctbal_cents": fixture.cents("c_acctbal")})
+    return c.select(fixture.uid("Customer", "c_custkey").alias("uid"), key.alias("key"))
 
 
-@query("SELECT event_id, md5('t0' || chr(31) || 'UserSession' || chr(31) || user_id) AS key FROM events")
+@query(f"SELECT event_id, CASE WHEN event_type <> 'error' THEN {key_sql("'t0'", "'UserSession'", 'user_id', 'event_type')} END AS key FROM events")
 def i_pseudo_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture.table(spark, sf_dir, "events").select("event_id", identity.static_key(F.lit("t0"), F.lit("UserSession"), [F.col("user_id")]).alias("key"))
+    """Pseudo keys as declared; without one of the properties there is no key."""
+    e = fixture.table(spark, sf_dir, "events")
+    return e.select("event_id", _schema_key(e, "UserSession", {"event_type": F.when(F.col("event_type") != "error", F.col("event_type"))}, {"user_id": F.col("user_id")}).alias("key"))
 
 
 @query(f"SELECT event_id, {_BUCKET} AS t FROM events")
@@ -113,6 +168,13 @@ def i_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", t.alias("t"), created.alias("created"))
 
 
+@query(f"WITH e AS (SELECT event_id, {_MS} AS a, {_MS} + (event_id % 41) - 20 AS b FROM events) SELECT event_id, abs(a - b) < 10 AS same FROM e")
+def i_skewed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of two clocks up to 20 ms apart."""
+    e = fixture.table(spark, sf_dir, "events")
+    return e.select("event_id", identity.same_time(fixture.ms("ts"), fixture.ms("ts") + F.col("event_id") % 41 - 20).alias("same"))
+
+
 # Work queue and registry.
 
 _NOW = 1704500000000
@@ -166,9 +228,14 @@ def _plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.concat(F.lit("t"), "n_regionkey").alias("tenant_id"), F.concat(F.lit("s"), F.col("n_nationkey") % 10).alias("event_source_id"), F.col("n_name").alias("plugin_id")).distinct()
 
 
-@query(f"SELECT plugin_id FROM ({_PLUGINS}) WHERE tenant_id = 't2'")
-def w_plugins_for_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plugins(spark, sf_dir).where("tenant_id = 't2'").select("plugin_id")
+def _lookup(name: str, where: str, **asked: str) -> None:
+    query(f"SELECT * FROM ({_PLUGINS}) WHERE {where}", name)(lambda spark, sf_dir: queues.plugins_where(_plugins(spark, sf_dir), **asked))
+
+
+_lookup("w_plugins_for_tenant", "tenant_id = 't2'", tenant="t2")
+_lookup("w_plugins_for_source", "event_source_id = 's3'", event_source="s3")
+_lookup("w_plugin_get", "plugin_id = 'NATION_7'", plugin="NATION_7")
+_lookup("w_plugins_list", "true")
 
 
 @query(f"WITH p AS ({_PLUGINS}) SELECT event_id, plugin_id FROM events JOIN p ON p.event_source_id = 's' || (user_id % 10)")
@@ -197,6 +264,32 @@ def t_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.merged_properties(fixture.event_writes(_event_stream(spark, sf_dir)), shared_path(spark, "stream-merge"))
 
 
+def _file_stream(spark: SparkSession, sf_dir: str, folder: str, times: int = 1) -> DataFrame:
+    """events as a stream of many small files in no order of time, each row `times` times."""
+    events = fixture.table(spark, sf_dir, "events")
+    for _ in range(times):
+        events.repartition(12, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 5).parquet(folder)
+
+
+@query(_merged())
+def t_stream_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several micro-batches out of order; then all rows are sent again, and the query goes on from its checkpoint."""
+    folder, path = shared_path(spark, "stream-files"), shared_path(spark, "stream-merge")
+    pipeline.merged_properties(fixture.event_writes(_file_stream(spark, sf_dir, folder)), path)
+    return pipeline.merged_properties(fixture.event_writes(_file_stream(spark, sf_dir, folder)), path)
+
+
+@query(_BOUNDS)
+def t_stream_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of rows that come in no order of time, each twice, then compacted to one batch."""
+    folder, path, out = (shared_path(spark, n) for n in ("stream-files", "stream-identity", "stream-compacted"))
+    rows = _file_stream(spark, sf_dir, folder, 2).select(F.col("user_id").alias("key"), fixture.ms("ts").alias("t"), (F.col("event_type") == "signup").alias("created"))
+    pipeline.session_bounds(rows, path)
+    pipeline.compacted(spark, path, out, lambda b: b.groupBy("key", "t").agg(F.max("created").alias("created")))
+    return identity.session_bounds(pipeline.batches(spark, out))
+
+
 @query(_BOUNDS)
 def t_stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), fixture.ms("ts").alias("t"), (F.col("event_type") == "signup").alias("created"))

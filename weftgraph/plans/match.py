@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import node_column
@@ -50,17 +50,22 @@ def reduced(graph: Graph, pattern: Pattern, root: str) -> dict[str, DataFrame]:
 
 
 def bindings(graph: Graph, node: Node | Pattern, root: str | None = None, seeds: DataFrame | None = None) -> DataFrame:
-    """One row per match, a column per role. seeds (uid): the only nodes the root may be."""
+    """One row per match, a column per role. seeds (uid): the only nodes the root may be.
+
+    Where a role has several children, candidates are reduced first, so that no branch multiplies what another one drops.
+    """
     pattern = compiled(graph, node)
     root = root or pattern.root
     tree, rest = pattern.tree(root)
-    first = candidate(graph, pattern, root)
+    parents = [parent for parent, *_ in tree]
+    branches = len(set(parents)) < len(parents)
+    cand = reduced(graph, pattern, root) if branches else {r: candidate(graph, pattern, r) for r in pattern.roles}
+    first = cand[root]
     if seeds is not None:
         first = first.join(seeds.select("uid").distinct(), "uid", "left_semi")
     out = first.select(F.col("uid").alias(root))
     for parent, edge, child, forward in tree:
-        to = candidate(graph, pattern, child).withColumnRenamed("uid", child)
-        out = out.join(_step(graph, edge, forward, parent, child).join(to, child, "left_semi"), parent)
+        out = out.join(_step(graph, edge, forward, parent, child).join(cand[child].withColumnRenamed("uid", child), child, "left_semi"), parent)
     for a, edge, b in rest:
         out = out.join(_step(graph, edge, True, a, b), [a, b], "left_semi") if a != b else out.join(graph.edge(edge).where("src = dst").select(F.col("src").alias(a)), a, "left_semi")
     return out.select(*pattern.roles)
@@ -144,29 +149,51 @@ def view_edges(graph: Graph, node: Node | Pattern, seeds: DataFrame | None = Non
     if not pairs:
         return graph.of_type(pattern.roles[pattern.root].node_type).sparkSession.createDataFrame([], "root bigint, src bigint, edge string, dst bigint")
     forward = reduce(DataFrame.unionByName, pairs)
-    names = F.create_map(*[F.lit(x) for _, e, _ in pattern.edges for x in (e, graph.reverse[e])])
+    names = F.create_map(*[F.lit(x) for e in sorted({e for _, e, _ in pattern.edges}) for x in (e, graph.reverse[e])])
     back = forward.select("root", F.col("dst").alias("src"), names[F.col("edge")].alias("edge"), F.col("src").alias("dst"))
     return forward.unionByName(back).distinct()
 
 
+def view_properties(graph: Graph, node: Node | Pattern, seeds: DataFrame | None = None) -> DataFrame:
+    """(root, uid, node_type, name, value): the filtered properties of the nodes of each root's matches, as text; present ones only."""
+    pattern = compiled(graph, node)
+    reach, _ = _reach(graph, pattern, seeds)
+    parts = []
+    for r, d in reach.items():
+        role = pattern.roles[r]
+        if role.properties:
+            entries = F.array(*[F.struct(F.lit(p).alias("name"), F.col(p).cast("string").alias("value")) for p in role.properties])
+            own = graph.of_type(role.node_type).select("uid", F.explode(entries).alias("p")).where("p.value is not null")
+            parts.append(d.join(own, "uid").select("root", "uid", F.lit(role.node_type).alias("node_type"), "p.name", "p.value"))
+    if not parts:
+        return graph.of_type(pattern.roles[pattern.root].node_type).sparkSession.createDataFrame([], "root bigint, uid bigint, node_type string, name string, value string")
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def grouped_views(graph: Graph, node: Node | Pattern, seeds: DataFrame | None = None) -> DataFrame:
-    """(root, nodes, edges): one row per root. Only for roots of bounded neighbourhoods; view_* scale to any."""
-    n = view_nodes(graph, node, seeds).groupBy("root").agg(F.array_sort(F.collect_set(F.struct("uid", "node_type"))).alias("nodes"))
+    """(root, nodes, edges): one row per root. Only for roots of bounded neighbourhoods; view_* scale to any.
+
+    nodes: (uid, node_type, properties: map of the filtered ones); edges: (src, edge, dst).
+    """
+    props = view_properties(graph, node, seeds).groupBy("root", "uid", "node_type").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "value")))).alias("properties"))
+    whole = view_nodes(graph, node, seeds).join(props, ["root", "uid", "node_type"], "left")
+    properties = F.coalesce("properties", F.create_map().cast("map<string,string>"))
+    n = whole.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("uid", "node_type", properties.alias("properties"))), lambda x, y: F.when(x["uid"] < y["uid"], -1).when(x["uid"] > y["uid"], 1).otherwise(0)).alias("nodes"))
     e = view_edges(graph, node, seeds).groupBy("root").agg(F.array_sort(F.collect_set(F.struct("src", "edge", "dst"))).alias("edges"))
     return n.join(e, "root", "left")
 
 
-def neighbors(graph: Graph, uids: DataFrame, edge: str, node: Node) -> DataFrame:
-    """(uid, neighbor): a view's nodes expanded along an edge to neighbours that match `node` and what hangs on it."""
-    step = _step(graph, edge, True, "uid", "neighbor")
-    return uids.select("uid").distinct().join(step, "uid").join(roots(graph, node).withColumnRenamed("uid", "neighbor"), "neighbor", "left_semi").select("uid", "neighbor")
+def node_of(views: DataFrame, uid: Column) -> DataFrame:
+    """(root, node) of grouped views: the node of that uid, null where the view has none."""
+    return views.select("root", F.get(F.filter("nodes", lambda n: n["uid"] == uid), F.lit(0)).alias("node"))
 
 
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the greatest `order` of each key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+def edges_of(views: DataFrame, uid: Column, edge: str) -> DataFrame:
+    """(root, neighbors) of grouped views: where an edge leads from that uid."""
+    return views.select("root", F.transform(F.filter("edges", lambda e: (e["src"] == uid) & (e["edge"] == edge)), lambda e: e["dst"]).alias("neighbors"))
 
 
-def numbered(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def neighbors(graph: Graph, uids: DataFrame, edge: str, node: Node) -> DataFrame:
+    """(uid, neighbor): a view's nodes expanded along an edge to neighbours that match `node` and what hangs on it."""
+    step = _step(graph, edge, True, "uid", "neighbor")
+    return uids.select("uid").distinct().join(step, "uid").join(roots(graph, node).withColumnRenamed("uid", "neighbor"), "neighbor", "left_semi").select("uid", "neighbor")

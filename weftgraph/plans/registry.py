@@ -19,3 +19,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         return f
 
     return put
+
+
+def key_sql(*parts: str) -> str:
+    """The md5 of parts with their lengths before them, as identity.static_key has it."""
+    return "md5(" + " || ".join(f"length('' || {p}) || ':' || {p}" for p in parts) + ")"

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -47,6 +47,23 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "12g") ->
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder in spark.checkpoint.dir, which all machines share; where unset (tests), a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/weftgraph-checkpoints"
+    """A fresh path below the folder in spark.checkpoint.dir, which all machines share; where unset (local sessions), a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "/tmp/weftgraph-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: what several steps read is worked out once, and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: for rows whose parsing costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

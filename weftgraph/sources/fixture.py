@@ -34,8 +34,36 @@ def ms(name: str) -> Column:
     return F.unix_millis(F.col(name).cast("timestamp"))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+#: The part of the graph that the store's queries write, as schema text.
+GRAPH_SCHEMA = """
+# Edges are declared once, on one of their ends.
+type Customer @node(identity_algorithm: "static") {
+  c_name: String! @static_id
+  c_mktsegment: String! @immutable
+  c_acctbal_cents: Int! @increment_only
+  orders: [Order!] @edge(reverse: "placed_by", reverse_relationship: "ToOne")
+}
+type Order @node(identity_algorithm: "static") {
+  o_orderdate_ms: Int! @static_id
+  o_orderstatus: String! @immutable
+  o_orderpriority: String! @immutable
+  contains_part: [Part!] @edge(reverse: "in_orders", reverse_relationship: "ToMany")
+}
+type Part @node(identity_algorithm: "static") { p_name: String! @static_id }
+type PartSize @node(extends: "Part") { p_size: Int! @decrement_only }
+"""
+
+
+def gaps(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with missing values: every seventh customer's segment, every fifth part's size."""
+    segment = F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment")
+    size = F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size")
+    return t | {"customer": t["customer"].withColumn("c_mktsegment", segment), "part": t["part"].withColumn("p_size", size)}
+
+
+def graph(spark: SparkSession, sf_dir: str, with_gaps: bool = False) -> Graph:
     t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = gaps(t) if with_gaps else t
     nodes = {
         "Region": t["region"].select(uid("Region", "r_regionkey").alias("uid"), "r_name"),
         "Nation": t["nation"].select(uid("Nation", "n_nationkey").alias("uid"), "n_name"),
@@ -60,6 +88,14 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(TENANT, nodes, edges, REVERSE)
 
 
+def property_writes(nodes: DataFrame, node_type: str, kinds: dict[str, str], tenant: str = TENANT) -> DataFrame:
+    """A node table's columns as property writes of the kinds given, present values only."""
+    null = {"s": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
+    writes = [F.struct(F.lit(p).alias("field"), F.lit(k).alias("kind"), *[(F.col(p) if (c == "s") == k.endswith("string") else v).alias(c) for c, v in null.items()]) for p, k in kinds.items()]
+    rows = nodes.select(F.lit(tenant).alias("tenant_id"), "uid", F.explode(F.array(*writes)).alias("w")).select("tenant_id", "uid", "w.*")
+    return rows.where("s is not null or n is not null")
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as (key, t, created, event_id): signups are creations, everything else a sighting."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), ms("ts").alias("t"), (F.col("event_type") == "signup").alias("created"), "event_id")
@@ -80,12 +116,15 @@ def _data(**fields: Column | str) -> Column:
     return F.concat(*[F.concat(F.lit(f'<Data Name="{k}">'), F.lit(v) if isinstance(v, str) else v.cast("string"), F.lit("</Data>")) for k, v in fields.items()])
 
 
-def sysmon_logs(events: DataFrame, event_id: int | Column) -> DataFrame:
-    """events as XML payloads (tenant_id, event_id, log_event) of one kind of event, or of a kind by row."""
+def sysmon_logs(events: DataFrame, event_id: int | Column, image: Column | None = None, parent: Column | None = None, whole_header: bool = False) -> DataFrame:
+    """events as XML payloads (tenant_id, event_id, log_event) of one kind of event, or of a kind by row.
+
+    image, parent: names of the process and its parent.
+    """
     time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     kind = F.lit(event_id) if isinstance(event_id, int) else event_id
     host = F.concat(F.lit("HOST-"), F.col("user_id") % 7)
-    image = F.concat(F.lit("C:\\bin\\"), F.col("event_type"), F.lit(".exe"))
+    image = F.concat(F.lit("C:\\bin\\"), F.concat(F.col("event_type"), F.lit(".exe")) if image is None else image)
     data = _data(
         UtcTime=time,
         CreationUtcTime=time,
@@ -93,7 +132,7 @@ def sysmon_logs(events: DataFrame, event_id: int | Column) -> DataFrame:
         Image=image,
         CommandLine=F.concat(F.col("event_type"), F.lit(" &amp; "), F.col("event_id")),
         ParentProcessId=F.col("user_id") + 1,
-        ParentImage="C:\\Windows\\svchost.exe",
+        ParentImage="C:\\Windows\\svchost.exe" if parent is None else F.concat(F.lit("C:\\Windows\\"), parent),
         ParentCommandLine="svchost -k",
         TargetFilename=F.concat(F.lit("C:\\tmp\\f"), F.col("event_id"), F.lit(":Zone.Identifier")),
         Protocol="tcp",
@@ -103,7 +142,11 @@ def sysmon_logs(events: DataFrame, event_id: int | Column) -> DataFrame:
         DestinationIp="93.184.216.34",
         DestinationPort="443",
     )
-    system = F.concat(F.lit('<System><Provider Name="Sysmon" Guid="{5770385F-C22A-43E0-BF4C-06F5698FFBD9}"/><EventID>'), kind.cast("string"), F.lit("</EventID><Keywords>0x8000000000000</Keywords><Computer>"), host, F.lit("</Computer></System>"))
+    rest = [F.lit("")]
+    if whole_header:
+        rest = [F.lit("<Version>5</Version><Level>4</Level><Task>1</Task><Opcode>0</Opcode><TimeCreated SystemTime=\""), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("\"/><EventRecordID>"), F.col("event_id"), F.lit("</EventRecordID><Correlation ActivityID=\"a-"), F.col("event_id"), F.lit("\"/><Execution ProcessID=\""), F.col("user_id"), F.lit("\" ThreadID=\""), F.col("event_id") % 97]
+        rest.append(F.lit("\"/><Channel>Microsoft-Windows-Sysmon/Operational</Channel><Security UserID=\"S-1-5-18\"/>"))
+    system = F.concat(F.lit('<System><Provider Name="Sysmon" Guid="{5770385F-C22A-43E0-BF4C-06F5698FFBD9}"/><EventID>'), kind.cast("string"), F.lit("</EventID><Keywords>0x8000000000000</Keywords>"), *rest, F.lit("<Computer>"), host, F.lit("</Computer></System>"))
     return events.select(F.lit(TENANT).alias("tenant_id"), "event_id", F.concat(F.lit("<Event>"), system, F.lit("<EventData>"), data, F.lit("</EventData></Event>")).alias("log_event"))
 
 

@@ -21,37 +21,48 @@ def first_event(text: Column) -> Column:
     return F.when(found != "", found)
 
 
+#: What XML 1.0 allows no document to hold.
+_FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+
+
 def parse(logs: DataFrame, text: str = "log_event") -> DataFrame:
-    """logs with event_id_no, event_name, system (typed) and data (field name -> text); null system where it is no event."""
-    xml = F.from_xml(F.regexp_replace(first_event(F.col(text).cast("string")), r' xmlns="[^"]*"', ""), EVENT, {"mode": "PERMISSIVE"})
-    rows = P.computed_once(logs, _x=xml)
+    """logs with event_name, payload, system (typed) and data (field name -> text, of supported events).
+
+    event_name and all else are null where the payload is no readable event: without one, without an id or a computer,
+    or with characters that XML forbids. A payload's XML is read once a row; header fields are typed where they are
+    asked for.
+    """
+    event = first_event(F.col(text).cast("string"))
+    readable = F.when(~event.rlike(_FORBIDDEN), F.regexp_replace(event, r' xmlns="[^"]*"', ""))
+    rows = P.computed_once(logs, _x=F.from_xml(readable, EVENT, {"mode": "PERMISSIVE"}))
     s = lambda name: F.col(f"_x.System.{name}")
-    fields = F.col("_x.EventData.Data")
-    named = F.filter(fields, lambda d: d["_Name"].isNotNull())
-    system = F.struct(
-        s("Provider._Name").alias("provider_name"),
-        P.guid(s("Provider._Guid")).alias("provider_guid"),
-        P.integer(s("EventID")).alias("event_id"),
-        P.integer(s("Version")).alias("version"),
-        P.integer(s("Level")).alias("level"),
-        P.integer(s("Task")).alias("task"),
-        P.integer(s("Opcode")).alias("opcode"),
-        P.hex_int(s("Keywords")).alias("keywords"),
-        P.utc_ms(s("TimeCreated._SystemTime")).alias("time_created"),
-        P.integer(s("EventRecordID")).alias("event_record_id"),
-        s("Correlation._ActivityID").alias("activity_id"),
-        s("Correlation._RelatedActivityID").alias("related_activity_id"),
-        P.integer(s("Execution._ProcessID")).alias("process_id"),
-        P.integer(s("Execution._ThreadID")).alias("thread_id"),
-        s("Channel").alias("channel"),
-        s("Computer").alias("computer"),
-        s("Security._UserID").alias("user_id"),
-    )
-    # A field that a payload names twice counts once, the last.
-    data = F.aggregate(named, F.create_map().cast("map<string,string>"), lambda m, d: F.map_concat(F.map_filter(m, lambda k, _: k != d["_Name"]), F.create_map(d["_Name"], d["_VALUE"])))
-    good = P.integer(s("EventID")).isNotNull() & s("Computer").isNotNull()
-    given = F.when(good, F.coalesce(data, F.create_map().cast("map<string,string>")))
-    return P.computed_once(rows, system=F.when(good, system), data=given, event_name=F.when(good, P.event_name(s("EventID")))).drop("_x")
+    good = P.integer(s("EventID")).isNotNull() & s("Computer").isNotNull() & F.col("_x._corrupt_record").isNull()
+    known = good & P.integer(s("EventID")).isin(*P.SUPPORTED)
+    none = F.create_map().cast("map<string,string>")
+    rows = P.computed_once(rows, _good=good, data=F.when(good, F.coalesce(F.when(known, P.last_of_each(F.col("_x.EventData.Data"))), none)))
+    system = {
+        "provider_name": s("Provider._Name"),
+        "provider_guid": P.guid(s("Provider._Guid")),
+        "event_id": P.integer(s("EventID")),
+        "version": P.integer(s("Version")),
+        "level": P.integer(s("Level")),
+        "task": P.integer(s("Task")),
+        "opcode": P.integer(s("Opcode")),
+        "keywords": P.hex_int(s("Keywords")),
+        "time_created": P.utc_ms(s("TimeCreated._SystemTime")),
+        "event_record_id": P.integer(s("EventRecordID")),
+        "activity_id": s("Correlation._ActivityID"),
+        "related_activity_id": s("Correlation._RelatedActivityID"),
+        "process_id": P.integer(s("Execution._ProcessID")),
+        "thread_id": P.integer(s("Execution._ThreadID")),
+        "channel": s("Channel"),
+        "computer": s("Computer"),
+        "user_id": s("Security._UserID"),
+    }
+    ok = F.col("_good")
+    # Null by field, not as a whole, so that a field alone can be worked out.
+    header = F.struct(*[F.when(ok, c).alias(n) for n, c in system.items()])
+    return rows.select(*logs.columns, header.alias("system"), "data", F.when(ok, P.event_name(s("EventID"))).alias("event_name"), F.when(ok, P.payload(s("EventID"))).alias("payload"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -60,4 +71,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
-    return parsed.where("system is null")
+    """Rows of parse that hold no readable event, as they came."""
+    return parsed.where("event_name is null").drop("system", "data", "event_name", "payload")
