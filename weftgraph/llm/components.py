@@ -16,13 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").where("a <> b").union(edges.select("b", "a").where("a <> b")).distinct()
     both = shared.written(both, "cc-edges")
-    labels = shared.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "cc-labels")
+    rows = both.count()
+    labels = shared.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "cc-labels", rows)
     while True:
         around = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(around, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         new = lower.join(jump, "via", "left").select("node", F.least("via", "far").alias("component"), "old")
-        new = shared.written(new, "cc-labels")
+        new = shared.written(new, "cc-labels", rows)
+        shared.dropped(labels)
         labels = new.select("node", "component")
         if new.where("component <> old").isEmpty():
+            shared.dropped(both)
             return labels

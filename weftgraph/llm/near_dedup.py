@@ -14,10 +14,10 @@ Classes that entries connect form a cluster of candidates, and every link in it
 1. A cluster of one block (by texts and by bytes) is compared in one task.
 2. A larger one is first taken apart exactly, by prefixes: sets that overlap enough share one of their rarest shingles,
    rarest within the cluster. Clusters chained by what many share, and copies with many edits of their own, fall out.
-3. What stays together is compared in rounds. In each, some blocks of members are compared with all members. Members
-   already in the cluster's largest component are not asked any more, as they need not meet each other; the round's
-   blocks grow eightfold. So a group of near copies costs a few comparisons a member, however large it is, and no link
-   is missed: of any two members in different components one was compared with all others.
+3. What stays together is compared in rounds. In each, some blocks of members are compared with all members. Those
+   found linked to one connected set of them need not meet each other, and the largest such set of a cluster is not
+   asked any more; the round's blocks grow eightfold. So a group of near copies costs a few comparisons a member,
+   however large it is, and no link is missed: of any two members, both are in that set or one met all others.
 
 Null and wordless texts have no shingles and are linked with nothing. Rows that share a doc_id are one document. Rows
 without a doc_id are linked with nothing: component_id is null, kept is true. Other columns are not read. Long texts
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,7 @@ def candidate_edges(classes: DataFrame, like: Likeness) -> DataFrame:
     spread = -(-HOT_ROWS // 2)
     side = like.side
     halves = classes.select(F.transform("u", lambda x, i: F.xxhash64(x, i)).alias("u"), "rep", "v")
-    hot, often = shared.frequent(halves.select("u"), HOT_ROWS, MOST_HOT)
+    hot, often = shared.frequent(halves.select("u"), lambda batch: batch.column(0).flatten().to_numpy(), HOT_ROWS, MOST_HOT)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,24 +217,48 @@ def sized(members: DataFrame) -> DataFrame:
 
 
 def compared(dealt: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): a spanning forest of each group's confirmed links, from (group, rep, left, right, text)."""
+    """(cluster, a, b): for each group of (group, cluster, rep, asks, text) the confirmed links between rows that ask and all rows.
+
+    a is the least of the asking rows that are linked among themselves: where all rows ask, the group's components; else
+    what each row is linked to, alike in every group with the same asking rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in shared.sorted_groups(batches):
-            group, rep, left, right = (t.column(i).to_numpy() for i in range(4))
+            group, cluster, rep, asks = (t.column(i).to_numpy() for i in range(4))
             data, offs = shared.buffers(t.column(4))
             edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-            out: list[tuple[int, int]] = []
+            out = [np.zeros((0, 3), np.int64)]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo > 1:
                     sets, ranges = shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], like.shingle)
-                    a, b = links(sets, ranges, left[lo:hi] > 0, right[lo:hi] > 0, like.percent)
-                    out += forest(rep[lo + a], rep[lo + b])
-            a, b = np.array(out, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    own = asks[lo:hi] > 0
+                    a, b = links(sets, ranges, own, np.ones(hi - lo, bool), like.percent)
+                    roots = least_of_each(rep[lo:hi], a[own[b]], b[own[b]])
+                    pairs = np.concatenate((np.stack((roots[a], rep[lo + b]), 1), np.stack((roots, rep[lo:hi]), 1)[own]))
+                    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+                    out.append(np.concatenate((np.full((len(pairs), 1), cluster[lo]), pairs), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out).T], names=["cluster", "a", "b"])
+
+    plain = dealt.select("group", "cluster", "rep", F.col("asks").cast("long").alias("asks"), "text")
+    return plain.repartition("group").sortWithinPartitions("group").mapInArrow(run, "cluster long, a long, b long")
+
+
+def least_of_each(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each item the least rep of those that the links (a, b) of items connect with it."""
+    root = list(range(len(rep)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    plain = dealt.select("group", "rep", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "text")
-    return plain.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            low, high = (x, y) if rep[x] <= rep[y] else (y, x)
+            root[high] = low
+    return rep[[find(x) for x in range(len(rep))]] if len(rep) else rep
 
 
 def taken_apart(texts: DataFrame, like: Likeness) -> DataFrame:
@@ -257,11 +282,12 @@ def taken_apart(texts: DataFrame, like: Likeness) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "rep", "item", "n", "need", "shingle"])
 
     held = texts.select("cluster", "rep", "text", F.xxhash64("text").alias("item")).mapInArrow(run, "cluster long, rep long, item long, n long, need long, shingle long")
-    often = held.groupBy("cluster", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # Tables that are written join by plain exchanges, of which Spark splits large parts.
+    often = shared.written(held.groupBy("cluster", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "shingles")
     ranked = held.join(often.hint("merge"), ["cluster", "shingle"]).groupBy("cluster", "rep", "item", "n", "need").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("known"))
     left = F.greatest(F.col("need") - (F.col("n") - F.size("known")), F.lit(0)).cast("int")
     prefix = shared.written(ranked.select("cluster", "rep", F.explode(F.slice("known", F.lit(1), left)).alias("k")).select("cluster", "rep", "k.shingle"), "prefixes")
-    least = prefix.groupBy("cluster", "shingle").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = shared.written(prefix.groupBy("cluster", "shingle").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
     hung = prefix.join(least.hint("merge"), ["cluster", "shingle"]).groupBy("rep").agg(F.min("a").alias("least"), F.collect_set("a").alias("others"))
     edges = hung.select(F.col("least").alias("a"), F.explode(F.array_append("others", F.col("rep"))).alias("b")).where("a <> b").distinct()
     parts = components(edges).select(F.col("node").alias("rep"), F.col("component").alias("part"))
@@ -269,38 +295,40 @@ def taken_apart(texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def in_rounds(texts: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): edges between the components of clusters of several blocks, from texts (rep, text) and members (cluster, rep, n_bytes)."""
-    state = shared.written(members.select("cluster", "rep", "n_bytes", F.col("rep").alias("comp"), F.lit(False).alias("asked")), "round")
+    """(a, b): edges that connect the linked members of clusters of several blocks, from texts (rep, text) and members (cluster, rep, n_bytes)."""
+    rows = members.count()
+    state = shared.written(members.select("cluster", "rep", "n_bytes", F.lit(False).alias("asked"), F.lit(False).alias("joined")), "round", rows)
+    edges: list[DataFrame] = []
     width = 1
     while True:
-        counts = state.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-        giants = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("comp").alias("giant"))).alias("g")).select("cluster", "g.giant")
-        idle = ~F.col("asked") & ((F.col("comp") != F.col("giant")) if width > 1 else F.lit(True))
-        left = state.join(giants, "cluster").select("*", idle.alias("pool"))
-        open_ = left.groupBy("cluster").agg(
+        pool = ~F.col("asked") & ~F.col("joined")
+        waiting = state.groupBy("cluster").agg(
             _blocks(F.count("*"), F.sum("n_bytes")).alias("chunks"),
-            F.count_if("pool").alias("waiting"),
-            _blocks(F.count_if("pool"), F.coalesce(F.sum(F.when(F.col("pool"), F.col("n_bytes"))), F.lit(0))).alias("slots"),
+            _blocks(F.count_if(pool), F.coalesce(F.sum(F.when(pool, F.col("n_bytes"))), F.lit(0))).alias("slots"),
+            F.count_if(pool).alias("waiting"),
+            F.count_if("joined").alias("most"),
         )
-        left = left.join(open_.where("waiting > 0"), "cluster").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(width)), F.col("slots")))
-        left = shared.written(left.withColumn("asks", F.col("pool") & (F.col("slot") < width)), "asking")
+        left = state.join(waiting.where("waiting > 0"), "cluster").withColumn("slot", F.pmod(F.xxhash64("rep", F.lit(width)), F.col("slots")))
+        left = shared.written(left.withColumn("asks", pool & (F.col("slot") < width)), "asking", rows)
         if left.isEmpty():
             break
-        asking = left.where("asks").select("cluster", "rep", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("left"))
+        asking = left.where("asks").select("cluster", "rep", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("asks"))
         slots = F.least(F.col("slots"), F.lit(width).cast("long"))
-        others = left.where("not asked").select("cluster", "rep", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"), F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(False).alias("left"))
-        dealt = asking.unionByName(others).select(F.xxhash64("cluster", "slot", "chunk").alias("group"), "rep", "left", (~F.col("left")).alias("right"))
-        found = shared.written(compared(texts.join(dealt.hint("merge"), "rep").select("group", "rep", "left", "right", "text"), like), "links")
-        label = state.select("rep", "comp")
-        ends = found.join(label.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(label.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
-        joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        asked = left.where("asks").select("rep", F.lit(True).alias("now")).distinct()
-        new = state.join(joined, F.col("comp") == F.col("node"), "left").join(asked, "rep", "left")
-        new = shared.written(new.select("cluster", "rep", "n_bytes", F.coalesce("component", "comp").alias("comp"), F.coalesce("now", "asked").alias("asked")), "round")
-        shared.dropped(state, left, found)
+        others = left.where("not asked").select("cluster", "rep", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"), F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), F.lit(False).alias("asks"))
+        dealt = asking.unionByName(others).select(F.xxhash64("cluster", "slot", "chunk").alias("group"), "cluster", "rep", "asks")
+        found = shared.written(compared(texts.join(dealt.hint("merge"), "rep").select("group", "cluster", "rep", "asks", "text"), like).distinct(), "links", rows)
+        edges.append(found.select("a", "b"))
+        # The members linked to one group of asking ones need not meet each other: the largest such set of a cluster so far.
+        sets = found.groupBy("cluster", "a").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "a")).alias("g")).select("cluster", "g.n", F.col("g.a").alias("root"))
+        better = sets.join(waiting.select("cluster", "most"), "cluster").where("n > most").select("cluster", "root")
+        linked = found.join(better, (found.cluster == better.cluster) & (found.a == better.root)).select(F.col("b").alias("rep"), F.lit(True).alias("now")).distinct()
+        new = state.join(better, "cluster", "left").join(linked, "rep", "left").join(left.where("asks").select("rep", F.lit(True).alias("did")), "rep", "left")
+        joined = F.when(F.col("root").isNull(), F.col("joined")).otherwise(F.coalesce("now", F.lit(False)) | (F.col("rep") == F.col("root")))
+        new = shared.written(new.select("cluster", "rep", "n_bytes", F.coalesce("did", "asked").alias("asked"), joined.alias("joined")), "round", rows)
+        shared.dropped(state, left)
         state, width = new, width * _GROWTH
-    shared.dropped(left)
-    return state.where("rep <> comp").select(F.col("comp").alias("a"), F.col("rep").alias("b"))
+    shared.dropped(left, state)
+    return reduce(DataFrame.unionByName, edges)
 
 
 def confirm(rows: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
@@ -309,15 +337,16 @@ def confirm(rows: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     # Rows that repeat an id and its text are one; the join has brought an id's rows together already.
     texts = rows.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "cluster", "blocks", "text").distinct()
     texts = shared.written(texts, "texts")
-    whole = F.lit(True)
-    small = compared(texts.where("blocks = 1").select(F.col("cluster").alias("group"), "rep", whole.alias("left"), whole.alias("right"), "text"), like)
+    ask = F.lit(True).alias("asks")
+    small = compared(texts.where("blocks = 1").select(F.col("cluster").alias("group"), "cluster", "rep", ask, "text"), like).select("a", "b")
     large = texts.where("blocks > 1")
     if large.isEmpty():
         return small
     parts = taken_apart(large, like)
-    again = shared.written(sized(members.where("blocks > 1").select("rep", "n_bytes").join(parts, "rep").select(F.col("part").alias("cluster"), "rep", "n_bytes")), "parts")
+    again = sized(members.where("blocks > 1").select("rep", "n_bytes").join(parts, "rep").select(F.col("part").alias("cluster"), "rep", "n_bytes"))
+    again = shared.written(again, "parts", members.count())
     own = large.select("rep", "text").join(again.hint("merge"), "rep")
-    small = small.unionByName(compared(own.where("blocks = 1").select(F.col("cluster").alias("group"), "rep", whole.alias("left"), whole.alias("right"), "text"), like))
+    small = small.unionByName(compared(own.where("blocks = 1").select(F.col("cluster").alias("group"), "cluster", "rep", ask, "text"), like).select("a", "b"))
     rest = again.where("blocks > 1")
     return small.unionByName(in_rounds(shared.written(own.where("blocks > 1").select("rep", "text"), "texts"), rest, like))
 
@@ -345,24 +374,6 @@ def links(sets: np.ndarray, ranges: np.ndarray, left: np.ndarray, right: np.ndar
     return np.nonzero(found)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect whatever (a, b) connect, at most one per node."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = x = root[up]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))

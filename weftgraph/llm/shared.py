@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 PIECE_BYTES = 1 << 20
+FILE_ROWS = 500_000
 ARROW_BYTES = 8 << 20
 
 _IS_WORD = np.ones(256, bool)
@@ -58,11 +59,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: about how many there are at most, where they are short and known; they go to a file for each FILE_ROWS.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -140,8 +144,8 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) ->
         yield _table(held), is_cut
 
 
-def frequent(keys: DataFrame, at_least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of keys(key: array of longs) that are frequent, ascending, and how often each was seen at least.
+def frequent(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], at_least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent ones of the keys (longs) that keys_of finds in rows, ascending, and how often each was seen at least.
 
     Only keys that a batch holds twice are counted, so little is shuffled; a key with a share of all rows that matters
     is in every batch. `most` bounds what the driver gets, as a frequent key has more than that part of all.
@@ -149,13 +153,13 @@ def frequent(keys: DataFrame, at_least: int, most: int) -> tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy()
+            flat = keys_of(batch)
             found, often = np.unique(flat, return_counts=True)
             twice = often > 1
             key, n = np.append(found[twice], 0), np.append(often[twice], 0)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(np.append(np.zeros(len(key) - 1, np.int64), len(flat)))], names=["key", "often", "total"])
 
-    counts = written(keys.mapInArrow(run, "key long, often long, total long").groupBy("key").agg(F.sum("often").alias("often"), F.sum("total").alias("total")), "frequent")
+    counts = written(rows.mapInArrow(run, "key long, often long, total long").groupBy("key").agg(F.sum("often").alias("often"), F.sum("total").alias("total")), "frequent")
     total = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     got = counts.where(F.col("often") >= max(at_least, -(-total // most))).select("key", "often").toArrow()
     dropped(counts)
