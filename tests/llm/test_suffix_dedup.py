@@ -47,15 +47,35 @@ def passages(seed=0, n=60, repeats=True):
     return rows + (documents(n=20) + [rows[3], (None, rows[4][1], "en", "s", 1)] if repeats else [])
 
 
-@pytest.mark.parametrize("hot,repeats", [(50_000, True), (50_000, False), (3, True), (3, False)])
-def test_dedup(spark, monkeypatch, hot, repeats):
-    monkeypatch.setattr(s, "HOT_ROWS", hot)
+@pytest.mark.parametrize("most,repeats", [(20_000, True), (20_000, False), (3, True), (3, False)])
+def test_dedup(spark, monkeypatch, most, repeats):
+    monkeypatch.setattr(s, "GROUP_ROWS", most)
+    monkeypatch.setattr(s, "SORT_ROWS", most)
     for seed in (0, 1):
         rows = passages(seed, repeats=repeats)
         got = sorted(map(tuple, s.dedup(clashing(spark, rows).repartition(5)).collect()), key=repr)
         assert got == brute(rows, spark)
 
 
+@pytest.mark.parametrize("key_bits,context_bits,most", [(-1, 1, 20_000), (7, -1, 20_000), (3, 0, 20_000), (3, 0, 40)])
+def test_colliding_hashes_remove_nothing_else(spark, monkeypatch, key_bits, context_bits, most):
+    """Anchors and contexts that share hashes: what is removed is told from bytes."""
+    monkeypatch.setattr(s, "KEY_BITS", key_bits)
+    monkeypatch.setattr(s, "CONTEXT_BITS", context_bits)
+    monkeypatch.setattr(s, "GROUP_ROWS", most)
+    monkeypatch.setattr(s, "SORT_ROWS", most)
+    rows = passages(5, n=25, repeats=False)
+    got = sorted(map(tuple, s.dedup(frame(spark, rows).repartition(3)).collect()), key=repr)
+    assert got == brute(rows, spark)
+
+
+def test_claims_that_continue_each_other(spark):
+    rows = [(1, 0, 9, 0, 50, 0, 120), (1, 0, 9, 0, 50, 30, 160), (1, 0, 9, 0, 50, 161, 300), (1, 0, 9, 0, 51, 0, 120), (1, 0, 8, 0, 50, 120, 240), (2, 0, 9, 0, 50, 100, 240)]
+    names = ["doc", "tie", "src", "src_tie", "shift", "start", "stop"]
+    got = sorted(map(tuple, s._joined_claims(spark.createDataFrame(rows * 1, names)).collect()))
+    assert got == sorted([(1, 0, 9, 0, 50, 0, 160), *rows[2:]])
+
+
 def test_long_texts_in_segments(spark):
     rnd = random.Random(4)
     block = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))

@@ -6,17 +6,18 @@ Every byte that a repeated string of LENGTH bytes covers is removed, but for the
 1. Each window of LENGTH bytes is known by an anchor, its least-hashed run of GRAM bytes. Equal windows have equal
    anchors at equal places, so only windows around anchors that occur again can repeat. One row per anchor goes through
    the shuffle, about one per 35 bytes, with a hash of all bytes its windows touch (its context).
-2. Occurrences of an anchor with a context that occurred before repeat in all their windows: removed at once. Those
-   whose contexts differ are looked at byte by byte.
-3. Their suffixes from the anchor on are sorted by mergesort. Two suffixes are compared in logarithmic steps: prefix
-   polynomial hashes and binary search find their common extension, and the byte after it decides. Neighbours' common
-   extensions then show which suffixes share a window's right side; hashes of the left side split them further. Every
-   extension that decides something is verified byte by byte; on a hash collision the task starts again with another
-   base.
-
-An anchor that occurs more often than the hot limit (at least HOT_ROWS, and so that at most MOST_HOT anchors can be hot)
-is not sent to one task: its windows are hashed where they lie, their first occurrences found by a pre-aggregated
-minimum, and repeats told by a join on the windows.
+2. An occurrence whose context occurred before claims to equal that first occurrence. Claims that continue each other
+   are joined to segments, and every byte of them is compared with the bytes it claims to equal, block by block. Where
+   one differs, its anchors' occurrences are all looked at in the next step instead.
+3. The first occurrences of an anchor's different contexts go to one task with their bytes. Their suffixes from the
+   anchor on are sorted by mergesort. Two suffixes are compared in logarithmic steps: prefix polynomial hashes and
+   binary search find their common extension, and the byte after it decides. Neighbours' common extensions then show
+   which suffixes share a window's right side; hashes of the left side split them further. Every extension that decides
+   something is verified byte by byte; on a hash collision the task starts again with another base.
+
+So nothing is removed for a hash alone. A frequent anchor's occurrences are dealt out over several tasks, each anchor's
+rows are taken in runs of at most GROUP_ROWS, and the runs' first occurrences meet in a pre-aggregated second step. An
+anchor with more than SORT_ROWS different contexts is too much for one sort: its windows are grouped by all their bytes.
 
 Nulls are empty texts. A null doc_id comes before all others. Rows that share a doc_id come in order of a hash of their
 text; rows that also share the text are one document. Other columns are not read.
@@ -36,8 +37,12 @@ from weftgraph.llm import shared
 
 LENGTH = 100
 GRAM = 32
-HOT_ROWS = 50_000
+GROUP_ROWS = 20_000
+SORT_ROWS = 2048
 MOST_HOT = 100_000
+BLOCK = 256
+#: The bits of the hashes that are used; tests use few, so that hashes collide.
+KEY_BITS = CONTEXT_BITS = -1
 _WINDOW = LENGTH - GRAM + 1
 _SEGMENT = 1 << 19
 _POS_BITS = 20
@@ -103,85 +108,185 @@ def _rows_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     return rows.select("doc", (F.lit(0) if unique else F.xxhash64("text")).cast("long").alias("tie"), "text"), unique
 
 
-def hot_keys(rows: DataFrame) -> list[int]:
-    """Anchors too frequent for one task; at most MOST_HOT of them, since a hot one has a share of all anchors."""
+def _anchors_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    data, offs = shared.buffers(batch.column(column))
+    for part, at, row, base in segments(data, offs):
+        yield anchors(part, at), at, row, base
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, total = [np.zeros(0, np.int64)], 0
-            data, offs = shared.buffers(batch.column(2))
-            for part, at, _, _ in segments(data, offs):
-                keys.append(anchors(part, at)["key"])
-            found, often = np.unique(np.concatenate(keys), return_counts=True)
-            total = int(often.sum())
-            twice = often > 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found[twice], 0)), pa.array(np.append(often[twice], 0)), pa.array(np.append(np.zeros(int(twice.sum()), np.int64), total))], names=["key", "often", "total"])
-
-    counts = shared.written(rows.mapInArrow(run, "key long, often long, total long").groupBy("key").agg(F.sum("often").alias("often"), F.sum("total").alias("total")), "anchor-counts")
-    total = counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    limit = max(HOT_ROWS, -(-total // MOST_HOT))
-    return [r.key for r in counts.where(F.col("often") >= limit).select("key").collect()]
 
+def _occurrences(rows: DataFrame, suspect: np.ndarray) -> DataFrame:
+    """Every anchor: (group, key, context, doc, tie, place), place packing position, first and last window.
 
-def _occurrences(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Every anchor but the hot ones: (key, context, doc, tie, place), place packing position, first and last window."""
+    group is the key, or one of several for a frequent key, which only then stands beside it. Occurrences of suspect
+    keys have contexts of their own.
+    """
+    key_bits, context_bits, spread = np.int64(KEY_BITS), np.int64(CONTEXT_BITS), -(-GROUP_ROWS // 2)
+    hot, often = shared.frequent(rows.select("text"), lambda batch: np.concatenate([np.zeros(0, np.int64), *(a["key"] & key_bits for a, *_ in _anchors_of(batch, 0))]), GROUP_ROWS, MOST_HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offs = shared.buffers(batch.column(2))
-            for part, at, row, base in segments(data, offs):
-                a = anchors(part, at)
-                if len(hot):
-                    cold = ~np.isin(a["key"], hot)
-                    a = {k: v[cold] for k, v in a.items()}
+            docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, at, row, base in _anchors_of(batch, 2):
+                key, context = a["key"] & key_bits, a["context"] & context_bits
+                doc, tie = docs[row[a["row"]]], ties[row[a["row"]]]
                 place = base[a["row"]] + a["at"] - at[a["row"]]
+                name = shared.mix(doc.view(np.uint64) ^ shared.mix(tie.view(np.uint64) ^ shared.mix(place.view(np.uint64))))
+                if len(suspect):
+                    context = np.where(np.isin(key, suspect), name.view(np.int64), context)
+                is_hot = np.isin(key, hot)
+                group = key.copy()
+                parts = -(-often[np.searchsorted(hot, key[is_hot])] // spread)
+                group[is_hot] = shared.mix(key[is_hot].view(np.uint64) + name[is_hot] % np.maximum(parts, 1).astype(np.uint64) + np.uint64(1)).view(np.int64)
                 packed = (place << 16) | ((a["at"] - a["first"]) << 8) | (a["at"] - a["last"])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a["key"], a["context"], doc[row[a["row"]]], tie[row[a["row"]]], packed)], names=["key", "context", "doc", "tie", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(key, mask=~is_hot), *(pa.array(x) for x in (context, doc, tie, packed))], names=["group", "key", "context", "doc", "tie", "place"])
 
-    return rows.mapInArrow(run, "key long, context long, doc long, tie long, place long")
+    return rows.mapInArrow(run, "group long, key long, context long, doc long, tie long, place long")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by their first column, regrouped so that no key's rows are in two tables."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if cut == 0 and held and held[-1].column(0)[0].as_py() == keys[-1]:
-            held.append(batch)
-            continue
-        whole = [*held, batch.slice(0, cut)]
-        if any(b.num_rows for b in whole):
-            yield pa.Table.from_batches(whole).combine_chunks()
-        held = [batch.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+_CLAIM, _LOOK, _OPEN = 0, 1, 2
 
 
-def _sort_contexts(occurrences: DataFrame) -> DataFrame:
-    """Removed spans (kind 0) and occurrences whose context is new to a repeated anchor (kind 1)."""
+def _meet(occurrences: DataFrame) -> DataFrame:
+    """Claims (kind 0) with the place they claim to equal, `shift` bytes on in document src; first occurrences of a
+    repeated key's contexts (1); and first occurrences in a part of a key's rows, yet to meet those of other parts (2).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches):
-            key, context, doc, tie, place = (t.column(i).to_numpy() for i in range(5))
-            group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
+        for t, is_cut in shared.sorted_groups(batches, GROUP_ROWS):
+            groups, own, context, doc, tie, place = (t.column(i) for i in range(6))
+            part = is_cut | ~own.is_null().to_numpy()
+            groups = groups.to_numpy()
+            key = np.where(own.is_null().to_numpy(), groups, own.fill_null(0).to_numpy())
+            context, doc, tie, place = (x.to_numpy() for x in (context, doc, tie, place))
+            group = np.cumsum(np.concatenate(([0], (groups[1:] != groups[:-1]).astype(np.int64))))
             order = np.lexsort((np.arange(len(key)), context, group))
             same = np.zeros(len(key), bool)
             same[1:] = (group[order[1:]] == group[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-            again = np.zeros(len(key), bool)
+            again, first = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
             again[order] = same
+            first[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
             firsts = np.bincount(group[~again], minlength=group[-1] + 1)
-            look = ~again & (firsts[group] > 1)
+            kind = np.where(again, _CLAIM, np.where(part, _OPEN, _LOOK))
+            use = np.flatnonzero(again | part | (firsts[group] > 1))
             at, lead, trail = place >> 16, (place >> 8) & 255, place & 255
-            spans = [key[again], doc[again], tie[again], (at - lead)[again], (at - trail)[again] + LENGTH, np.zeros(int(again.sum()), np.int64)]
-            more = [key[look], doc[look], tie[look], (at - lead)[look], (at - trail)[look] + LENGTH, at[look] + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b))) for a, b in zip(spans, more)], names=["key", "doc", "tie", "start", "stop", "anchor"])
+            claim = again[use]
+            columns = [pa.array(x[use]) for x in (kind, key, doc, tie, at - lead, at - trail + LENGTH, at)]
+            columns.append(pa.array(context[use], mask=kind[use] != _OPEN))
+            columns += [pa.array(x[first[use]], mask=~claim) for x in (doc, tie)] + [pa.array((at[first] - at)[use], mask=~claim)]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "doc", "tie", "start", "stop", "anchor", "context", "src", "src_tie", "shift"])
+
+    dealt = occurrences.repartition("group").sortWithinPartitions("group", "doc", "tie", "place")
+    return dealt.mapInArrow(run, "kind long, key long, doc long, tie long, start long, stop long, anchor long, context long, src long, src_tie long, shift long")
+
+
+def _claims_and_looks(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc, tie, start, stop, src, src_tie, shift) of all claims, (key, doc, tie, start, stop, anchor) of all to look at."""
+    claim, look = ["key", "doc", "tie", "start", "stop", "src", "src_tie", "shift"], ["key", "doc", "tie", "start", "stop", "anchor"]
+    open_ = met.where(F.col("kind") == _OPEN)
+    place = F.struct("doc", "tie", "start", "stop", "anchor")
+    # Tables that are written join by plain exchanges, of which Spark splits large parts.
+    firsts = shared.written(open_.groupBy("key", "context").agg(F.min(place).alias("f")), "firsts")
+    later = open_.join(firsts.hint("merge"), ["key", "context"]).where(place != F.col("f"))
+    later = later.select("key", "doc", "tie", "start", "stop", F.col("f.doc").alias("src"), F.col("f.tie").alias("src_tie"), (F.col("f.anchor") - F.col("anchor")).alias("shift"))
+    several = shared.written(firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "several")
+    more = firsts.join(several.hint("merge"), "key").select("key", "f.*")
+    return met.where(F.col("kind") == _CLAIM).select(*claim).unionByName(later), met.where(F.col("kind") == _LOOK).select(*look).unionByName(more.select(*look))
+
+
+def _joined_claims(claims: DataFrame) -> DataFrame:
+    """Claims as (doc, tie, src, src_tie, shift, start, stop), those that continue each other as one."""
+    names = ["doc", "tie", "src", "src_tie", "shift", "start", "stop"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((7, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            head = np.ones(rows.shape[1], bool)
+            head[1:] = (rows[:5, 1:] != rows[:5, :-1]).any(axis=0) | (rows[5, 1:] > rows[6, :-1])
+            at = np.flatnonzero(head)
+            out = np.concatenate((rows[:6, at], rows[6:, np.append(at[1:], rows.shape[1]) - 1]))
+            held = out[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out[:, :-1]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=names)
+
+    dealt = claims.select(*names).repartition("doc", "tie").sortWithinPartitions(*names[:6])
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """data[start[i]:stop[i]] of each i as a binary column."""
+    size = stop - start
+    offs = np.concatenate(([0], np.cumsum(size)))
+    index = np.arange(int(offs[-1])) + np.repeat(start - offs[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data[index])])
 
-    dealt = occurrences.repartition("key").sortWithinPartitions("key", "doc", "tie", "place")
-    return dealt.mapInArrow(run, "key long, doc long, tie long, start long, stop long, anchor long")
+
+_CUTS = "kind long, key long, doc long, tie long, start long, anchor long, src long, src_tie long, block long, place long, bytes binary"
+_PIECE_OF, _BLOCK_OF = 3, 4
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """Bytes from (doc, tie, text, looks, claims, blocks): contexts to look at (kind 1), pieces of claims by the blocks of
+    the documents they claim to equal (3), and those blocks (4)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offs = shared.buffers(batch.column(2))
+
+            def rows(kind: int, row: np.ndarray, start: np.ndarray, stop: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for lo in range(0, len(row), 20_000):
+                    r = slice(lo, lo + 20_000)
+                    given = {"kind": np.full(len(row[r]), kind), "doc": docs[row[r]], "tie": ties[row[r]], "start": start[r], "bytes": _gathered(data, offs[row[r]] + start[r], offs[row[r]] + stop[r])} | {k: v[r] for k, v in columns.items()}
+                    names = [c.split()[0] for c in _CUTS.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.array(given[n]) if n in given else pa.nulls(len(row[r]), pa.int64()) for n in names], names=names)
+
+            def listed(i: int) -> tuple[np.ndarray, list[np.ndarray]]:
+                at = batch.column(i).offsets.to_numpy()
+                values = batch.column(i).flatten()
+                return np.repeat(np.arange(batch.num_rows), np.diff(at)), [x.to_numpy(zero_copy_only=False) for x in (values.flatten() if pa.types.is_struct(values.type) else [values])]
+
+            row, (key, start, stop, anchor) = listed(3)
+            yield from rows(_LOOK, row, start, stop, key=key, anchor=anchor)
+            row, (start, stop, src, src_tie, shift) = listed(4)
+            block = (start + shift) // BLOCK
+            many = (stop + shift - 1) // BLOCK - block + 1
+            of = np.repeat(np.arange(len(row)), many)
+            block = block[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            lo = np.maximum(start[of] + shift[of], block * BLOCK)
+            hi = np.minimum(stop[of] + shift[of], (block + 1) * BLOCK)
+            yield from rows(_PIECE_OF, row[of], lo - shift[of], hi - shift[of], src=src[of], src_tie=src_tie[of], block=block, place=lo - block * BLOCK)
+            row, (block,) = listed(5)
+            there = (block >= 0) & (block * BLOCK < np.diff(offs)[row])
+            row, block = row[there], block[there]
+            yield from rows(_BLOCK_OF, row, block * BLOCK, np.minimum((block + 1) * BLOCK, np.diff(offs)[row]), src=docs[row], src_tie=ties[row], block=block)
+
+    return texts.mapInArrow(run, _CUTS)
+
+
+def _cuts(rows: DataFrame, looks: DataFrame, joined: DataFrame) -> DataFrame:
+    """The bytes that looks and joined claims need, texts read once."""
+    look, claim = F.struct("key", "start", "stop", "anchor"), F.struct("start", "stop", "src", "src_tie", "shift")
+    first, last = (F.floor((F.col(c) + F.col("shift") - less) / BLOCK) for c, less in (("start", 0), ("stop", 1)))
+    blocks = joined.select(F.col("src").alias("doc"), F.col("src_tie").alias("tie"), F.explode(F.sequence(first, last)).alias("block")).distinct()
+    wanted = looks.select("doc", "tie", look.alias("look")).unionByName(joined.select("doc", "tie", claim.alias("claim")), True).unionByName(blocks, True)
+    wanted = wanted.groupBy("doc", "tie").agg(F.collect_list("look").alias("looks"), F.collect_list("claim").alias("claims"), F.collect_list("block").alias("blocks"))
+    return _cut(rows.join(wanted.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "looks", "claims", "blocks"))
+
+
+def _unlike(cuts: DataFrame, claims: DataFrame) -> np.ndarray:
+    """Keys of the claims of which some byte differs from the byte it claims to equal."""
+    names = ["src", "src_tie", "block"]
+    blocks = cuts.where(F.col("kind") == _BLOCK_OF).select(*names, F.col("bytes").alias("there"))
+    pieces = cuts.where(F.col("kind") == _PIECE_OF).select("doc", "tie", "start", *names, "place", "bytes")
+    there = F.substring("there", F.col("place").cast("int") + 1, F.length("bytes"))
+    bad = pieces.join(blocks.hint("merge"), names, "left").where(F.coalesce(there != F.col("bytes"), F.lit(True)))
+    bad = shared.written(bad.select("doc", "tie", F.col("start").alias("lo"), (F.col("start") + F.length("bytes")).alias("hi")), "unlike")
+    if bad.isEmpty():
+        return np.zeros(0, np.int64)
+    return np.array([r.key for r in claims.join(bad, ["doc", "tie"]).where("start < hi and stop > lo").select("key").distinct().collect()], np.int64)
 
 
 class Suffixes:
@@ -328,10 +433,10 @@ def merge_spans(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sort_suffixes(contexts: DataFrame) -> DataFrame:
-    """Removed spans from (key, doc, tie, start, anchor, bytes), the contexts that repeated anchors do not share."""
+    """Removed spans from (key, doc, tie, start, anchor, bytes), the different contexts of repeated anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches):
+        for t, _ in shared.sorted_groups(batches):
             key, doc, tie, start, anchor = (t.column(i).to_numpy() for i in range(5))
             data, offs = shared.buffers(t.column(5))
             group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).astype(np.int64))))
@@ -343,60 +448,51 @@ def _sort_suffixes(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("key").sortWithinPartitions("key", "doc", "tie", "start").mapInArrow(run, _SPANS)
 
 
-def _cut_contexts(texts: DataFrame) -> DataFrame:
-    """(key, doc, tie, start, anchor, bytes) from (doc, tie, text, wanted: array of key, start, stop, anchor)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = shared.buffers(batch.column(2))
-            wanted = batch.column(3)
-            at = wanted.offsets.to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            key, start, stop, anchor = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
-            raw = memoryview(np.ascontiguousarray(data))
-            for lo in range(0, len(row), 20_000):
-                r = slice(lo, lo + 20_000)
-                cut = [raw[a:b] for a, b in zip((offs[row[r]] + start[r]).tolist(), (offs[row[r]] + stop[r]).tolist())]
-                cols = [key[r], batch.column(0).to_numpy()[row[r]], batch.column(1).to_numpy()[row[r]], start[r], anchor[r]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array([bytes(c) for c in cut], pa.binary())], names=["key", "doc", "tie", "start", "anchor", "bytes"])
-
-    return texts.mapInArrow(run, "key long, doc long, tie long, start long, anchor long, bytes binary")
-
-
-def _hot_spans(rows: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Removed spans around hot anchors, window by window; a batch sends each different window once."""
+def _group_windows(contexts: DataFrame) -> DataFrame:
+    """What _sort_suffixes returns, for anchors with too many contexts: window by window, each known by all its bytes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offs = shared.buffers(batch.column(2))
-            for part, at, row, base in segments(data, offs):
-                a = anchors(part, at)
-                some = np.isin(a["key"], hot)
-                first, last, own = a["first"][some], a["last"][some], a["row"][some]
-                many = last - first + 1
-                start = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
-                own = np.repeat(own, many)
-                raw = memoryview(np.ascontiguousarray(part))
-                name = [hashlib.blake2b(raw[x : x + LENGTH], digest_size=16).digest() for x in start.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), pa.array(doc[row[own]]), pa.array(tie[row[own]]), pa.array(base[own] + start - at[own])], names=["name", "doc", "tie", "start"])
-
-    found = rows.mapInArrow(windows, "name binary, doc long, tie long, start long")
+            doc, tie, start = (batch.column(i).to_numpy() for i in range(3))
+            data, offs = shared.buffers(batch.column(3))
+            many = np.diff(offs) - LENGTH + 1
+            of = np.repeat(np.arange(batch.num_rows), many)
+            back = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            for lo in range(0, len(of), 50_000):
+                i, k = of[lo : lo + 50_000], back[lo : lo + 50_000]
+                at = offs[i] + k
+                yield pa.RecordBatch.from_arrays([_gathered(data, at, at + LENGTH), pa.array(doc[i]), pa.array(tie[i]), pa.array(start[i] + k)], names=["window", "doc", "tie", "start"])
+
+    found = contexts.select("doc", "tie", "start", "bytes").mapInArrow(windows, "window binary, doc long, tie long, start long")
     place = F.struct("doc", "tie", "start")
-    firsts = found.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return found.join(firsts, "name").where(place != F.col("first")).select("doc", "tie", "start", (F.col("start") + LENGTH).alias("stop"))
+    firsts = shared.written(found.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "windows")
+    return found.join(firsts.hint("merge"), "window").where(place != F.col("first")).select("doc", "tie", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def removed_spans(rows: DataFrame, unique: bool) -> DataFrame:
     """(doc, tie, spans: array of start, stop) of every document that loses bytes; spans may overlap."""
     once = rows if unique else rows.dropDuplicates(["doc", "tie"])
-    hot = np.array(sorted(hot_keys(once)), np.int64)
-    sorted_ = shared.written(_sort_contexts(_occurrences(once, hot)), "anchors")
-    wanted = sorted_.where("anchor > 0").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "stop", (F.col("anchor") - 1).alias("anchor"))).alias("wanted"))
-    contexts = _cut_contexts(once.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted"))
-    spans = sorted_.where("anchor = 0").select("doc", "tie", "start", "stop").unionByName(_sort_suffixes(contexts))
-    if len(hot):
-        spans = spans.unionByName(_hot_spans(once, hot))
+    suspect = np.zeros(0, np.int64)
+    while True:
+        met = shared.written(_meet(_occurrences(once, suspect)), "anchors")
+        claims, looks = _claims_and_looks(met)
+        joined = shared.written(_joined_claims(claims), "claims")
+        cuts = shared.written(_cuts(once, looks, joined), "cuts")
+        unlike = np.setdiff1d(_unlike(cuts, claims), suspect)
+        if not len(unlike):
+            break
+        suspect = np.concatenate((suspect, unlike))
+        shared.dropped(met, joined, cuts)
+    shared.dropped(met)
+    contexts = cuts.where(F.col("kind") == _LOOK).select("key", "doc", "tie", "start", "anchor", "bytes")
+    crowded = shared.written(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SORT_ROWS).select("key"), "crowded")
+    spans = joined.select("doc", "tie", "start", "stop")
+    if crowded.isEmpty():
+        spans = spans.unionByName(_sort_suffixes(contexts))
+    else:
+        spans = spans.unionByName(_sort_suffixes(contexts.join(crowded, "key", "left_anti"))).unionByName(_group_windows(contexts.join(crowded, "key", "left_semi")))
+    spans = shared.written(spans, "spans")
+    shared.dropped(joined, cuts)
     return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
