@@ -48,9 +48,11 @@ def test_batches_count_once_also_when_compacted(spark, tmp_path):
     assert store.commit("b1", t.inserts(rows, "words-1"))
     one = totals(store)
     assert not store.commit("b1", t.inserts(rows, "words-1")) and totals(store) == one
-    store.compact("sum-1")
+    assert store.compact() and store.compact()
     assert not store.commit("b1", t.inserts(rows, "words-1")) and totals(store) == one
     assert store.commit("b2", t.deletes(rows, "words-1")) and totals(store) == {}
+    store.clean()
+    assert totals(store) == {} and store.compact() and totals(store) == {}
     with pytest.raises(ValueError):
         store.commit("../x", rows)
 
@@ -58,11 +60,71 @@ def test_batches_count_once_also_when_compacted(spark, tmp_path):
 def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
     rows = t.counted(frame(spark, documents()))
     a, b = (t.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
-    assert a.commit("b1", t.inserts(rows, "words-1"))
-    one = totals(a)
-    monkeypatch.setattr(b, "_known", lambda batch: False)  # it looked before the other was done
+    written = b._written
+
+    def overtaken(changes):
+        assert a.commit("b1", t.inserts(rows, "words-1"))
+        return written(changes)
+
+    monkeypatch.setattr(b, "_written", overtaken)
     assert not b.commit("b1", t.inserts(rows, "words-1"))
-    assert totals(b) == one
+    assert totals(b) == totals(a) != {}
+
+
+def test_two_that_compact_at_once(spark, tmp_path, monkeypatch):
+    rows = t.counted(frame(spark, documents()))
+    a, b = (t.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    assert a.commit("b1", t.inserts(rows, "words-1"))
+    one, written = totals(a), b._written
+
+    def overtaken(changes):
+        assert a.compact() and a.commit("b2", t.inserts(rows, "bytes4-1"))
+        return written(changes)
+
+    monkeypatch.setattr(b, "_written", overtaken)
+    assert not b.compact()
+    assert totals(b).items() > one.items() and totals(a) == totals(b)
+
+
+class Lost(Exception):
+    pass
+
+
+@pytest.mark.parametrize("act", ["commit", "compact"])
+@pytest.mark.parametrize("step", ["before", "written", "created"])
+def test_a_driver_lost_between_any_two_steps(spark, tmp_path, monkeypatch, act, step):
+    """What was there stays, and the same call by the next driver does the whole work once."""
+    rows = t.counted(frame(spark, documents()))
+    want = totals_of(spark, tmp_path / "w", [t.inserts(rows, "words-1"), t.revisions(rows, "words-1", "bytes4-1")])
+    store = t.Rollup(spark, str(tmp_path / "r"))
+    assert store.commit("b1", t.inserts(rows, "words-1"))
+    before = totals(store)
+    if act == "compact":
+        assert store.commit("b2", t.revisions(rows, "words-1", "bytes4-1"))
+        before = want
+    run = (lambda s: s.commit("b2", t.revisions(rows, "words-1", "bytes4-1"))) if act == "commit" else (lambda s: s.compact())
+    lost = t.Rollup(spark, str(tmp_path / "r"))
+
+    def dies(*_):
+        if step == "created":
+            lost._fs.create(lost._path(_[0]), False).close()
+        raise Lost
+
+    monkeypatch.setattr(lost, "_written" if step == "before" else "_marked", dies)
+    with pytest.raises(Lost):
+        run(lost)
+    assert totals(store) == before
+    assert run(store) and totals(store) == want
+    assert not store.commit("b1", t.inserts(rows, "words-1")) and not store.commit("b2", t.inserts(rows, "words-1"))
+    assert store.compact()
+    assert totals(store) == want
+
+
+def totals_of(spark, path, batches):
+    store = t.Rollup(spark, str(path))
+    for i, b in enumerate(batches):
+        store.commit(f"b{i}", b)
+    return totals(store)
 
 
 def test_revision_is_a_delete_and_an_insert(spark, tmp_path):

@@ -46,12 +46,13 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_rollup.corpus_rollup(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"), shared.shared_dir(spark, "rollup"))
+    """Totals under the tokenizer's own counts, which SQL cannot express."""
+    return token_rollup.bpe_rollup(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"), shared.shared_dir(spark, "rollup"))
 
 
-def op8_bpe_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same store under the tokenizer's own counts, which SQL cannot express."""
-    return token_rollup.bpe_rollup(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"), shared.shared_dir(spark, "rollup"))
+def op8_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store under versions that SQL can count: words and a quarter of the bytes."""
+    return token_rollup.corpus_rollup(_documents(spark, sf_dir), shared.read(spark, sf_dir, "labels"), shared.shared_dir(spark, "rollup"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_bpe_rollup, op9_suffix_dedup, op10_bpe)}
-ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_token_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_word_rollup, op9_suffix_dedup, op10_bpe)}
+ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_word_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}

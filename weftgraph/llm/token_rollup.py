@@ -5,9 +5,13 @@ document and its tokens, a delete takes them away, a revision does both: away un
 counts now. A batch of changes is summed by group before it is stored, so the store grows with batches and groups, not
 with documents, and totals are a sum over it.
 
-A batch is committed once: it is written aside and renamed to its name, which fails where the name is taken; what was
-written aside is then dropped. So a batch that is sent again, or by two writers at once, or after a lost driver, counts
-once. compact() sums old batches into one and keeps their names, so they stay committed.
+A batch is committed once. Its sums are written to a folder of their own; then its marker file, named after the batch
+and holding the folder's name, is created, which fails where there is one. A batch counts if and only if its marker is
+whole, and readers read only folders that markers name. So a batch that is sent again, or by two writers at once, or
+after a driver was lost at any step, counts once. A marker that its writer did not finish is none.
+
+compact() writes the sum of the batches there are, and then a numbered marker that names it and the batches it stands
+for: one file turns old to new. Those batches' names stay taken. Of two that compact at once one gets the number.
 
 Versions are counted in two ways: words-1 and bytes4-1 by expressions that SQL has too, byte_bpe_50k by the tokenizer
 itself, in one pass over the texts in Python workers that return only the counts. byte_bpe_50k is what to use; the
@@ -19,11 +23,13 @@ Groups whose documents and tokens both come to zero are left out. Columns other
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,57 +97,98 @@ def revisions(rows: DataFrame, old: str, new: str) -> DataFrame:
 
 
 class Rollup:
-    """A store of committed batches below `path`, in any file system that Spark writes."""
+    """A store of committed batches below `path`, in any file system where a file is created only if there is none."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path("batches"))
-        self._fs.mkdirs(self._path("aside"))
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for folder in ("commits", "sums", "data"):
+            self._fs.mkdirs(self._path(folder))
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _written(self, changes: DataFrame) -> str:
+        """The changes' sums by group in a new folder that no marker names yet."""
+        folder = f"data/{uuid.uuid4().hex}"
+        changes.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _marked(self, marker: str, content: dict) -> bool:
+        """Create a marker file; False if there is a whole one."""
+        if self._fs.exists(self._path(marker)) and self._marker(marker) is None:
+            self._fs.delete(self._path(marker), False)
+        try:
+            out = self._fs.create(self._path(marker), False)
+        except Py4JJavaError as e:
+            if self._fs.exists(self._path(marker)):
+                return False
+            raise e
+        out.write(bytearray(f"{json.dumps(content)}\n".encode()))
+        out.close()
+        return True
+
+    def _marker(self, marker: str) -> dict | None:
+        """What a marker says; None if there is none that is whole."""
+        if not self._fs.exists(self._path(marker)):
+            return None
+        file = self._fs.open(self._path(marker))
+        try:
+            text = self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+        return json.loads(text) if text.endswith("\n") else None
+
+    def _markers(self, folder: str) -> dict[str, dict]:
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        found = {n: self._marker(f"{folder}/{n}") for n in names if not n.endswith(".crc")}
+        return {n: m for n, m in found.items() if m is not None}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False if one of its name is there already."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch's name is letters, digits, - and _")
-        if self._known(batch):
+        marker = f"commits/{batch}"
+        if self._marker(marker) is not None:
             return False
-        aside = f"aside/{uuid.uuid4().hex}"
-        changes.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{aside}/part")
-        # A rename onto a folder that exists would move into it; one level deeper, its name is taken and the rename fails.
-        self._fs.mkdirs(self._path(f"batches/{batch}"))
-        done = self._fs.rename(self._path(f"{aside}/part"), self._path(f"batches/{batch}/data"))
-        landed = done and not self._fs.exists(self._path(f"batches/{batch}/data/part"))
-        if done and not landed:
-            self._fs.delete(self._path(f"batches/{batch}/data/part"), True)
-        self._fs.delete(self._path(aside), True)
-        return landed
-
-    def _known(self, batch: str) -> bool:
-        return self._fs.exists(self._path(f"batches/{batch}/data")) or self._fs.exists(self._path(f"batches/{batch}/compacted"))
-
-    def _data(self) -> list[str]:
-        return [str(s.getPath().toString()) + "/data" for s in self._fs.listStatus(self._path("batches")) if self._fs.exists(self._path(f"batches/{s.getPath().getName()}/data"))]
+        folder = self._written(changes)
+        done = self._marked(marker, {"folder": folder})
+        if not done:
+            self._fs.delete(self._path(folder), True)
+        return done
+
+    def _live(self) -> tuple[list[str], list[str], int]:
+        """Folders that count, names of the batches they hold, and the number of sums so far."""
+        sums, batches = self._markers("sums"), self._markers("commits")
+        last = sums[max(sums, key=int)] if sums else {"folder": None, "holds": []}
+        new = [b for b in batches if b not in set(last["holds"])]
+        return [f for f in (last["folder"], *(batches[b]["folder"] for b in new)) if f], [*last["holds"], *new], max(map(int, sums), default=0)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        paths = self._data()
+        return self._sum(self._live()[0])
+
+    def _sum(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{f}" for f in folders]
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, name: str) -> None:
-        """Put all batches' sums into one batch, in a store that nobody else writes meanwhile."""
-        old = self._data()
-        if self._known(name):
-            raise ValueError(f"{name} is taken")
-        shadow = f"aside/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/{shadow}")
-        for p in old:
-            batch = p.rsplit("/", 2)[1]
-            self._fs.rename(self._path(f"batches/{batch}/data"), self._path(f"batches/{batch}/compacted"))
-        self._fs.mkdirs(self._path(f"batches/{name}"))
-        self._fs.rename(self._path(shadow), self._path(f"batches/{name}/data"))
+    def compact(self) -> bool:
+        """Let one sum stand for all batches there are; False if another writer did so meanwhile."""
+        folders, holds, number = self._live()
+        folder = self._written(self._sum(folders))
+        done = self._marked(f"sums/{number + 1}", {"folder": folder, "holds": holds})
+        if not done:
+            self._fs.delete(self._path(folder), True)
+        return done
+
+    def clean(self) -> None:
+        """Delete folders that do not count, in a store that nobody else reads or writes meanwhile."""
+        live = set(self._live()[0])
+        for s in self._fs.listStatus(self._path("data")):
+            if f"data/{s.getPath().getName()}" not in live:
+                self._fs.delete(s.getPath(), True)
 
 
 def _marked(rows: DataFrame, labels: DataFrame) -> DataFrame:
