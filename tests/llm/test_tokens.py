@@ -75,6 +75,27 @@ def test_encode_rows_and_trees(spark):
         assert got(bpe.encode(clashing(spark, rows), PATH, leaf_chars=leaf, digest=True)) == brute(rows)
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 7])
+def test_leaf_ends_count_code_points(monkeypatch, piece):
+    monkeypatch.setattr(shared, "PIECE_BYTES", piece)
+    text = "aé日𝛼 " * 40 + "x"
+    ends = bpe.leaf_ends(np.frombuffer(text.encode(), np.uint8), 9)
+    raw = text.encode()
+    assert [raw[a:b].decode() for a, b in zip([0, *ends], ends)] == [text[i : i + 9] for i in range(0, len(text), 9)]
+    assert bpe.leaf_ends(np.zeros(0, np.uint8), 9) == []
+
+
+def test_text_above_a_mebibyte(spark, tmp_path):
+    rnd = random.Random(8)
+    long = "".join(rnd.choice(["the ", "größe ", "x" * 50, "\n", "日本"]) for _ in range(120_000))
+    assert len(long) > 1 << 20
+    rows = [(1, long, "en", "s", 1), (2, "short", "en", "s", 1), (1, long, "en", "s", 1)]
+    assert got(bpe.encode(frame(spark, rows), PATH, digest=True)) == brute(rows)
+    token_files.write_token_files(frame(spark, rows), str(tmp_path / "t"), PATH, 2)
+    want = zlib.crc32(np.array([*ids(long), 2], "<u4").tobytes())
+    assert [r.ids_crc32 for r in token_files.digests(spark, str(tmp_path / "t")).orderBy("start").collect()][:2] == [want, want]
+
+
 def test_decode(spark):
     rows = [r for r in documents() if r[0] is not None]
     out = bpe.decode(bpe.encode(frame(spark, rows), PATH), PATH)
@@ -93,6 +114,21 @@ def test_token_files(spark, tmp_path):
     assert sorted(map(tuple, found), key=lambda r: r[1]) == want
 
 
+def test_pick_reads_the_documents_asked_for(spark, tmp_path):
+    rows = documents()
+    token_files.write_token_files(frame(spark, rows), str(tmp_path / "t"), PATH, 2)
+    asked = [(3,), (6,), (6,), (100500,), (77777,), (None,)]
+    found = token_files.pick(spark, str(tmp_path / "t"), spark.createDataFrame(asked, "doc_id long")).collect()
+    want = sorted((r[0], np.array([*ids(r[1]), 2], "<u4").tobytes()) for r in rows if r[0] in (3, 6, 100500))
+    assert sorted((r.doc_id, bytes(r.ids)) for r in found) == want and all(r.n_tokens * 4 == len(r.ids) for r in found)
+
+
+def test_round_trip(spark):
+    rows = documents()
+    out = bpe.round_trip(bpe.encode(clashing(spark, rows), PATH, leaf_chars=50), PATH)
+    assert sorted(((r.doc_id, bytes(r.ids), r.decoded_sha256) for r in out.collect()), key=repr) == sorted(((r[0], np.array(ids(r[1]), "<u4").tobytes(), sha(r[1] or "")) for r in rows), key=repr)
+
+
 def test_any_reader_unpacks_a_file_and_ours_only_what_is_asked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_BYTES", 64)
     file = token_files._File(3)

@@ -181,21 +181,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     shared.arrow_sized(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    longest = rows.agg(F.max(F.length("text"))).first()[0] or 0
     short = _encode_rows(rows.where(F.length("text") <= 2 * leaf_chars), path, _DIGESTS if digest else _IDS, digest)
-    if longest <= 2 * leaf_chars:
-        return short
     # Rows that repeat are encoded once and counted; (doc_id, digest) names a text on its way through the levels.
-    texts = rows.where(F.length("text") > 2 * leaf_chars).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    leaves = texts.select(
-        "doc_id",
-        F.sha2("text", 256).alias("digest"),
-        "copies",
-        F.explode(F.sequence(F.lit(0), F.expr(f"cast(floor((length(text) - 1) / {leaf_chars}) as int)"))).alias("node"),
-        "text",
-    ).select("doc_id", "digest", "copies", "node", F.substring("text", F.col("node") * leaf_chars + 1, F.lit(leaf_chars)).alias("text"))
-    level = _encode_rows(leaves.repartition("doc_id", "digest", "node"), path, "doc_id long, digest string, copies long, node int, ids binary")
-    width = -(-longest // leaf_chars)
+    leaves = _leaves(rows.where(F.length("text") > 2 * leaf_chars), leaf_chars)
+    leaves = shared.written(leaves.groupBy("doc_id", "digest", "node").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "leaves")
+    last = leaves.agg(F.max("node")).first()[0]
+    if last is None:
+        return short
+    level = _encode_rows(leaves.select("doc_id", "digest", "copies", "node", "text"), path, "doc_id long, digest string, copies long, node int, ids binary")
+    width = last + 1
     while width > 1:
         pairs = level.groupBy("doc_id", "digest", "copies", F.expr("node div 2").cast("int").alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "ids"))).alias("two"))
         pairs = pairs.select("doc_id", "digest", "copies", "node", F.col("two")[0]["ids"].alias("ids"), F.try_element_at("two", F.lit(2))["ids"].alias("right"))
@@ -205,6 +199,34 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return short.unionByName(digests(tree, path) if digest else tree)
 
 
+def leaf_ends(data: np.ndarray, leaf_chars: int) -> list[int]:
+    """Where UTF-8 bytes are cut so that each leaf but the last has so many code points: one pass."""
+    ends, seen = [], 0
+    for lo in range(0, len(data), shared.PIECE_BYTES):
+        first = np.flatnonzero((data[lo : lo + shared.PIECE_BYTES] & 0xC0) != 0x80)
+        ends.append(lo + first[(seen + np.arange(len(first))) % leaf_chars == 0])
+        seen += len(first)
+    return [*np.concatenate(ends).tolist()[1:], len(data)] if ends else []
+
+
+def _leaves(rows: DataFrame, leaf_chars: int) -> DataFrame:
+    """(doc_id, digest, node, text) from (doc_id, text): each text's leaves in order, its sha256 beside them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = shared.buffers(batch.column(1))
+            for i in range(batch.num_rows):
+                row = np.ascontiguousarray(data[offs[i] : offs[i + 1]])
+                digest, ends = hashlib.sha256(row).hexdigest(), leaf_ends(row, leaf_chars)
+                for lo in range(0, len(ends), 64):
+                    cuts = [ends[lo - 1] if lo else 0, *ends[lo : lo + 64]]
+                    texts = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(np.array(cuts, np.int32) - np.int32(cuts[0])), pa.py_buffer(row[cuts[0] : cuts[-1]])])
+                    n = len(texts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * n)), pa.array([digest] * n), pa.array(np.arange(lo, lo + n, dtype=np.int32)), texts], names=["doc_id", "digest", "node", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, digest string, node int, text string")
+
+
 def _join_rows(pairs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -227,6 +249,21 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def round_trip(tokens: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, decoded_sha256): encode's rows with the digest of what their ids decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            data, offs = shared.buffers(batch.column(1))
+            for lo, hi, _, _ in shared.pieces(data, offs):
+                part = batch.slice(lo, hi - lo)
+                texts = own.decode([x or b"" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())], names=["doc_id", "ids", "decoded_sha256"])
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"{_IDS}, decoded_sha256 string")
+
+
 def digests(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode's rows, decoded again."""
 

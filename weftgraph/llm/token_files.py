@@ -166,6 +166,32 @@ def read_token_files(spark: SparkSession, path: str, payload: Column | None = No
     return found.join(base.select("part", "number", "base"), ["part", "number"]).select("doc_id", (F.coalesce("base", F.lit(0)) + F.col("at")).alias("start"), "n_tokens", F.col("payload").alias(name))
 
 
+def pick(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents in wanted (doc_id) alone; of each file only their frames are unpacked.
+
+    An id that several documents share gives all of them; one that is in no file, or null, gives none.
+    """
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if content:
+                    own = Reader(content).index
+                    known = np.unique(own["doc_id"][own["known"] > 0])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(known), pa.string()), pa.array(known)], names=["path", "doc_id"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                docs = list(Reader(content).documents(set(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs], pa.int64()), pa.array([len(d[2]) // 4 for d in docs], pa.int64()), pa.array([d[2] for d in docs], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    shared.arrow_sized(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    asked = files.mapInArrow(index, "path string, doc_id long").join(wanted.select(F.col("doc_id").cast("long")).distinct(), "doc_id").groupBy("path").agg(F.collect_list("doc_id").alias("wanted"))
+    return files.join(asked, "path").select("content", "wanted").mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files; Spark's crc32 is the unsigned one."""
     return read_token_files(spark, path, F.crc32("ids").alias("ids_crc32"))
