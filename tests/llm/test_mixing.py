@@ -1,10 +1,12 @@
 """Operator 3 against water filling by hand and the systematic sample's own laws."""
 
+import math
 import re
 from collections import defaultdict
 
 import pytest
 from fixtures import SCHEMA, clashing, documents, frame
+from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing
 
@@ -49,6 +51,33 @@ def test_targets_and_copies(spark):
     assert sorted(out, key=repr) == sorted(mixing.mix_counts(frame(spark, rows).repartition(7)).collect(), key=repr)
 
 
+@pytest.mark.parametrize("block_rows,repeats", [(512, 1), (7, 1), (7, 5)])
+def test_copies_by_hand(spark, monkeypatch, block_rows, repeats):
+    """Every row's taken words: prefix sums, one offset a source, an emission for each whole number crossed."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    rows = documents(n=150) + documents(n=12) * (repeats - 1)
+    df = frame(spark, rows)
+    hashed = df.select("doc_id", "text", "source", F.struct(F.col("doc_id").alias("row_id"), F.xxhash64("doc_id", "text").alias("text_key")).alias("row"))
+    hashed = hashed.select("*", F.xxhash64("row", F.lit(0)).alias("h0"), F.xxhash64("row", F.lit(1)).alias("h1"), F.xxhash64("source", F.lit(0), F.lit("offset")).alias("ho")).collect()
+    out = mixing.mix_counts(df).collect()
+    target = {(r.doc_id, r.size): (r.target, r.source_size) for r in out}
+    want = []
+    for source in {r.source for r in hashed}:
+        own = [r for r in hashed if r.source == source]
+        blocks = -(-len(own) // block_rows)
+        low = lambda r: (r.row.row_id is not None, r.row.row_id or 0, r.row.text_key)
+        own.sort(key=lambda r: (r.h0 % blocks, size(r.text), r.h1, low(r)))
+        goal, total = target[own[0].doc_id, size(own[0].text)]
+        rate, offset, place = goal / total if total else 0.0, own[0].ho % (1 << 30) / (1 << 30), 0
+        while place < len(own):
+            equal = sum(r.row == own[place].row for r in own)
+            copies = math.floor(offset + rate * (place + equal)) - math.floor(offset + rate * place)
+            for k in range(equal):
+                want.append((own[place].doc_id, (copies // equal + (k < copies % equal)) * size(own[place].text)))
+            place += equal
+    assert sorted(((r.doc_id, r.taken) for r in out), key=repr) == sorted(want, key=repr)
+
+
 def test_mix_emits_what_was_counted(spark):
     rows = [r for r in documents(n=300) if r[0] is not None]
     counted = defaultdict(int)

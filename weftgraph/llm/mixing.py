@@ -6,7 +6,8 @@ per source is added, and the document is emitted once for each whole number its
 
 The order of the prefix sum is by blocks of about BLOCK_ROWS documents (a hash of the row, as many blocks as the
 source's size asks for) and by size within a block, so neighbours have like sizes and a source's words come near its
-target. A source of any size is spread over its blocks; only one row per block meets in one order.
+target. A source of any size is spread over its blocks; only one row per block meets in one order. Equal rows are
+counted before they meet and stand next to each other as one.
 
 A null source is a source of its own, after all others. A null text has size 0; a source without words takes nothing
 of any target and its documents get no copies. Rows that repeat each count. The offset and the blocks come from
@@ -51,33 +52,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def systematic(docs: DataFrame, size: str, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs (source, `size`, row: a column that names the row) with source_size, target and copies."""
-    sizes = docs.groupBy("source").agg(F.sum(size).alias("source_size"), F.count("*").alias("n_docs"))
+    """docs (source, `size`, row: a column that names the row) with source_size, target, rows and copies.
+
+    Rows of one name, source and size are one row of the result: `rows` of them, with `copies` together.
+    """
+    docs = docs.groupBy("source", size, "row").agg(F.count("*").alias("rows"))
+    sizes = docs.groupBy("source").agg(F.sum(F.col(size) * F.col("rows")).alias("source_size"), F.sum("rows").alias("n_docs"))
     goal = targets(sizes, weights, share, cap).withColumnRenamed("source", "goal_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("rate", rate).withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK_ROWS))
     rows = docs.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed)), F.col("blocks")))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("source", "block").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "block").orderBy(size, F.xxhash64("row", F.lit(seed + 1)), "row")
-    rows = rows.withColumn("rank", F.row_number().over(within))
+    starts = rows.groupBy("source", "block").agg(F.sum("rows").alias("n")).select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("source", "block").orderBy(size, F.xxhash64("row", F.lit(seed + 1)), "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("upto", F.sum("rows").over(within))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     offset = F.pmod(F.xxhash64("source", F.lit(seed), F.lit("offset")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    place = F.col("before") + F.col("rank")
-    copies = F.floor(offset + F.col("rate") * place) - F.floor(offset + F.col("rate") * (place - 1))
-    return rows.withColumn("copies", copies.cast("long")).drop("s", "b", "before", "rank", "block", "blocks", "rate", "n_docs")
+    place = F.col("before") + F.col("upto")
+    copies = F.floor(offset + F.col("rate") * place) - F.floor(offset + F.col("rate") * (place - F.col("rows")))
+    return rows.withColumn("copies", copies.cast("long")).drop("s", "b", "before", "upto", "block", "blocks", "rate", "n_docs")
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """What the draw needs of each row; rows with the same id and text share the name `row`."""
     named = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(id_col), text_col).alias("text_key"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
-    return named.withColumn("row", F.struct("row_id", "text_key"))
+    return named.select(F.struct("row_id", "text_key").alias("row"), "source", "size")
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row."""
-    return systematic(_slim(docs, id_col, text_col, source_col), "size", seed).select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    drawn = systematic(_slim(docs, id_col, text_col, source_col), "size", seed)
+    each = drawn.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("place"))
+    return each.select(F.col("row.row_id").alias("doc_id"), "size", "source_size", "target", (_share_of_each() * F.col("size")).alias("taken"))
+
+
+def _share_of_each() -> Column:
+    """The copies of the row at `place` among `rows` equal ones that have `copies` together."""
+    return F.expr("copies div rows") + F.when(F.col("place") <= F.expr("copies % rows"), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -90,12 +102,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = docs.select(F.struct(*[F.col(c) for c in names]).alias("doc"), F.xxhash64(F.col(id_col), text_col).alias("text_key"))
     key = ["text_key", "row_id", "source"]
     keyed = keyed.withColumn("row_id", F.col(f"doc.{id_col}").cast("long")).withColumn("source", F.col(f"doc.{source_col}"))
-    drawn = systematic(_slim(docs, id_col, text_col, source_col), "size", seed)
-    draws = drawn.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in key], "copies", "rows")
+    drawn = systematic(_slim(docs, id_col, text_col, source_col), "size", seed).where("copies > 0")
+    draws = drawn.select(F.col("row.text_key").alias("_text_key"), F.col("row.row_id").alias("_row_id"), F.col("source").alias("_source"), "copies", "rows")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
     dealt = keyed.join(draws, on)
     once = dealt.where("rows = 1").withColumn("times", F.col("copies"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    often = dealt.where("rows > 1").withColumn("times", F.expr("copies div rows") + F.when(place <= F.expr("copies % rows"), 1).otherwise(0))
+    often = dealt.where("rows > 1").withColumn("place", place).withColumn("times", _share_of_each())
     both = once.select("doc", "times").unionByName(often.select("doc", "times"))
     return both.where("times > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")).select("doc.*")
