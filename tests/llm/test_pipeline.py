@@ -1,8 +1,11 @@
 """The pipeline's stages, each on what the one before returned, against brute force."""
 
+import hashlib
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+from fixtures import SCHEMA, clashing, documents, frame
 from test_mixing import size
 from test_near_dedup import brute as near_brute
 from test_quality_rules import brute as rules_brute
@@ -43,7 +46,9 @@ def test_stages(spark, sf):
         if name == "bpe":
             library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
             text = {r[0]: r[1] for r in held}
-            assert len(rows) == len(held)
+            assert len(rows) == len(held) and out.columns == ["doc_id", "ids", "decoded_sha256"]
+            sha = {r[0]: hashlib.sha256(r[1].encode()).hexdigest() for r in held}
+            assert all(r[2] == sha[r[0]] for r in rows)
             assert all(np.frombuffer(r[1], "<u4").tolist() == library.encode(text[r[0]], add_special_tokens=False).ids for r in rows)
             break
         assert out.columns == columns
@@ -55,3 +60,29 @@ def test_run_is_the_stages(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert sorted(map(tuple, docs.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()))
+
+
+def test_odd_rows(spark, sf):
+    """Nulls, empties, repeated rows and columns with the operators' names pass every stage alone and one after another."""
+    rows = documents(n=40)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clashing(spark, rows), sf)
+        if name != "bpe":
+            assert out.columns == clashing(spark, rows).columns
+        got = [(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()] if name != "bpe" else [(r.doc_id,) for r in out.collect()]
+        if name in ("near duplicates", "suffix array"):
+            assert (None,) == tuple({g[0] for g in got if g[0] is None}) and sum(g[0] is None for g in got) == sum(r[0] is None for r in rows)
+        if name in ("suffix array", "bpe"):
+            assert len(got) == len(rows)
+    docs = clashing(spark, rows)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert {r.doc_id for r in docs.collect()} <= {r[0] for r in rows}
+
+
+def test_empty_table(spark, sf):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+    assert frame(spark, documents()[:1]).columns == [c.split()[0] for c in SCHEMA.split(", ")]

@@ -31,9 +31,18 @@ def brute(text, bands=q.Bands()):
     raw = text.encode()
     z = zstandard.ZstdCompressor(level=3, write_content_size=False)
     ratio = len(z.compress(raw)) / len(raw) if raw else 1
-    parts = [len(z.compress(raw[i : i + 4096])) / 4096 for i in range(0, len(raw) - 4095, 4096)] if len(raw) >= 8192 else []
+    at = [*range(0, len(raw) - 4096, 2048), len(raw) - 4096] if len(raw) > 4096 else []
+    parts = [len(z.compress(raw[i : i + 4096])) / 4096 for i in at]
+    spans = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    coded = np.zeros(len(raw), bool)
+    for x, y, w in spans:
+        coded[x:y] = len(w) >= 4 and re.fullmatch(rb"[0-9a-fA-F]+", w) is not None and 0 < sum(48 <= c <= 57 for c in w) < len(w)
+    inside = np.zeros(len(raw), bool)
+    for x, y, _ in spans:
+        inside[x:y] = True
+    hexes = [coded[i : i + 4096].sum() / max(inside[i : i + 4096].sum(), 1) for i in at] + [coded.sum() / max(inside.sum(), 1)]
     low, high = next((b[1], b[2]) for b in reversed(bands.bands) if len(raw) >= b[0])
-    kept = not failed and low <= ratio <= high and all(bands.chunk_low <= x <= bands.chunk_high for x in parts)
+    kept = not failed and low <= ratio <= high and all(bands.chunk_low <= x <= bands.chunk_high for x in parts) and max(hexes) <= bands.hex_high
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered), failed, kept)
 
 

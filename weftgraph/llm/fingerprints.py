@@ -38,17 +38,18 @@ _STRIDE = 64
 _LANES = 0x100000001
 
 
-def simhash(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp long) for each row of docs with words; `key` names a row."""
-    words = docs.select(key, F.regexp_extract_all(text, F.lit(shared.WORD), F.lit(0)).alias("words")).where(F.size("words") > 0)
+def simhash(docs: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """(key, fp long, carried) for each row of docs; `key` names a row, carried longs come along; fp is null without words."""
+    words = docs.select(key, *carried, F.regexp_extract_all(text, F.lit(shared.WORD), F.lit(0)).alias("words"))
     runs = F.arrays_zip(*[F.slice("words", i + 1, F.greatest(F.size("words") - SHINGLE + 1, F.lit(1))).alias(f"w{i}") for i in range(SHINGLE)])
-    terms = words.select(key, F.explode(runs).alias("t")).select(key, F.xxhash64(*[F.col(f"t.w{i}") for i in range(SHINGLE)]).alias("h"))
-    votes = terms.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", i).bitwiseAND(F.lit(_LANES))).alias(f"v{i}") for i in range(32)])
+    terms = words.select(key, *carried, F.explode_outer(F.when(F.size("words") > 0, runs)).alias("t"))
+    terms = terms.select(key, *carried, F.when(F.col("t").isNotNull(), F.xxhash64(*[F.col(f"t.w{i}") for i in range(SHINGLE)])).alias("h"))
+    votes = terms.groupBy(key).agg(F.count("h").alias("n"), *[F.max(c).alias(c) for c in carried], *[F.coalesce(F.sum(F.shiftright("h", i).bitwiseAND(F.lit(_LANES))), F.lit(0)).alias(f"v{i}") for i in range(32)])
     bits = [_bit(F.col(f"v{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)] + [_bit(F.shiftrightunsigned(f"v{i}", 32), i + 32) for i in range(32)]
     fp = bits[0]
     for b in bits[1:]:
         fp = fp.bitwiseOR(b)
-    return votes.select(key, fp.alias("fp"))
+    return votes.select(key, F.when(F.col("n") > 0, fp).alias("fp"), *carried)
 
 
 def _bit(votes: Column, i: int) -> Column:
@@ -111,6 +112,11 @@ def within_wide(queries: DataFrame, fps: DataFrame, radius: int = NEAR_RADIUS, b
     return q.hint("merge").join(f, ["table", "key"]).where(distance <= radius).select("q", "fp", distance.alias("distance")).distinct()
 
 
+def hexed(c: Column | str) -> Column:
+    """64 bits as 16 digits."""
+    return F.lpad(F.lower(F.hex(c)), 16, "0")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with next_text of the next row in ascending doc_id, row and next_row naming them.
 
@@ -159,22 +165,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all the documents, so copies are not listed once a pair.
     """
     rows = with_next(docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text")))
-    changed = edited(F.col("text"), F.col("next_text"))
-    both = rows.select(F.explode(F.array(F.struct((F.col("row") * 2).alias("key"), F.col("text").alias("text")), F.struct((F.col("row") * 2 + 1).alias("key"), changed.alias("text")))).alias("s")).select("s.key", "s.text")
-    prints = shared.written(simhash(both, "key", "text"), "fingerprints")
-    base = prints.where("key % 2 = 0").select((F.col("key") / 2).cast("long").alias("row"), "fp")
-    other = prints.where("key % 2 = 1").select(((F.col("key") - 1) / 2).cast("long").alias("row"), F.col("fp").alias("edited_fp"))
-    meta = rows.select("row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(changed, 256).alias("edited_sha256"))
-    out = meta.join(base, "row", "left").join(other, "row", "left").join(base.select(F.col("row").alias("next_row"), F.col("fp").alias("next_fp")), "next_row", "left")
-    out = out.na.fill(0, ["fp", "edited_fp", "next_fp"])
-    named = base.join(meta.select("row", "doc_id"), "row") if neighbours else base.withColumn("doc_id", F.lit(None).cast("long"))
-    fps = named.groupBy("fp").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id"))
-    asked = meta.where(F.pmod("doc_id", F.lit(100)) == 0).select("row").join(base, "row")
-    hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    # What else a text gives goes along with its votes, as longs, so that texts move once.
+    sha = [f"sha{i}" for i in range(4)]
+    rows = rows.select("row", "next_row", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited(F.col("text"), F.col("next_text")).alias("edited"))
+    parts = [F.conv(F.substring(F.sha2("edited", 256), 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
+    none = [F.lit(None).cast("long").alias(c) for c in sha]
+    two = F.array(F.struct((F.col("row") * 2).alias("key"), F.col("text").alias("text"), *none), F.struct((F.col("row") * 2 + 1).alias("key"), F.col("edited").alias("text"), *parts))
+    both = rows.select("next_row", "doc_id", "n_chars", F.explode(two).alias("s")).select("next_row", "doc_id", "n_chars", "s.*")
+    prints = simhash(both, "key", "text", "next_row", "doc_id", "n_chars", *sha)
+    is_base = F.col("key") % 2 == 0
+    row = F.shiftright(F.col("key"), 1).alias("row")
+    paired = prints.groupBy(row).agg(
+        *[F.max(c).alias(c) for c in ("next_row", "doc_id", "n_chars", *sha)], F.max(F.when(is_base, F.col("fp"))).alias("fp"), F.max(F.when(~is_base, F.col("fp"))).alias("edited_fp")
+    )
+    paired = shared.written(paired, "fingerprints")
+    base = paired.select("row", "doc_id", "fp").where("fp is not null")
+    edited_sha256 = F.concat(*[hexed(c) for c in sha]).alias("edited_sha256")
+    following = paired.select(F.col("row").alias("next_row"), F.col("fp").alias("next_fp"))
+    out = paired.select("doc_id", "n_chars", edited_sha256, "fp", "edited_fp", "next_row").join(following.hint("merge"), "next_row")
+    fps = base.groupBy("fp").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id"))
+    asked = base.where(F.pmod("doc_id", F.lit(100)) == 0)
     pairs = (within if radius <= RADIUS else within_wide)(asked, fps, radius).join(fps, "fp")
     one = F.struct("distance", hexed("fp").alias("fingerprint"), "docs", "first_id")
     near = pairs.groupBy(F.col("q").alias("fp")).agg((F.sum("docs") - 1).alias("near"), *([F.array_sort(F.collect_list(one)).alias("pairs")] if neighbours else []))
-    out = out.join(near, "fp", "left")
+    out = out.join(near, "fp", "left").na.fill(0, ["fp", "edited_fp", "next_fp"])
     return out.select(
         "doc_id",
         "n_chars",
