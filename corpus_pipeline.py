@@ -1,6 +1,15 @@
 """From raw documents to token ids in five stages; each reads what the one before wrote.
 
-Every stage but the last returns the columns of documents.
+Every stage but the last returns the columns of documents, and extra columns that documents have; columns with the names
+of the operators' own do not clash. What stages do with odd rows:
+
+- null, empty and wordless texts fail the quality rules, which keep only texts of ten words and more; later stages by
+  themselves link such texts with nothing, cut nothing from them, draw none of them, and give them no ids;
+- rows without an id are linked with nothing, come before all others, and keep a null id;
+- rows that repeat are judged one by one, link as one document that stays as often as it came, lose their texts' repeats
+  once as one document, and are drawn each;
+- null languages, sources and counts are values like any other; a null source is a source of its own;
+- texts of any length are taken whole; an empty table gives an empty table of the same columns.
 """
 
 from __future__ import annotations
@@ -34,8 +43,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids): packed token ids of each drawn document."""
-    return bpe.encode(docs, public_tokenizers.path(TOKENIZER))
+    """(doc_id, ids, decoded_sha256): packed token ids of each drawn document, and the digest of what they decode to."""
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.round_trip(bpe.encode(docs, path), path)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", one_of_each), ("suffix array", no_repeats), ("mixing", mixture), ("bpe", tokens)]
