@@ -1,12 +1,18 @@
 """Operator 7: the identity, fitting, held-out accuracy and awkward rows."""
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from fixtures import SCHEMA, clashing, documents, frame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import quality_model as m
+from weftgraph.llm import shared
 
 
 def test_sum_of_squares_is_all_pairs():
@@ -53,3 +59,63 @@ def test_fit_uses_interactions():
     model = m.fit(stats, words, labels, m.Fit(epochs=40))
     raw = m._machine(model, *m._inputs(model, stats, words))
     assert np.mean((raw > 0) == labels) > 0.9
+
+
+def by_hand(text, word_bits):
+    """The statistics and word slots of one text, in plain Python."""
+    raw = text.encode()
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    mask = (1 << 64) - 1
+
+    def hashed(w):
+        base = 0x9E3779B97F4A7C15 | 1
+        h = sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(w)) + len(w) * 0xD6E8FEB86659FD93 & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    repeated = {i + k for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for k in range(5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    count = lambda chars: sum(b in chars.encode() for b in raw)
+    stats = [
+        math.log1p(len(words)),
+        sum(len(w.decode()) for w in words) / n,
+        count("#*$%&|<>") / n,
+        (len(lines) - len(set(lines))) / (1 + raw.count(b"\n")),
+        len(repeated) / n,
+        sum(65 <= b <= 90 for b in raw) / size,
+        sum(48 <= b <= 57 for b in raw) / size,
+        sum(b in b" \t\n\x0b\x0c\r" for b in raw) / size,
+        raw.count(b"\n") / n,
+        count(".,;:!?\"'()-") / n,
+        raw.count(b"!") / n,
+        raw.count(b"|") / n,
+        len(set(words)) / n,
+        min(len(zstandard.ZstdCompressor(level=1, write_content_size=False).compress(raw)) / size, 2),
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        len(raw) / max(len(text), 1),
+        math.log1p(len(text)),
+    ]
+    slots = Counter(hashed(w) >> 64 - word_bits for w in words)
+    norm = math.sqrt(sum(k * k for k in slots.values()))
+    return stats, {s: k / norm for s, k in slots.items()}
+
+
+def test_features_by_hand():
+    texts = [r[1] or "" for r in documents()] + ["a a b|b! \n\n a a b|b!\nÜber-GROẞ 12,5 (x)\n" * 3]
+    data, offs = shared.buffers(pa.array(texts, pa.large_string()))
+    stats, (slots, values, spans) = m.features(data, offs, 10)
+    for i, text in enumerate(texts):
+        want, words = by_hand(text, 10)
+        assert np.allclose(stats[i], want), (i, stats[i] - want)
+        got = dict(zip(slots[spans[i] : spans[i + 1]].tolist(), values[spans[i] : spans[i + 1]].tolist()))
+        assert got.keys() == words.keys() and all(abs(got[k] - words[k]) < 1e-9 for k in got)
+
+
+def test_ids_that_repeat_are_one_row_of_the_fit(spark):
+    rows = [(1, f"good clean prose number {i} with some words", None, None, None) for i in range(300)] + [(2 * i, "buy | now ! $$$ " * 9, None, None, None) for i in range(1, 60)]
+    labels = spark.createDataFrame([(i, int(i == 1), 0) for i in range(130)], "doc_id long, quality int, toxic int")
+    out = m.classify(frame(spark, rows), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)

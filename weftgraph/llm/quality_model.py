@@ -9,7 +9,7 @@ The model is fitted on at most `most_rows` labelled rows, taken by a hash of the
 the driver, and the model, of fixed size, goes out with the scoring function. Every text is scored in full.
 
 Held-out rows are those with crc32(doc_id as text) mod 4 = 2; their labels are not read. Null labels and ids do not take
-part in fitting; of several labels of one id the largest counts. Without labels of both kinds every score is the share
+part in fitting; of several labels of one id the largest counts, of several texts the one with the least hash. Without labels of both kinds every score is the share
 of label 1 (0.5 without any). Nulls are empty texts and get a score like any other. Other columns are not read.
 """
 
@@ -182,6 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit(), id_col: str = "d
     # At most most_rows ids and labels: a bound that does not grow, so they may be broadcast.
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(how.most_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("label_id"), shared.text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    # One row for an id that repeats, so most_rows also bounds what the driver gets: STATS numbers and at most 2**word_bits slots a row.
+    rows = rows.groupBy("label_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
