@@ -15,14 +15,20 @@ _SYSTEM = (
 EVENT = f"System struct<{', '.join(_SYSTEM.split(', ')).replace(' struct<', ':struct<').replace(' string', ':string')}>, EventData struct<Data:array<struct<_Name:string,_VALUE:string>>>, _corrupt_record string"
 
 
-def first_event(text: Column) -> Column:
-    """The first <Event> of a payload, comments left out; null without one."""
-    found = F.regexp_extract(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)<Event[ >].*?</Event>", 0)
-    return F.when(found != "", found)
+def with_event(logs: DataFrame, text: str, name: str = "_event") -> DataFrame:
+    """logs with the first <Event> of each payload, comments left out and without namespaces; null without one.
 
-
-#: What XML 1.0 allows no document to hold.
-_FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"
+    Step by step, as each text is looked at several times; only payloads with comments are searched for them.
+    """
+    t = F.col(text).cast("string")
+    rows = logs.withColumn("_bare", F.when(t.contains("<!--"), F.regexp_replace(t, r"(?s)<!--.*?-->", "")).otherwise(t))
+    plain, named = F.locate("<Event>", F.col("_bare")), F.locate("<Event ", F.col("_bare"))
+    rows = rows.withColumns({"_plain": plain, "_named": named})
+    start = F.when(F.col("_plain") == 0, F.col("_named")).when(F.col("_named") == 0, F.col("_plain")).otherwise(F.least("_plain", "_named"))
+    rows = rows.withColumn("_start", start).withColumn("_rest", F.when(F.col("_start") > 0, F.substr("_bare", F.col("_start"))))
+    rows = rows.withColumn("_end", F.locate("</Event>", F.col("_rest"))).withColumn("_one", F.when(F.col("_end") > 0, F.substr("_rest", F.lit(1), F.col("_end") + len("</Event>") - 1)))
+    bare = F.when(F.col("_one").contains(" xmlns="), F.regexp_replace("_one", r' xmlns="[^"]*"', "")).otherwise(F.col("_one"))
+    return rows.select(*logs.columns, bare.alias(name))
 
 
 def parse(logs: DataFrame, text: str = "log_event") -> DataFrame:
@@ -32,9 +38,7 @@ def parse(logs: DataFrame, text: str = "log_event") -> DataFrame:
     or with characters that XML forbids. A payload's XML is read once a row; header fields are typed where they are
     asked for.
     """
-    event = first_event(F.col(text).cast("string"))
-    readable = F.when(~event.rlike(_FORBIDDEN), F.regexp_replace(event, r' xmlns="[^"]*"', ""))
-    rows = P.computed_once(logs, _x=F.from_xml(readable, EVENT, {"mode": "PERMISSIVE"}))
+    rows = P.computed_once(with_event(logs, text), _x=F.from_xml("_event", EVENT, {"mode": "PERMISSIVE"}))
     s = lambda name: F.col(f"_x.System.{name}")
     good = P.integer(s("EventID")).isNotNull() & s("Computer").isNotNull() & F.col("_x._corrupt_record").isNull()
     known = good & P.integer(s("EventID")).isin(*P.SUPPORTED)
