@@ -187,8 +187,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = base.where(F.pmod("doc_id", F.lit(100)) == 0)
     pairs = (within if radius <= RADIUS else within_wide)(asked, fps, radius).join(fps, "fp")
     one = F.struct("distance", hexed("fp").alias("fingerprint"), "docs", "first_id")
+    # Written, so that it joins by a plain exchange, of which Spark splits the part of a fingerprint that very many texts have.
     near = pairs.groupBy(F.col("q").alias("fp")).agg((F.sum("docs") - 1).alias("near"), *([F.array_sort(F.collect_list(one)).alias("pairs")] if neighbours else []))
-    out = out.join(near, "fp", "left").na.fill(0, ["fp", "edited_fp", "next_fp"])
+    near = shared.written(near, "neighbours")
+    out = out.join(near.hint("merge"), "fp", "left").na.fill(0, ["fp", "edited_fp", "next_fp"])
     return out.select(
         "doc_id",
         "n_chars",
