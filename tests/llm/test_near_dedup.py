@@ -146,6 +146,30 @@ def test_one_large_group(spark, monkeypatch):
     assert 2 < len(set(label.tolist())) < 1500
 
 
+def boilerplate(name, n, shared_words, own_words):
+    """n texts with the same first words and words of their own: one cluster of candidates in which nothing is linked."""
+    return [[f"{name}s{j}" for j in range(shared_words)] + [f"{name}o{i}w{j}" for j in range(own_words)] for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["apart", "one block", "both"])
+def test_large_clusters_that_fall_apart(spark, kind):
+    """Clusters above one block of the real size: taken apart wholly, down to one block, and beside one that stays large."""
+    texts = boilerplate("a", 130, 75, 20)
+    if kind != "apart":
+        # Copies of one of them with a word of their own at the end stay together.
+        texts += [[*texts[0], f"x{i}"] for i in range(40)]
+    if kind == "both":
+        base = [f"b{i}" for i in range(90)]
+        texts += [[*base, f"y{i}"] for i in range(150)] + boilerplate("c", 120, 75, 20)
+    rows = [(3 * i, " ".join(w), None, None, None) for i, w in enumerate(texts)]
+    assert len(rows) > nd.BLOCK_SETS
+    got = sorted(map(tuple, nd.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert got == brute(rows, nd.Likeness())
+    gone = {r[0] for r in got if not r[3]}
+    assert len(gone) == {"apart": 0, "one block": 40, "both": 40 + 149}[kind]
+    assert sorted(r.doc_id for r in nd.keep_one(frame(spark, rows)).collect()) == sorted(r[0] for r in rows if r[0] not in gone)
+
+
 def test_sets_of_long_rows(monkeypatch):
     rng = random.Random(1)
     texts = [" ".join(f"W{rng.randrange(50)}" for _ in range(n)) for n in (0, 1, 2, 3, 40, 900)] + ["x" * 500, " " * 300, "é" * 200 + " b c"]

@@ -295,7 +295,7 @@ def taken_apart(texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def in_rounds(texts: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): edges that connect the linked members of clusters of several blocks, from texts (rep, text) and members (cluster, rep, n_bytes)."""
+    """(a, b): edges that connect the linked members of clusters of several blocks, from texts (rep, text) and members (cluster, rep, n_bytes), some at least."""
     rows = members.count()
     state = shared.written(members.select("cluster", "rep", "n_bytes", F.lit(False).alias("asked"), F.lit(False).alias("joined")), "round", rows)
     edges: list[DataFrame] = []
@@ -348,6 +348,8 @@ def confirm(rows: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     own = large.select("rep", "text").join(again.hint("merge"), "rep")
     small = small.unionByName(compared(own.where("blocks = 1").select(F.col("cluster").alias("group"), "cluster", "rep", ask, "text"), like).select("a", "b"))
     rest = again.where("blocks > 1")
+    if rest.isEmpty():
+        return small
     return small.unionByName(in_rounds(shared.written(own.where("blocks > 1").select("rep", "text"), "texts"), rest, like))
 
 
