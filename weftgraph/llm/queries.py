@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, fingerprints, mixing, near_dedup, quality_model, quality_rules, shared, suffix_dedup, token_files, token_rollup, url_filter
+from weftgraph.llm import bpe, fingerprints, mixing, near_dedup, quality_model, quality_rules, shared, suffix_dedup, token_files, token_rollup, url_filter, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -63,5 +63,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_word_rollup, op9_suffix_dedup, op10_bpe)}
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(shared.read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_word_rollup, op9_suffix_dedup, op10_bpe, op12_whiten)}
 ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_word_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
