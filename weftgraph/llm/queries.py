@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, fingerprints, language_model, mixing, near_dedup, quality_model, quality_rules, shared, suffix_dedup, token_files, token_rollup, url_filter, whitening
+from weftgraph.llm import bpe, fingerprints, hard_negatives, language_model, mixing, near_dedup, quality_model, quality_rules, shared, suffix_dedup, token_files, token_rollup, url_filter, whitening
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -63,6 +63,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), digest=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.with_wrong_labels(shared.read(spark, sf_dir, "embeddings")), hard_negatives.is_anchor())
+
+
 def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(shared.read(spark, sf_dir, "embeddings"))
 
@@ -71,5 +75,5 @@ def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_word_rollup, op9_suffix_dedup, op10_bpe, op12_whiten, op13_lm_score)}
-ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_word_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_minhash, op3_mix, op4_url_filter, op5_token_files, op6_quality_rules, op7_quality_fm, op8_token_rollup, op8_word_rollup, op9_suffix_dedup, op10_bpe, op11_hard_negatives, op12_whiten, op13_lm_score)}
+ORACLES: dict[str, str] = {"op2_minhash": near_dedup.ORACLE, "op4_url_filter": url_filter.ORACLE, "op8_word_rollup": token_rollup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
