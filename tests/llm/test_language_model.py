@@ -81,7 +81,7 @@ def test_whole_table(spark, sf):
 def test_awkward_rows(spark, monkeypatch, order, small):
     """small: short pieces, several parts and shards, rare words by the join; the same result."""
     if small:
-        for name, value in (("PIECE_BYTES", 200), ("PART_BYTES", 700), ("SHARD_BYTES", 2000), ("FREQUENT", 40), ("SHORT", 4)):
+        for name, value in (("PIECE_BYTES", 200), ("COUNT_BYTES", 300), ("PART_BYTES", 700), ("SHARD_BYTES", 2000), ("FREQUENT", 40), ("SHORT", 4)):
             monkeypatch.setattr(lm, name, value)
     rows = documents() + [(900000 + i, None if i % 3 else "", None, None, None) for i in range(5)]
     rows += [(7, "A common line that repeats " * 40, "en", "s", 1)] * 30
@@ -118,8 +118,8 @@ def test_levels_are_never_too_low_and_rarely_too_high():
     one = lm.Shard(1, 1, 0, np.zeros(1, np.int64), np.array([len(own)], np.uint64), own)
     level = lm.quantised(counts)
     got = one.levels(runs)
-    assert (got >= level).all() and (got > level).mean() < 0.02
-    assert (one.levels(rng.integers(0, 1 << 63, 40_000).astype(np.uint64)) > 0).mean() < 0.02
+    assert (got >= level).all() and (got > level).mean() < 0.04
+    assert (one.levels(rng.integers(0, 1 << 63, 40_000).astype(np.uint64)) > 0).mean() < 0.04
 
 
 def test_levels_stand_for_counts():
@@ -131,11 +131,10 @@ def test_levels_stand_for_counts():
 
 
 def test_pieces_of_a_long_text(monkeypatch):
-    monkeypatch.setattr(lm, "PIECE_BYTES", 50)
     texts = ["short", "", " ".join(f"w{i}" for i in range(100)), "x" * 300, "tail of it"]
     data, offs = shared.buffers(pa.array(texts, pa.large_string()))
     got, carry = [[] for _ in texts], []
-    for lo, part, at, goes_on, continues in lm.pieces(data, offs):
+    for lo, part, at, goes_on, continues in lm.pieces(data, offs, 50):
         s = lm.symbols(part, at, goes_on, continues, 2, carry)
         for r, w in zip(s.rows[s.own], s.word[s.own]):
             got[lo + r].append(s.unique[int(w)].as_py().decode())
@@ -145,5 +144,5 @@ def test_pieces_of_a_long_text(monkeypatch):
 def test_a_text_above_a_piece(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, n)), None, None, None) for i, n in ((0, 900_000), (2, 40), (5, 3))]
-    assert len(rows[0][1]) > lm.PIECE_BYTES
+    assert len(rows[0][1]) > lm.COUNT_BYTES > lm.PIECE_BYTES
     held(lm.scores(frame(spark, rows)), brute(rows), 0.1)

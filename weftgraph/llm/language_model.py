@@ -41,7 +41,7 @@ FOLDS = 5
 HELD_OUT = 1
 ORDER = 2
 PRIOR = 4.0
-BITS = 12
+BITS = 10
 PROBES = 5
 EXACT = 8
 STEP = 1.25
@@ -49,7 +49,9 @@ PART_BYTES = 16 << 20
 SHARD_BYTES = 160 << 20
 FREQUENT = 1 << 20
 SHORT = 32
-PIECE_BYTES = 4 << 20
+#: Texts are counted in larger pieces than they are scored in, as a run is sent once a piece.
+COUNT_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: What stands for the end of a text among words; no word is empty.
 END = b""
@@ -97,15 +99,15 @@ class Symbols:
     runs: list[np.ndarray]
 
 
-def pieces(data: np.ndarray, offs: np.ndarray):
-    """(first row, bytes, offsets, whether the first row goes on here, whether the last one does after) in bounded pieces."""
-    for lo, hi, part, at in shared.pieces(data, offs, PIECE_BYTES):
-        if hi - lo > 1 or len(part) <= PIECE_BYTES:
+def pieces(data: np.ndarray, offs: np.ndarray, most: int):
+    """(first row, bytes, offsets, whether the first row goes on here, whether the last one does after) in pieces of about `most` bytes."""
+    for lo, hi, part, at in shared.pieces(data, offs, most):
+        if hi - lo > 1 or len(part) <= most:
             yield lo, part, at, False, False
             continue
         start = 0
         while start < len(part):
-            end = shared.next_separator(part, start + PIECE_BYTES)
+            end = shared.next_separator(part, start + most)
             yield lo, part[start:end], np.array([0, end - start]), start > 0, end < len(part)
             start = end
 
@@ -168,7 +170,7 @@ def counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[int] = []
         for batch in batches:
-            for _, part, at, goes_on, continues in pieces(*shared.buffers(batch.column(0))):
+            for _, part, at, goes_on, continues in pieces(*shared.buffers(batch.column(0)), COUNT_BYTES):
                 s = symbols(part, at, goes_on, continues, order, carry)
                 found = np.concatenate([r[s.fresh & (s.place >= k)] if k == 0 else r[s.own & (s.place >= k)] for k, r in enumerate(s.runs)])
                 runs, often = np.unique(found, return_counts=True)
@@ -385,7 +387,7 @@ def passed(docs: DataFrame, order: int, known, filter_shard, last: bool) -> Data
         for batch in batches:
             n = batch.num_rows
             old, new, sums = batch.column(3).to_pylist(), [b""] * n, _Sums(n)
-            for lo, part, at, goes_on, continues in pieces(*shared.buffers(batch.column(2))):
+            for lo, part, at, goes_on, continues in pieces(*shared.buffers(batch.column(2)), PIECE_BYTES):
                 s = symbols(part, at, goes_on, continues, order, carry)
                 level = np.stack([filter_shard.value.levels(r) for r in s.runs])
                 for i in range(len(at) - 1):
