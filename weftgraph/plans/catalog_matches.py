@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import Contains, Eq, Gt, Lt, StartsWith
 from weftgraph.operators import analyzers, merge
-from weftgraph.plans import match
+from weftgraph.operators.graph import Graph
+from weftgraph.plans import delta, match
 from weftgraph.plans.pattern import Node
 from weftgraph.plans.registry import query
 from weftgraph.sources import fixture
@@ -75,6 +76,30 @@ def q_shared_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.bindings(graph(spark, sf_dir), order.to("supplied_by", Node("Supplier", "supplier").to("based_in", nation)))
 
 
+_TRIANGLE = """(SELECT DISTINCT l_orderkey AS ao, l_partkey AS ap FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS bo, l_suppkey AS bs FROM lineitem) b ON ao = bo
+JOIN (SELECT DISTINCT l_suppkey AS cs, l_partkey AS cp FROM lineitem) c ON bs = cs AND ap = cp"""
+
+
+@query(f"SELECT {uid_sql('Order', 'ao')} AS \"order\", {uid_sql('Part', 'ap')} AS part, {uid_sql('Supplier', 'bs')} AS supplier FROM {_TRIANGLE} JOIN orders ON o_orderkey = ao JOIN part ON p_partkey = ap JOIN supplier ON s_suppkey = bs WHERE o_orderpriority = '1-URGENT'")
+def q_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a part and of a supplier that offers it."""
+    supplier = Node("Supplier", "supplier")
+    order = Node("Order", "order").where("o_orderpriority", Eq("1-URGENT")).to("contains_part", Node("Part", "part").to("offered_by", supplier))
+    return match.bindings(graph(spark, sf_dir), order.to("supplied_by", supplier))
+
+
+@query(
+    f"""WITH o AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), s AS (SELECT s_nationkey, s_suppkey, l_partkey FROM o JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey AND starts_with(p_name, 'red'))
+SELECT {_N} AS nation, {uid_sql('Supplier', 'a.s_suppkey')} AS one, {uid_sql('Supplier', 'b.s_suppkey')} AS other, {uid_sql('Part', 'a.l_partkey')} AS part
+FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.l_partkey = b.l_partkey JOIN nation ON n_nationkey = a.s_nationkey"""
+)
+def q_diamond_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers of one nation that offer the same part: every supplier offers a share of all parts."""
+    part = Node("Part", "part").where("p_name", StartsWith("red"))
+    one, other = (Node("Supplier", n).to("offers", part) for n in ("one", "other"))
+    return match.bindings(graph(spark, sf_dir), Node("Nation", "nation").to("suppliers", one).to("suppliers", other))
+
+
 _NATION_SEEDS = f"SELECT {_N} AS uid FROM nation WHERE n_regionkey = 2"
 
 
@@ -247,7 +272,82 @@ SELECT lens_uid, CAST(sum(score) AS BIGINT) AS risk, count(DISTINCT a) AS analyz
 )
 def a_lens_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, u = graph(spark, sf_dir), _updates(spark, sf_dir)
-    return analyzers.lens_risk([analyzers.run(CHAIN_ANALYZER, u, g), analyzers.run(URGENT_ANALYZER, u, g)])
+    return analyzers.lens_risk(analyzers.run_many([CHAIN_ANALYZER, URGENT_ANALYZER], u, g))
+
+
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _many() -> list[analyzers.Analyzer]:
+    """200 analyzers of three shapes: segments' orders by priority and status, priorities' parts by size, segments by nation."""
+    out = []
+    for segment in _SEGMENTS:
+        for priority in _PRIORITIES:
+            for status in "FOP":
+                order = Node("Order", "order").where("o_orderpriority", Eq(priority)).where("o_orderstatus", Eq(status))
+                out.append(analyzers.Analyzer(f"a {segment} {priority} {status}", Node("Customer", "customer").where("c_mktsegment", Eq(segment)).to("orders", order), score=2))
+        for nation in range(15):
+            out.append(analyzers.Analyzer(f"c {segment} NATION_{nation}", Node("Customer", "who").where("c_mktsegment", Eq(segment)).to("in_nation", Node("Nation", "where").where("n_name", Eq(f"NATION_{nation}"))), score=1, lens="where"))
+    for priority in _PRIORITIES:
+        for size in range(10):
+            part = Node("Part", "part").where("p_size", Gt(5 * size), Lt(5 * size + 6))
+            out.append(analyzers.Analyzer(f"b {priority} {size}", Node("Order", "order").where("o_orderpriority", Eq(priority)).to("contains_part", part), score=3, lens="part"))
+    return out
+
+
+def _many_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_updates, and the segments of customers in debt."""
+    none = F.lit(None).cast("bigint")
+    customers = fixture.table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    segments = customers.select(F.lit("property").alias("kind"), fixture.uid("Customer", "c_custkey").alias("uid"), F.lit("c_mktsegment").alias("name"), none.alias("src"), none.alias("dst"))
+    return _updates(spark, sf_dir).unionByName(segments)
+
+
+@query(
+    f"""WITH o AS (SELECT {_O} AS uid FROM orders WHERE {_NEW_ORDERS}), c AS (SELECT {uid_sql("Customer", "o_custkey")} AS uid FROM orders WHERE {_NEW_ORDERS}), d AS (SELECT {_C} AS uid FROM customer WHERE c_acctbal < 0),
+a AS (SELECT 'a ' || c_mktsegment || ' ' || o_orderpriority || ' ' || o_orderstatus AS analyzer, 2 AS score, {_C} AS x, {_O} AS y, {_C} AS lens_uid FROM customer JOIN orders ON o_custkey = c_custkey
+  WHERE o_orderstatus IN ('F', 'O', 'P') AND ({_O} IN (SELECT uid FROM o) OR {_C} IN (SELECT uid FROM c) OR {_C} IN (SELECT uid FROM d))),
+b AS (SELECT DISTINCT 'b ' || o_orderpriority || ' ' || ((p_size - 1) // 5) AS analyzer, 3 AS score, {_O} AS x, {_P} AS y, {_P} AS lens_uid FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE p_size BETWEEN 1 AND 50 AND {_O} IN (SELECT uid FROM o)),
+n AS (SELECT 'c ' || c_mktsegment || ' ' || n_name AS analyzer, 1 AS score, {_C} AS x, {_N} AS y, {_N} AS lens_uid FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 15 AND {_C} IN (SELECT uid FROM d)),
+every AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM n)
+SELECT analyzer, CAST(score AS BIGINT) AS score, lens_uid, md5(analyzer || chr(31) || x || chr(31) || y) AS idempotency_key FROM every"""
+)
+def a_many_analyzers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of 200 analyzers in one plan: three walks, whatever their number."""
+    hits = analyzers.run_many(_many(), _many_updates(spark, sf_dir), graph(spark, sf_dir))
+    return hits.select("analyzer", "score", "lens_uid", "idempotency_key")
+
+
+# What a change makes and ends: the graph of the tables is the new state.
+
+def _before(spark: SparkSession, sf_dir: str) -> delta.GraphDelta:
+    """Every seventh order was urgent, every eleventh part had no widget in its name; line 6 of orders is new, and every fifth order's first lines are gone."""
+    g, o, line = graph(spark, sf_dir), fixture.table(spark, sf_dir, "orders"), fixture.table(spark, sf_dir, "lineitem")
+    key = lambda t: F.col("uid") - fixture.CODES[t] * 10**12 - 1
+    orders, parts = g.of_type("Order").where(key("Order") % 7 == 0), g.of_type("Part").where(key("Part") % 11 == 0)
+    before = {"Order": orders.withColumn("o_orderpriority", F.lit("1-URGENT")), "Part": parts.withColumn("p_name", F.replace("p_name", F.lit("widget"), F.lit("thing")))}
+    every = line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("first"))
+    pairs = every.select(fixture.uid("Order", "l_orderkey").alias("src"), fixture.uid("Part", "l_partkey").alias("dst"), "first", "l_orderkey")
+    gone = (F.col("first") == 1) & (F.col("l_orderkey") % 5 == 0)
+    changes = pairs.where((F.col("first") == 6) | gone).select("src", "dst", (~gone).alias("added"))
+    now = dict(g.edges) | {"contains_part": pairs.where(~gone).select("src", "dst")}
+    new = Graph(g.tenant, g.nodes, now, g.reverse)
+    return delta.GraphDelta(new, {t: d.select("uid") for t, d in before.items()}, before, {"contains_part": changes})
+
+
+_STATE = """WITH e AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS first FROM lineitem GROUP BY l_orderkey, l_partkey),
+new AS (SELECT {c} AS customer, {o} AS "order", {p} AS part FROM customer JOIN orders ON o_custkey = c_custkey JOIN e ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED') AND contains(p_name, 'widget') AND NOT (first = 1 AND l_orderkey % 5 = 0)),
+old AS (SELECT {c} AS customer, {o} AS "order", {p} AS part FROM customer JOIN orders ON o_custkey = c_custkey JOIN e ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (o_orderkey % 7 = 0 OR o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')) AND contains(p_name, 'widget') AND p_partkey % 11 <> 0 AND first <> 6)""".format(c=_C, o=_O, p=_P)
+
+
+@query(f"{_STATE} SELECT 1 AS sign, * FROM (SELECT * FROM new EXCEPT SELECT * FROM old) UNION ALL SELECT -1, * FROM (SELECT * FROM old EXCEPT SELECT * FROM new)")
+def a_delta_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that changes of values and edges made, and those that they ended."""
+    return delta.matches(_before(spark, sf_dir), CHAIN)
 
 
 # Merges of edges.

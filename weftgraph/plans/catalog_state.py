@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import analyzers, identity, merge, queues
+from weftgraph.operators import analyzers, identity, merge, queues, uids
 from weftgraph.plans.registry import key_sql, query
 from weftgraph.schema import parse
 from weftgraph.session import shared_path
@@ -175,6 +175,31 @@ def i_skewed_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", identity.same_time(fixture.ms("ts"), fixture.ms("ts") + F.col("event_id") % 41 - 20).alias("same"))
 
 
+_EARLY_KEYS = f"SELECT DISTINCT event_type || ' ' || user_id AS key FROM events WHERE {_EARLY}"
+
+
+@query(
+    f"""WITH every AS (SELECT DISTINCT event_type || ' ' || user_id AS key FROM events), early AS ({_EARLY_KEYS}), n AS (SELECT (SELECT count(*) FROM every) AS whole, (SELECT count(*) FROM early) AS first)
+SELECT key, CASE WHEN key IN (SELECT key FROM early) THEN CAST(1 AS BIGINT) ELSE n.first + 1 END AS least, CASE WHEN key IN (SELECT key FROM early) THEN n.first ELSE n.whole END AS most, true AS fits, n.whole AS uids FROM every, n"""
+)
+def i_uid_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs and a repeated one extend one dictionary: each key's uid lies among its run's, which leave no gap and share none."""
+    events, path = fixture.table(spark, sf_dir, "events"), shared_path(spark, "uids")
+    key = F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("key")
+    half = F.expr("timestamp_ntz '2024-01-16 00:00:00'")
+    one = uids.extend(events.where(F.col("ts") < half).select(key), path)
+    uids.extend(events.select(key), path)
+    uids.extend(events.select(key), path)
+    first, whole = uids.dictionary(spark, path, one), uids.dictionary(spark, path)
+    uids_, last = whole.agg(F.count_distinct("uid"), F.max("uid")).first()
+    until = first.agg(F.max("uid")).first()[0]
+    early = first.select("key", F.col("uid").alias("was"))
+    out, known = whole.join(early, "key", "left"), F.col("was").isNotNull()
+    least, most = F.when(known, F.lit(1)).otherwise(F.lit(until + 1)).cast("bigint"), F.when(known, F.lit(until)).otherwise(F.lit(last)).cast("bigint")
+    fits = F.col("uid").between(least, most) & F.coalesce(F.col("uid") == F.col("was"), F.lit(True))
+    return out.select("key", least.alias("least"), most.alias("most"), fits.alias("fits"), F.lit(uids_).cast("bigint").alias("uids"))
+
+
 # Work queue and registry.
 
 _NOW = 1704500000000

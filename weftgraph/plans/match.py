@@ -2,7 +2,7 @@
 
 A match binds every role to a node so that every pattern edge is a graph edge; two roles may bind the same node. An edge
 is satisfied by any neighbour that satisfies the rest, whatever the order. Where only roots, nodes or edges are asked
-for, branches are semi-joins and never multiply each other.
+for, branches are semi-joins and never multiply each other. Patterns with cycles are bound role by role (multiway).
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import node_column
 from weftgraph.operators.graph import Graph
+from weftgraph.plans import multiway
 from weftgraph.plans.pattern import Node, Pattern
+from weftgraph.plans.walk import walk
+from weftgraph.session import written
 
 _UID = "bigint"
 
@@ -40,6 +43,16 @@ def _step(graph: Graph, edge: str, forward: bool, parent: str, child: str) -> Da
     return e.select(F.col("src" if forward else "dst").alias(parent), F.col("dst" if forward else "src").alias(child))
 
 
+def along(graph: Graph, tree: list[tuple[str, str, str, bool]]):
+    """For walk: rows to rows with one role more, by an edge of the tree."""
+
+    def across(rows: DataFrame, i: int, a: str, b: str) -> DataFrame:
+        parent, edge, child, forward = tree[i]
+        return rows.join(_step(graph, edge, forward, parent, child), a)
+
+    return across
+
+
 def reduced(graph: Graph, pattern: Pattern, root: str) -> dict[str, DataFrame]:
     """Candidates that have all their children, from the leaves of the spanning tree up."""
     cand = {r: candidate(graph, pattern, r) for r in pattern.roles}
@@ -57,6 +70,11 @@ def bindings(graph: Graph, node: Node | Pattern, root: str | None = None, seeds:
     pattern = compiled(graph, node)
     root = root or pattern.root
     tree, rest = pattern.tree(root)
+    if rest:
+        cand = {r: candidate(graph, pattern, r) for r in pattern.roles}
+        if seeds is not None:
+            cand[root] = cand[root].join(seeds.select("uid").distinct(), "uid", "left_semi")
+        return multiway.bindings(graph, pattern, root, cand)
     parents = [parent for parent, *_ in tree]
     branches = len(set(parents)) < len(parents)
     cand = reduced(graph, pattern, root) if branches else {r: candidate(graph, pattern, r) for r in pattern.roles}
@@ -66,8 +84,6 @@ def bindings(graph: Graph, node: Node | Pattern, root: str | None = None, seeds:
     out = first.select(F.col("uid").alias(root))
     for parent, edge, child, forward in tree:
         out = out.join(_step(graph, edge, forward, parent, child).join(cand[child].withColumnRenamed("uid", child), child, "left_semi"), parent)
-    for a, edge, b in rest:
-        out = out.join(_step(graph, edge, True, a, b), [a, b], "left_semi") if a != b else out.join(graph.edge(edge).where("src = dst").select(F.col("src").alias(a)), a, "left_semi")
     return out.select(*pattern.roles)
 
 
@@ -91,8 +107,18 @@ def with_uid(graph: Graph, node: Node | Pattern, seeds: DataFrame, one_per_seed:
     one_per_seed: the first by role and bindings, for each seed.
     """
     pattern = compiled(graph, node)
-    parts = [bindings(graph, pattern, role, seeds).select(F.col(role).alias("seed"), F.lit(i).alias("role_no"), *pattern.roles) for i, role in enumerate(pattern.roles)]
-    out = reduce(DataFrame.unionByName, parts)
+    roles = list(pattern.roles)
+    tree, rest = pattern.tree()
+    if rest:
+        parts = [bindings(graph, pattern, role, seeds).select(F.lit(i).alias("role_no"), *roles) for i, role in enumerate(roles)]
+        out = reduce(DataFrame.unionByName, parts)
+    else:
+        own = written(seeds.select("uid").distinct(), "seeds")
+        starts = {r: own.select(F.col("uid").alias(r), F.lit(i).alias("_start")) for i, r in enumerate(roles)}
+        check = lambda rows, role: rows.join(candidate(graph, pattern, role).withColumnRenamed("uid", role), role, "left_semi")
+        out = walk(pattern.root, tree, roles, starts, check, along(graph, tree), []).withColumnRenamed("_start", "role_no")
+    seed = F.coalesce(*[F.when(F.col("role_no") == i, F.col(r)) for i, r in enumerate(roles)])
+    out = out.select(seed.alias("seed"), "role_no", *roles)
     if not one_per_seed:
         return out
     # A pre-aggregated minimum, so a seed with very many matches meets in no single task.
