@@ -45,12 +45,12 @@ BITS = 10
 PROBES = 5
 EXACT = 8
 STEP = 1.25
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 SHARD_BYTES = 160 << 20
 FREQUENT = 1 << 20
 SHORT = 32
 #: Texts are counted in larger pieces than they are scored in, as a run is sent once a piece.
-COUNT_BYTES = 4 << 20
+COUNT_BYTES = 2 << 20
 PIECE_BYTES = 1 << 20
 ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: What stands for the end of a text among words; no word is empty.
