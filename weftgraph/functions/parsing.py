@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,15 @@ def last_of_each(entries: Column) -> Column:
 
 
 def hex_int(c: Column) -> Column:
-    """"0" or base 16 with or without 0x, below 2**63."""
-    digits = F.regexp_extract(c, "^(?:0[xX])?([0-9a-fA-F]{1,16})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("bigint"))
+    """"0" or base 16 with or without 0x, of 64 bits without a sign: a decimal, as no long holds them all."""
+    digits = F.regexp_extract(c, "^(?:0[xX])?0*([0-9a-fA-F]{1,16})$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).try_cast("decimal(20,0)"))
+
+
+def unsigned(c: Column, bits: int) -> Column:
+    """Digits, below 2**bits; a decimal where a long does not hold them all."""
+    value = F.when(c.rlike(r"^\+?\d{1,30}$"), c.try_cast("decimal(38,0)"))
+    return F.when(value < F.lit(str(1 << bits)).cast("decimal(38,0)"), value).cast("decimal(20,0)" if bits > 63 else "bigint")
 
 
 def guid(c: Column) -> Column:
@@ -95,6 +103,45 @@ def in_ms(t: Column) -> Column:
     return F.when(t < _SECONDS_BELOW, t * 1000).otherwise(t)
 
 
+def time_text(c: Column) -> Column:
+    """utc_ms of texts that hold nothing else."""
+    return F.when(c.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d(\.\d+)?Z?$"), utc_ms(c))
+
+
+#: Kinds of fields: how each is read, and what is said of a text that is none.
+KINDS: dict[str, tuple[Callable[[Column], Column], str]] = {
+    "u8": (lambda c: unsigned(c, 8), "integer"),
+    "u16": (lambda c: unsigned(c, 16), "integer"),
+    "u32": (lambda c: unsigned(c, 32), "integer"),
+    "u64": (lambda c: unsigned(c, 64), "integer"),
+    "hex": (hex_int, "integer"),
+    "guid": (guid, "guid"),
+    "bool": (boolean, "boolean"),
+    "ip": (ip, "address"),
+    "time": (time_text, "time"),
+    "text": (lambda c: c, "text"),
+}
+ERROR = "struct<field:string,error:string,value:string,position:int>"
+
+
+def checked(field: str, kind: str, text: Column, required: bool, position: Column) -> Column:
+    """(value, error) of a field's text: the error says which field, what it should have been, what it was and where.
+
+    A required field without a text is an error without a value and a place. position: where the text is, from 1 on.
+    """
+    read, name = KINDS[kind]
+    value = read(text)
+    wrong = F.struct(F.lit(field).alias("field"), F.lit(name).alias("error"), text.alias("value"), position.cast("int").alias("position")).cast(ERROR)
+    missing = F.struct(F.lit(field).alias("field"), F.lit("missing").alias("error"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("position")).cast(ERROR)
+    error = F.when(text.isNotNull() & value.isNull(), wrong)
+    return F.struct(value.alias("value"), (F.when(text.isNull(), missing).otherwise(error) if required else error).alias("error"))
+
+
+def errors(fields: list[Column]) -> Column:
+    """The errors of checked fields, in their order."""
+    return F.array_compact(F.array(*[f["error"] for f in fields]))
+
+
 def strip_zone(path: Column) -> Column:
     return F.regexp_replace(path, ":Zone\\.Identifier$", "")
 

@@ -204,7 +204,7 @@ def g_own_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(generators.GENERATORS["notes"](plain))
 
 
-@query(f"SELECT event_id, CASE {_KIND} WHEN 1 THEN 'ProcessCreation' WHEN 11 THEN 'FileCreate' WHEN 3 THEN 'NetworkConnection' WHEN 5 THEN 'ProcessTerminated' ELSE 'Unknown' END AS event_name, {_HOST} AS computer, CAST(2251799813685248 AS BIGINT) AS keywords, '5770385f-c22a-43e0-bf4c-06f5698ffbd9' AS provider_guid, CASE {_KIND} WHEN 99 THEN 0 ELSE 15 END AS n_fields FROM events")
+@query(f"SELECT event_id, CASE {_KIND} WHEN 1 THEN 'ProcessCreation' WHEN 11 THEN 'FileCreate' WHEN 3 THEN 'NetworkConnection' WHEN 5 THEN 'ProcessTerminated' ELSE 'Unknown' END AS event_name, {_HOST} AS computer, CAST(9223372036854775808 AS DECIMAL(20,0)) AS keywords, '5770385f-c22a-43e0-bf4c-06f5698ffbd9' AS provider_guid, CASE {_KIND} WHEN 99 THEN 0 ELSE 15 END AS n_fields FROM events")
 def x_sysmon_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sysmon(spark, sf_dir, F.expr(_KIND)).select("event_id", "event_name", "system.computer", "system.keywords", "system.provider_guid", F.size("data").alias("n_fields"))
 
@@ -216,13 +216,34 @@ def x_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT event_id, 'Sysmon' AS provider_name, '5770385f-c22a-43e0-bf4c-06f5698ffbd9' AS provider_guid, CAST(1 AS BIGINT) AS kind, CAST(5 AS BIGINT) AS version, CAST(4 AS BIGINT) AS level, CAST(1 AS BIGINT) AS task, CAST(0 AS BIGINT) AS opcode,
-CAST(2251799813685248 AS BIGINT) AS keywords, {_MS} AS time_created, event_id AS event_record_id, 'a-' || event_id AS activity_id, CAST(NULL AS VARCHAR) AS related_activity_id, CAST(user_id AS BIGINT) AS process_id, event_id % 97 AS thread_id,
+CAST(9223372036854775808 AS DECIMAL(20,0)) AS keywords, {_MS} AS time_created, CAST(event_id AS DECIMAL(20,0)) AS event_record_id, 'a-' || event_id AS activity_id, CAST(NULL AS VARCHAR) AS related_activity_id, CAST(user_id AS BIGINT) AS process_id, event_id % 97 AS thread_id,
 'Microsoft-Windows-Sysmon/Operational' AS channel, {_HOST} AS computer, 'S-1-5-18' AS user_id FROM events"""
 )
 def x_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of the header."""
     logs = fixture.sysmon_logs(spread(fixture.table(spark, sf_dir, "events")), 1, whole_header=True)
-    return sysmon.parse(logs).select("event_id", "system.*", F.col("system.event_id").alias("kind")).drop("event_id").withColumn("event_id", F.col("event_record_id"))
+    return sysmon.parse(logs).select("event_id", "system.*", F.col("system.event_id").alias("kind")).drop("event_id").withColumn("event_id", F.col("event_record_id").cast("bigint"))
+
+
+_MISSING = "('Version'), ('Level'), ('Task'), ('Opcode'), ('SystemTime'), ('EventRecordID'), ('ProcessID'), ('ThreadID'), ('ProcessGuid'), ('SourceIsIpv6'), ('DestinationIsIpv6')"
+_WRONG = """SELECT event_id, 'ProcessId' AS field, 'integer' AS error, '99999999999' AS value FROM events WHERE event_type = 'view'
+UNION ALL SELECT event_id, 'SourcePort', 'integer', '65536' FROM events WHERE event_type IN ('view', 'error') UNION ALL SELECT event_id, 'UtcTime', 'time', 'today' FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'Initiated', 'boolean', 'perhaps' FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, 'DestinationIp', 'address', '93.184.216.340' FROM events WHERE event_type = 'purchase'
+UNION ALL SELECT event_id, 'Keywords', 'integer', '0x80000000000000001' FROM events WHERE event_type = 'error'"""
+
+
+@query(f"SELECT event_id, field, error, value, true AS placed FROM ({_WRONG}) UNION ALL SELECT event_id, field, 'missing', NULL, false FROM events, (VALUES {_MISSING}) m(field)")
+def x_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections with wrong values by kind of event, and without some fields: what is wrong, and that its place holds the value."""
+    logs = fixture.sysmon_logs(spread(fixture.table(spark, sf_dir, "events")), 3).join(fixture.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    changes = [("view", '"ProcessId">', "99999999999"), ("view,error", '"SourcePort">', "65536"), ("signup", '"UtcTime">', "today"), ("purchase", '"DestinationIp">', "93.184.216.340"), ("error", "<Keywords>", "0x80000000000000001")]
+    text = F.col("log_event")
+    for kinds, mark, value in [*changes, ("purchase", '"Initiated">', "perhaps")]:
+        # A pattern that matches nothing where the kind is another.
+        text = F.regexp_replace(text, F.when(F.col("event_type").isin(kinds.split(",")), F.lit(f"({mark})[^<]*")).otherwise(F.lit("(?!)")), F.lit(f"$1{value}"))
+    found = sysmon.checked(logs.withColumn("log_event", text)).select("event_id", "log_event", F.explode("errors").alias("e"))
+    placed = F.coalesce(F.substr("log_event", F.col("e.position"), F.length("e.value")) == F.col("e.value"), F.lit(False))
+    return found.select("event_id", "e.field", "e.error", "e.value", placed.alias("placed"))
 
 
 @query(f"SELECT event_id, 'ProcessCreation' AS event_name, {_HOST} AS computer, event_type || ' & ' || event_id AS command_line FROM events")
@@ -248,7 +269,7 @@ def x_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT event_id, CASE event_type WHEN 'signup' THEN event_id WHEN 'click' THEN NULL ELSE -event_id END AS int_value, CASE event_type WHEN 'signup' THEN true WHEN 'view' THEN false END AS bool_value,
 CASE event_type WHEN 'signup' THEN '10.0.0.' || (event_id % 256) WHEN 'view' THEN 'fe80::' || (event_id % 10) END AS ip_value, CASE event_type WHEN 'signup' THEN epoch_us(ts) // 1000 WHEN 'view' THEN epoch_us(date_trunc('second', ts)) // 1000 END AS utc_value,
-CASE event_type WHEN 'signup' THEN event_id WHEN 'view' THEN event_id WHEN 'click' THEN 0 END AS hex_value FROM events"""
+CAST(CASE event_type WHEN 'signup' THEN 9223372036854775808 + event_id WHEN 'view' THEN event_id WHEN 'click' THEN 0 END AS DECIMAL(20,0)) AS hex_value FROM events"""
 )
 def x_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Well-formed and malformed integers, booleans, addresses, times and hexadecimals: the malformed give null."""
@@ -261,7 +282,7 @@ def x_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
         P.boolean(by(F.lit("TRUE"), F.lit("false"), F.lit("yes"), F.lit(""))).alias("bool_value"),
         P.ip(by(F.concat(F.lit("10.0.0."), F.col("event_id") % 256), F.concat(F.lit("fe80::"), F.col("event_id") % 10), F.lit("300.1.1.1"), F.lit("host"))).alias("ip_value"),
         P.utc_ms(by(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("2024-13-01 00:00:00.000"), F.lit("yesterday"))).alias("utc_value"),
-        P.hex_int(by(F.concat(F.lit("0x"), F.hex("event_id")), F.lower(F.hex("event_id")), F.lit("0"), F.lit("0xZZ"))).alias("hex_value"),
+        P.hex_int(by(F.concat(F.lit("0x8"), F.lpad(F.hex("event_id"), 15, "0")), F.lower(F.hex("event_id")), F.lit("0"), F.lit("0xZZ"))).alias("hex_value"),
     )
 
 
