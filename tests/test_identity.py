@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import identity
 from weftgraph.schema import endpoint_schema
-from weftgraph.streaming.arrival import Sessions, attributed
+from weftgraph.streaming import arrival
+from weftgraph.streaming.arrival import Sessions, Timeline, attributed
 
 
 def test_keys_are_unambiguous(spark):
@@ -84,6 +85,72 @@ def test_late_rows_move_guessed_sessions():
     assert s.place(9000, True) == 3 and s.place(9500, False) == 3 and s.place(8000, False) == 1
 
 
+class Map:
+    """A state store's map, that counts what is read."""
+
+    def __init__(self):
+        self.rows, self.reads = {}, 0
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+
+class Value:
+    def __init__(self):
+        self.row = None
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_slices_are_the_list(monkeypatch, seed):
+    """The rule over slices, saved and read again every few rows, gives what it gives over one list."""
+    monkeypatch.setattr(arrival, "SLICE_MS", 700)
+    monkeypatch.setattr(arrival, "BLOCK_SLICES", 16)
+    rnd = random.Random(seed)
+    plain, state = Sessions(), (Map(), Map(), Value())
+    own = Timeline(*state)
+    for i in range(300):
+        if i % 7 == 0:
+            own.saved()
+            own = Timeline(*state)
+        t, created = rnd.randrange(-3000, 40_000), rnd.random() < 0.3
+        assert own.place(t, created) == plain.place(t, created)
+    own.saved()
+    assert sorted(s for rows in state[0].rows.values() for s in rows[0]) == [r[0] for r in plain.rows]
+
+
+def test_a_row_reads_a_few_slices(monkeypatch):
+    state = (Map(), Map(), Value())
+    own = Timeline(*state)
+    for i in range(5000):
+        own.place(i * 10 * arrival.SLICE_MS, True)
+    own.saved()
+    assert len(state[0].rows) == 5000
+    for m in state[:2]:
+        m.reads = 0
+    own = Timeline(*state)
+    assert own.place(777 * 10 * arrival.SLICE_MS + 5 * arrival.SLICE_MS, False) == 778
+    assert state[0].reads <= 2 and state[1].reads <= 2
+
+
 def test_stream_in_order_of_arrival(spark, tmp_path):
     """The state goes on from batch to batch, and a query that starts again does not count a batch twice."""
     rnd = random.Random(1)
