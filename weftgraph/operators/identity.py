@@ -7,6 +7,8 @@ counts prefix-summed. A key of any size is so dealt out over its slices, and the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,30 +103,52 @@ def clashes(named: DataFrame) -> DataFrame:
     return named.groupBy("uid").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a <> b").select("uid")
 
 
-def identify_nodes(nodes: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
-    """(node rows with key, session_no and uid, quarantined rows with a reason) from described nodes.
+_ROW = ["tenant_id", "event_id", "node_key", "key", "_t", "_created"]
 
-    session_no is null where identity is static. Entities that share a uid are quarantined, all of them.
-    """
-    keyed = nodes.withColumn("key", identity_key(schema, F.col("tenant_id"), F.col("node_type"), F.col("strings"), F.col("numbers")))
-    timed = F.lit(None).cast("struct<t:bigint,created:boolean>")
-    for x in (x for x in schema.types.values() if x.identity == "session"):
+
+def _keyed(nodes: DataFrame, schema: Schema) -> DataFrame:
+    """nodes with key, _t and _created (-1 and false where identity is static), _session and the reason why one can't be identified."""
+    key = identity_key(schema, F.col("tenant_id"), F.col("node_type"), F.col("strings"), F.col("numbers"))
+    lasting = [x for x in schema.types.values() if x.identity == "session"]
+    time = F.lit(None).cast("struct<t:bigint,created:boolean>")
+    for x in lasting:
         t, created = event_time(F.col("numbers")[x.time("create_time")], F.col("numbers")[x.time("last_seen_time")])
-        timed = F.when(F.col("node_type") == x.name, F.struct(t.alias("t"), created.alias("created"))).otherwise(timed)
-    lasting = [x.name for x in schema.types.values() if x.identity == "session"]
-    keyed = keyed.withColumn("_time", timed).withColumn("_session", F.col("node_type").isin(lasting))
+        time = F.when(F.col("node_type") == x.name, F.struct(t.alias("t"), created.alias("created"))).otherwise(time)
+    keyed = nodes.withColumn("key", key).withColumn("_time", time).withColumn("_session", F.col("node_type").isin([x.name for x in lasting]))
     reason = F.when(F.col("key").isNull(), "missing key").when(F.col("_session") & F.col("_time.t").isNull(), "no time")
-    # Read by the static rows, twice by the lived ones, and by the quarantine.
-    keyed = written(keyed.withColumn("reason", reason), "keyed-nodes")
-    good = keyed.where("reason is null")
-    static = good.where("not _session").select(*nodes.columns, "key", F.lit(None).cast("bigint").alias("session_no"), uid_of(F.col("key")).alias("uid"))
-    lived = attribute(good.where("_session").select(*nodes.columns, "key", F.col("_time.t").alias("t"), F.col("_time.created").alias("created")))
-    lived = lived.select(*nodes.columns, "key", "session_no", uid_of(F.concat("key", F.lit(":"), F.col("session_no").cast("string"))).alias("uid"))
+    return keyed.select(*nodes.columns, "key", F.coalesce("_time.t", F.lit(-1)).alias("_t"), F.coalesce("_time.created", F.lit(False)).alias("_created"), "_session", reason.alias("reason"))
+
+
+def identify(nodes: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
+    """(tenant_id, event_id, node_key, node_type, key, session_no, uid, ...) of described nodes without their properties, written; (uid) of clashes.
+
+    session_no is null where identity is static. Entities that share a uid are among the clashes, and not in the first.
+    """
+    # Read by the static rows and twice by the lived ones: few columns, however many properties there are.
+    keyed = written(_keyed(nodes, schema).where("reason is null").select(*_ROW, "node_type", "_session"), "keyed-nodes")
+    own = [*_ROW, "node_type"]
+    static = keyed.where("not _session").select(*own, F.lit(None).cast("bigint").alias("session_no"), uid_of(F.col("key")).alias("uid"))
+    lived = attribute(keyed.where("_session").withColumns({"t": F.col("_t"), "created": F.col("_created")}))
+    lived = lived.select(*own, "session_no", uid_of(F.concat("key", F.lit(":"), F.col("session_no").cast("string"))).alias("uid"))
     named = written(static.unionByName(lived), "identified-nodes")
     shared = written(clashes(named.select("uid", F.concat("key", F.lit(":"), F.coalesce(F.col("session_no").cast("string"), F.lit(""))).alias("entity"))), "uid-clashes")
-    reasons = keyed.where("reason is not null").select(*nodes.columns, "reason")
-    clashing = named.join(shared, "uid", "left_semi").select(*nodes.columns, F.lit("uid clash").alias("reason"))
-    return named.join(shared, "uid", "left_anti"), reasons.unionByName(clashing)
+    return named.join(shared, "uid", "left_anti"), named.join(shared, "uid", "left_semi")
+
+
+def identify_nodes(nodes: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
+    """(node rows with key, session_no and uid, quarantined rows with a reason) from described nodes, which are read twice.
+
+    session_no is null where identity is static. Entities that share a uid are quarantined, all of them.
+    """
+    named, clashing = identify(nodes, schema)
+    keyed = _keyed(nodes, schema)
+    rows = keyed.where("reason is null").drop("_session", "reason")
+    # Nulls among a row's names are values like any other.
+    mark = lambda d: d.select(*[F.col(c).alias(f"_of_{c}") for c in _ROW], "session_no", "uid").distinct()
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in _ROW])
+    good = rows.join(mark(named), same).select(*nodes.columns, "key", "session_no", "uid")
+    clashed = rows.join(mark(clashing), same, "left_semi").select(*nodes.columns, F.lit("uid clash").alias("reason"))
+    return good, keyed.where("reason is not null").select(*nodes.columns, "reason").unionByName(clashed)
 
 
 def identify_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

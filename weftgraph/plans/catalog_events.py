@@ -327,7 +327,7 @@ def i_identify_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i_identify_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All different edges between resolved nodes; edges of quarantined parents go."""
     nodes, edges = _described(spark, sf_dir)
-    good, _ = identity.identify_nodes(nodes, endpoint_schema())
+    good, _ = identity.identify(nodes, endpoint_schema())
     entity = good.select("uid", "key", "session_no").distinct()
     ends = [entity.select(*[F.col(c).alias(n) for c, n in zip(entity.columns, names)]) for names in (("src", "src_key", "src_session"), ("dst", "dst_key", "dst_session"))]
     return identity.identify_edges(edges, good).join(ends[0], "src").join(ends[1], "dst").select("src_key", "src_session", "edge", "dst_key", "dst_session")
