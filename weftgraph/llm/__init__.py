@@ -1,4 +1,4 @@
-"""Training-data operators: ten Spark jobs over tables of documents and pages.
+"""Training-data operators: thirteen Spark jobs over tables of documents, pages and embeddings.
 
 Nothing outside this subpackage imports it.
 """
