@@ -1,4 +1,4 @@
-"""Queries of users' own Python, of which one row in ten goes wrong."""
+"""Queries of what users bring: their own Python, of which one row in ten goes wrong, and their own types."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import user_code
+from weftgraph.operators import assemble, generators, merge, user_code
 from weftgraph.plans import match
 from weftgraph.plans.catalog_matches import _C, _CHAIN_FROM, _O, _P, CHAIN
 from weftgraph.plans.registry import query
+from weftgraph.schema import NodeType, Property, Schema, parse
 from weftgraph.session import written
 from weftgraph.sources import fixture
 
@@ -63,3 +64,47 @@ def a_user_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fixture.graph(spark, sf_dir)
     out = user_code.judged(DEAR, match.bindings(g, CHAIN), g)
     return out.select("analyzer", "score", F.col("context")["size"].alias("why"), "error", "customer", "order", "part")
+
+
+def _line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item describes its part: its name, the line as a first mention, sizes that lines make smaller or larger."""
+    line, part = (fixture.table(spark, sf_dir, n) for n in ("lineitem", "part"))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    strings = F.create_map(F.lit("p_name"), F.col("p_name"), F.lit("status"), F.col("l_linestatus"), F.lit("unknown"), F.lit("x"))
+    numbers = F.create_map(F.lit("least"), F.col("p_size") - F.col("l_linenumber"), F.lit("most"), F.col("p_size") + F.col("l_linenumber")).cast("map<string,bigint>")
+    event = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id")
+    return rows.select(F.lit("t0").alias("tenant_id"), event, fixture.uid("Part", "l_partkey").alias("uid"), F.lit("Part").alias("node_type"), strings.alias("strings"), numbers.alias("numbers"))
+
+
+#: One type in two pieces of schema text, and the same declared in Python.
+_TEXT = """
+type Part @node(identity_algorithm: "static") { p_name: String! @static_id  status: String @immutable }
+type PartSizes @node(extends: "Part") { least: Int @decrement_only  most: Int @increment_only }
+"""
+_TYPES = Schema({"Part": NodeType("Part", "static", (Property("p_name", "immutable_string", True, "static_id"), Property("status", "immutable_string"), Property("least", "min_int"), Property("most", "max_int")))})
+
+
+@query(
+    """WITH l AS (SELECT CAST(5000000000001 + l_partkey AS BIGINT) AS uid, p_name, l_linestatus, p_size - l_linenumber AS a, p_size + l_linenumber AS b, l_orderkey * 8 + l_linenumber AS e FROM lineitem JOIN part ON p_partkey = l_partkey),
+one AS (SELECT uid, 'p_name' AS field, 'immutable_string' AS kind, min(p_name) AS s, CAST(NULL AS BIGINT) AS n FROM l GROUP BY uid UNION ALL SELECT uid, 'status', 'immutable_string', arg_min(l_linestatus, e), NULL FROM l GROUP BY uid
+  UNION ALL SELECT uid, 'least', 'min_int', NULL, CAST(min(a) AS BIGINT) FROM l GROUP BY uid UNION ALL SELECT uid, 'most', 'max_int', NULL, CAST(max(b) AS BIGINT) FROM l GROUP BY uid)
+SELECT declared, uid, field, kind, s, n FROM one, (VALUES ('text'), ('python')) v(declared)"""
+)
+def m_extended_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged properties by the rules of a type that another one extends, and of the same type declared in Python; undeclared ones go."""
+    nodes = _line_nodes(spark, sf_dir)
+    both = [merge.merge_properties(assemble.property_writes(nodes, types)).select(F.lit(n).alias("declared"), "uid", "field", "kind", "s", "n") for n, types in (("text", parse(_TEXT)), ("python", _TYPES))]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT event_id, event_id || ':p' AS node_key, event_type AS name, '/bin/' || event_type AS path, least(user_id, event_id % 50) AS pid, CASE WHEN event_type = 'click' THEN CAST(7 AS BIGINT) END AS extra FROM events")
+def g_merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two descriptions of one node in an event's graph are one node with what either says; of two values the least."""
+    e = fixture.table(spark, sf_dir, "events")
+    text = lambda **c: F.create_map(*[x for k, v in c.items() for x in (F.lit(k), v.cast("string"))])
+    number = lambda **c: F.map_filter(F.create_map(*[x for k, v in c.items() for x in (F.lit(k), v.cast("bigint"))]), lambda _, v: v.isNotNull())
+    key = [F.lit("t0").alias("tenant_id"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit(":p")).alias("node_key"), F.lit("Process").alias("node_type")]
+    one = e.select(*key, text(name=F.col("event_type")).alias("strings"), number(pid=F.col("user_id")).alias("numbers"))
+    other = e.select(*key, text(path=F.concat(F.lit("/bin/"), "event_type")).alias("strings"), number(pid=F.col("event_id") % 50, extra=F.when(F.col("event_type") == "click", F.lit(7))).alias("numbers"))
+    merged = generators.merged_nodes(one.unionByName(other))
+    return merged.select("event_id", "node_key", F.col("strings")["name"].alias("name"), F.col("strings")["path"].alias("path"), F.col("numbers")["pid"].alias("pid"), F.col("numbers")["extra"].alias("extra"))
