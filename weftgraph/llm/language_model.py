@@ -30,7 +30,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +84,12 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 class Symbols:
     """The symbols of a piece of texts, row after row: a start mark or what a cut row carries on, its words, its end.
 
-    word: of `unique`, for words and ends; own: words and ends, which are the tokens; fresh: what is no carry;
+    names: hashes of `unique`; word: of `unique`, for words and ends; own: words and ends, which are the tokens; fresh: what is no carry;
     place: within the row; runs[k]: hashes of the k + 1 symbols that end here, where the row has so many.
     """
 
     unique: pa.Array
+    names: np.ndarray
     word: np.ndarray
     own: np.ndarray
     fresh: np.ndarray
@@ -113,7 +113,9 @@ def pieces(data: np.ndarray, offs: np.ndarray, most: int):
 
 
 def named(words: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
+    """A hash of each word."""
+    data, offs = shared.buffers(words)
+    return shared.range_hash(shared.prefix_hash(data), offs[:-1], offs[1:])
 
 
 def extended(run: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -121,6 +123,11 @@ def extended(run: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return shared.mix(run * np.uint64(0xA24BAED4963EE407) + symbol)
 
 
+def single(names: np.ndarray) -> np.ndarray:
+    """The runs of one symbol each."""
+    return extended(np.zeros(len(names), np.uint64), names)
+
+
 def symbols(part: np.ndarray, at: np.ndarray, goes_on: bool, continues: bool, order: int, carry: list[int]) -> Symbols:
     """The symbols of a piece; carry holds the last ones of a row that goes on, before and after."""
     part = shared.lower_ascii(part)
@@ -156,7 +163,7 @@ def symbols(part: np.ndarray, at: np.ndarray, goes_on: bool, continues: bool, or
             run = extended(run, symbol[k - j : len(symbol) - j])
         runs.append(np.where(place >= k, np.concatenate((np.zeros(len(symbol) - len(run), np.uint64), run)), np.uint64(0)))
     carry[:] = symbol[first[-2] :][-max(1, order - 1) :].tolist() if continues else []
-    return Symbols(unique, word, own, fresh, rows, first, place, runs)
+    return Symbols(unique, hashes, word, own, fresh, rows, first, place, runs)
 
 
 def part_of(runs: np.ndarray, parts: int) -> np.ndarray:
@@ -175,7 +182,7 @@ def counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
                 found = np.concatenate([r[s.fresh & (s.place >= k)] if k == 0 else r[s.own & (s.place >= k)] for k, r in enumerate(s.runs)])
                 runs, often = np.unique(found, return_counts=True)
                 times = np.bincount(s.word[s.own], minlength=len(s.unique))
-                name = extended(np.zeros(len(s.unique), np.uint64), named(s.unique))
+                name = single(s.names)
                 order_ = np.argsort(name)
                 order_ = order_[times[order_] > 0]
                 words = s.unique.take(pa.array(order_)).to_pylist()
@@ -282,6 +289,13 @@ class Shard:
         return out
 
 
+    def of(self, s: Symbols) -> np.ndarray:
+        """The levels of all runs of s, order x symbols; each different word is asked for once."""
+        first = self.levels(single(s.names))[s.word]
+        first[~s.own] = self.levels(s.runs[0][~s.own])
+        return np.stack([first, *(self.levels(r) for r in s.runs[1:])])
+
+
 def shard(parts: DataFrame, n_parts: int, shards: int, number: int) -> Shard:
     """One shard of the filter, which the driver holds until it is broadcast; at most SHARD_BYTES."""
     got = parts.where(F.col("part") % shards == number).select("part", "bits").toArrow()
@@ -312,12 +326,12 @@ class Corpus:
     def whole(self) -> float:
         return self.tokens + 0.5 * (self.distinct + 1)
 
-    def known(self, unique: pa.Array) -> np.ndarray:
+    def known(self, unique: pa.Array, names: np.ndarray) -> np.ndarray:
         """The counts of frequent words, -1 for others; a word found by its hash is compared."""
         out = np.full(len(unique), -1, np.int64)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h := named(unique)), len(self.hashes) - 1)
-            same = np.flatnonzero(self.hashes[at] == h)
+            at = np.minimum(np.searchsorted(self.hashes, names), len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[at] == names)
             equal = pa.compute.equal(self.words.take(pa.array(at[same])), unique.take(pa.array(same))).to_numpy(zero_copy_only=False)
             out[same[equal]] = self.counts[at[same[equal]]]
         return out
@@ -356,7 +370,7 @@ class _Sums:
         word, row = s.word[s.own], s.rows[s.own]
         n = len(s.first) - 1
         here = slice(lo, lo + n)
-        count = known.known(s.unique)[word]
+        count = known.known(s.unique, s.names)[word]
         often = count >= 0
         self.tokens[here] += np.bincount(row, minlength=n)
         self.score[here] += np.bincount(row, np.log10(probabilities(s, level, known)), n)
@@ -389,7 +403,7 @@ def passed(docs: DataFrame, order: int, known, filter_shard, last: bool) -> Data
             old, new, sums = batch.column(3).to_pylist(), [b""] * n, _Sums(n)
             for lo, part, at, goes_on, continues in pieces(*shared.buffers(batch.column(2)), PIECE_BYTES):
                 s = symbols(part, at, goes_on, continues, order, carry)
-                level = np.stack([filter_shard.value.levels(r) for r in s.runs])
+                level = filter_shard.value.of(s)
                 for i in range(len(at) - 1):
                     here = slice(s.first[i], s.first[i + 1])
                     size = order * (here.stop - here.start)
