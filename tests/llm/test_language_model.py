@@ -115,7 +115,7 @@ def test_levels_are_never_too_low_and_rarely_too_high():
     counts = rng.geometric(0.4, len(runs)) ** 3
     own = lm.filled(runs, counts)
     assert len(own) * 64 <= lm.BITS * lm.quantised(counts).sum() + 64
-    one = lm.Shard(1, 1, 0, np.zeros(1, np.int64), np.array([len(own)], np.uint64), own)
+    one = lm.Shard(1, 1, 0, np.zeros(1, np.int64), np.array([len(own)], np.uint64), own.tobytes())
     level = lm.quantised(counts)
     got = one.levels(runs)
     assert (got >= level).all() and (got > level).mean() < 0.04

@@ -260,18 +260,25 @@ def vocabulary(parts: DataFrame) -> DataFrame:
 
 @dataclass
 class Shard:
-    """The filter's parts whose number divided by `shards` leaves `number`: `words` of bits, and where each part's begin."""
+    """The filter's parts whose number divided by `shards` leaves `number`: words of bits, and where each part's begin.
+
+    The bits are bytes, which a worker reads in one piece; an array would be read and then copied.
+    """
 
     parts: int
     shards: int
     number: int
     base: np.ndarray
     size: np.ndarray
-    words: np.ndarray
+    bits: bytes
+
+    @property
+    def words(self) -> np.ndarray:
+        return np.frombuffer(self.bits, np.uint64)
 
     def levels(self, runs: np.ndarray) -> np.ndarray:
         """The quantised count of each run; 0 where it is unknown, or another shard's."""
-        out = np.zeros(len(runs), np.uint8)
+        out, words = np.zeros(len(runs), np.uint8), self.words
         for lo in range(0, len(runs), _CHUNK):
             own = runs[lo : lo + _CHUNK]
             part = part_of(own, self.parts)
@@ -283,7 +290,7 @@ class Shard:
                 if not len(use):
                     break
                 at, bits = cells(asked, level, base, size)
-                hit = np.flatnonzero(self.words[at] & bits == bits)
+                hit = np.flatnonzero(words[at] & bits == bits)
                 use, base, size, asked = use[hit], base[hit], size[hit], asked[hit]
                 out[lo + use] = level
         return out
@@ -304,7 +311,7 @@ def shard(parts: DataFrame, n_parts: int, shards: int, number: int) -> Shard:
     base = np.zeros(len(size), np.int64)
     data, offs = shared.buffers(got.column("bits").cast(pa.large_binary()))
     base[slot], size[slot] = offs[:-1] // 8, np.diff(offs) // 8
-    return Shard(n_parts, shards, number, base, size.astype(np.uint64), data.view(np.uint64))
+    return Shard(n_parts, shards, number, base, size.astype(np.uint64), data.tobytes())
 
 
 @dataclass(frozen=True)
