@@ -39,7 +39,7 @@ def filtered(node):
 
 
 @pytest.mark.parametrize("node", [ONE, CHAIN, STAR, TRIANGLE, SELF], ids=["one", "chain", "star", "triangle", "self"])
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_change_equals_difference_of_whole_runs(spark, node, seed):
     rnd = random.Random(seed)
     people = [(u, rnd.randrange(3)) for u in range(1, 13)]

@@ -35,7 +35,7 @@ SELF = Node("Person", "a").to("knows", Node("Person", "a")).to("knows", Node("Pe
 
 
 @pytest.mark.parametrize("node", [TRIANGLE, DIAMOND, SQUARE_WITH_TAIL, SELF])
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_random_graphs(spark, monkeypatch, node, seed):
     monkeypatch.setattr(multiway.bound, "__defaults__", (3,))
     rnd = random.Random(seed)
