@@ -57,6 +57,30 @@ def test_batches_count_once_also_when_compacted(spark, tmp_path):
         store.commit("../x", rows)
 
 
+def test_markers_are_folded_and_names_stay_taken(spark, tmp_path, monkeypatch):
+    """After compact and clean there are few files, the driver opens no folded marker, and a batch still counts once."""
+    rows = t.counted(frame(spark, documents()))
+    store = t.Rollup(spark, str(tmp_path / "r"))
+    names = [f"_b-{i}" for i in range(6)]
+    assert all(store.commit(n, t.inserts(rows, "words-1")) for n in names)
+    one = totals(store)
+    assert store.compact() and store.commit("later", t.deletes(rows, "words-1"))
+    store.clean()
+    files = lambda kind: sorted(p.name for p in (tmp_path / "r" / kind).iterdir() if not p.name.startswith("."))
+    assert files("commits") == ["batch-later"] and files("sums") == ["1"] and len(files("data")) == 2 and len(files("names")) == 1
+    opened, marker = [], t.Rollup._marker
+    monkeypatch.setattr(t.Rollup, "_marker", lambda self, name: opened.append(name) or marker(self, name))
+    left = totals(store)
+    assert opened == ["sums/1"]
+    assert left == {k: (n - n // 6, x - x // 6) for k, (n, x) in one.items()}
+    again = t.Rollup(spark, str(tmp_path / "r"))
+    assert not any(again.commit(n, t.inserts(rows, "words-1")) for n in [*names, "later"])
+    assert again.compact()
+    again.clean()
+    assert totals(again) == left and files("commits") == [] and files("sums") == ["2"]
+    assert not any(store.commit(n, t.inserts(rows, "words-1")) for n in [*names, "later"])
+
+
 def test_two_writers_of_one_batch(spark, tmp_path, monkeypatch):
     rows = t.counted(frame(spark, documents()))
     a, b = (t.Rollup(spark, str(tmp_path / "r")) for _ in range(2))

@@ -114,6 +114,32 @@ def test_token_files(spark, tmp_path):
     assert sorted(map(tuple, found), key=lambda r: r[1]) == want
 
 
+def test_an_id_on_a_third_of_all_rows_is_dealt_out(spark, tmp_path):
+    """Rows of one id, and rows without one, go to several tasks by their texts, and are in order all the same."""
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choice(["ein", "größer", "text", "日本", "b"]) for _ in range(12)) for _ in range(600)]
+    rows = [((7, None, i)[i % 3], x, "en", "s", 1) for i, x in enumerate(texts)]
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        token_files.write_token_files(frame(spark, rows), str(tmp_path / "t"), PATH, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [token_files.Reader(p.read_bytes()) for p in (tmp_path / "t").glob("part-*") if p.stat().st_size]
+    for doc_id in (7, None):
+        held = [sum(d == doc_id for d, _, _ in f.documents()) for f in files]
+        assert sum(held) == 200 and max(held) <= 75
+    start, want = 0, []
+    for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
+        x = [*ids(text), 2]
+        want.append((doc_id, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    assert sorted(map(tuple, token_files.digests(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1]) == want
+
+
 def test_pick_reads_the_documents_asked_for(spark, tmp_path):
     rows = documents()
     token_files.write_token_files(frame(spark, rows), str(tmp_path / "t"), PATH, 2)

@@ -9,7 +9,8 @@ Spark's own writers commit the files, so the output folder can be in any store t
 of the text writer, whose line separator is the format's closing magic number.
 
 Rows are in ascending doc_id order within and across files, null ids first; rows with the same id follow in order of
-their text. A null text is empty and has the end id alone. Other columns are not read.
+their text. An id that many rows have is dealt out by the first letters of their texts, so that it fills many files'
+tasks; only rows alike in both stay in one. A null text is empty and has the end id alone. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CHECKSUM_FLAG = 0x80
 
 FRAME_BYTES = 256 << 10
 FILE_BYTES = 8 << 20
+#: Letters of a text that ranges of rows are told apart by: whole texts would be sampled to the driver.
+RANGE_LETTERS = 256
 _INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 _HEADER = struct.Struct("<II")
 
@@ -109,7 +112,7 @@ class Reader:
 
 
 def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> None:
-    """Encode every row and write the files below `out`: one shuffle, by ranges of doc_id."""
+    """Encode every row and write the files below `out`: one shuffle, by ranges of doc_id and of the texts' beginnings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, part, number = codec(tokenizer), struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
@@ -131,7 +134,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id
 
     shared.arrow_sized(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shared.text_or_empty(text_col).alias("text"))
-    images = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "image binary")
+    images = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_LETTERS)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "image binary")
     images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<I", SEEKABLE_MAGIC).decode("latin-1")).option("compression", "none").text(out)
 
 

@@ -10,8 +10,10 @@ and holding the folder's name, is created, which fails where there is one. A bat
 whole, and readers read only folders that markers name. So a batch that is sent again, or by two writers at once, or
 after a driver was lost at any step, counts once. A marker that its writer did not finish is none.
 
-compact() writes the sum of the batches there are, and then a numbered marker that names it and the batches it stands
-for: one file turns old to new. Those batches' names stay taken. Of two that compact at once one gets the number.
+compact() writes the sum of the batches there are, a table of their names, and then a numbered marker that names both:
+one file turns old to new. Those batches' names stay taken. Of two that compact at once one gets the number. Markers are
+read by tasks; the driver gets the folders of the batches since the last sum alone, so it is compaction, not the store's
+age, that bounds them. clean() deletes the markers that a sum stands for: the table of names keeps their batches taken.
 
 Versions are counted in two ways: words-1 and bytes4-1 by expressions that SQL has too, byte_bpe_50k by the tokenizer
 itself, in one pass over the texts in Python workers that return only the counts. byte_bpe_50k is what to use; the
@@ -38,6 +40,7 @@ from weftgraph.llm.mixing import size_of
 
 GROUP = ["source", "lang", "tokenizer"]
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_NAMES = "batch string"
 
 #: Tokenizer versions that SQL can count: words of the contracts, and four bytes to a token.
 VERSIONS = {"words-1": size_of, "bytes4-1": lambda text: F.expr(f"(coalesce(octet_length({text}), 0) + 3) div 4").cast("long")}
@@ -103,7 +106,7 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for folder in ("commits", "sums", "data"):
+        for folder in ("commits", "sums", "data", "names"):
             self._fs.mkdirs(self._path(folder))
 
     def _path(self, name: str):
@@ -140,34 +143,47 @@ class Rollup:
             file.close()
         return json.loads(text) if text.endswith("\n") else None
 
-    def _markers(self, folder: str) -> dict[str, dict]:
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
-        found = {n: self._marker(f"{folder}/{n}") for n in names if not n.endswith(".crc")}
-        return {n: m for n, m in found.items() if m is not None}
+    def _last(self) -> tuple[int, dict | None]:
+        """The number of sums so far, and what the last whole one's marker says."""
+        numbers = sorted((int(s.getPath().getName()) for s in self._fs.listStatus(self._path("sums")) if s.getPath().getName().isdigit()), reverse=True)
+        found = ((n, self._marker(f"sums/{n}")) for n in numbers)
+        return next(((n, m) for n, m in found if m is not None), (0, None))
+
+    def _commits(self) -> DataFrame:
+        """(batch, folder) of all whole markers, read by tasks."""
+        raw = self.spark.read.option("ignoreMissingFiles", True).text(f"{self.path}/commits", wholetext=True)
+        return raw.where(F.col("value").endswith("\n")).select(F.from_json("value", "batch string, folder string").alias("m")).select("m.*")
+
+    def _names(self, last: dict | None) -> DataFrame:
+        """(batch) of the batches that the last sum stands for, in order of name."""
+        return self.spark.read.schema(_NAMES).parquet(f"{self.path}/{last['names']}") if last else self.spark.createDataFrame([], _NAMES)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False if one of its name is there already."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a batch's name is letters, digits, - and _")
-        marker = f"commits/{batch}"
-        if self._marker(marker) is not None:
+        marker = f"commits/batch-{batch}"
+        if self._marker(marker) is not None or not self._names(self._last()[1]).where(F.col("batch") == batch).isEmpty():
             return False
         folder = self._written(changes)
-        done = self._marked(marker, {"folder": folder})
+        done = self._marked(marker, {"batch": batch, "folder": folder})
         if not done:
             self._fs.delete(self._path(folder), True)
         return done
 
-    def _live(self) -> tuple[list[str], list[str], int]:
-        """Folders that count, names of the batches they hold, and the number of sums so far."""
-        sums, batches = self._markers("sums"), self._markers("commits")
-        last = sums[max(sums, key=int)] if sums else {"folder": None, "holds": []}
-        new = [b for b in batches if b not in set(last["holds"])]
-        return [f for f in (last["folder"], *(batches[b]["folder"] for b in new)) if f], [*last["holds"], *new], max(map(int, sums), default=0)
+    def _live(self) -> tuple[int, dict | None, list[tuple[str, str]]]:
+        """The number of sums so far, the last one, and (batch, folder) of the batches since."""
+        number, last = self._last()
+        new = self._commits().join(self._names(last), "batch", "left_anti").select("batch", "folder").collect()
+        return number, last, sorted(map(tuple, new))
+
+    @staticmethod
+    def _folders(last: dict | None, new: list[tuple[str, str]]) -> list[str]:
+        return [*([last["folder"]] if last else []), *(f for _, f in new)]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        return self._sum(self._live()[0])
+        return self._sum(self._folders(*self._live()[1:]))
 
     def _sum(self, folders: list[str]) -> DataFrame:
         paths = [f"{self.path}/{f}" for f in folders]
@@ -176,19 +192,29 @@ class Rollup:
 
     def compact(self) -> bool:
         """Let one sum stand for all batches there are; False if another writer did so meanwhile."""
-        folders, holds, number = self._live()
-        folder = self._written(self._sum(folders))
-        done = self._marked(f"sums/{number + 1}", {"folder": folder, "holds": holds})
+        number, last, new = self._live()
+        folder, names = self._written(self._sum(self._folders(last, new))), f"names/{uuid.uuid4().hex}"
+        held = self._names(last).unionByName(self.spark.createDataFrame([(b,) for b, _ in new], _NAMES))
+        held.repartitionByRange("batch").sortWithinPartitions("batch").write.parquet(f"{self.path}/{names}")
+        done = self._marked(f"sums/{number + 1}", {"folder": folder, "names": names})
         if not done:
-            self._fs.delete(self._path(folder), True)
+            for f in (folder, names):
+                self._fs.delete(self._path(f), True)
         return done
 
     def clean(self) -> None:
-        """Delete folders that do not count, in a store that nobody else reads or writes meanwhile."""
-        live = set(self._live()[0])
-        for s in self._fs.listStatus(self._path("data")):
-            if f"data/{s.getPath().getName()}" not in live:
-                self._fs.delete(s.getPath(), True)
+        """Delete what does not count, in a store that nobody else reads or writes meanwhile: folders, and markers that a sum stands for."""
+        number, last, new = self._live()
+        for row in self._commits().join(self._names(last), "batch", "left_semi").select("batch").toLocalIterator():
+            self._fs.delete(self._path(f"commits/batch-{row.batch}"), False)
+        live = {*self._folders(last, new), *([last["names"]] if last else [])}
+        for kind in ("data", "names"):
+            for s in self._fs.listStatus(self._path(kind)):
+                if f"{kind}/{s.getPath().getName()}" not in live:
+                    self._fs.delete(s.getPath(), True)
+        for s in self._fs.listStatus(self._path("sums")):
+            if s.getPath().getName().isdigit() and int(s.getPath().getName()) < number:
+                self._fs.delete(s.getPath(), False)
 
 
 def _marked(rows: DataFrame, labels: DataFrame) -> DataFrame:
