@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import SCHEMA, clashing, documents, frame
 from pyspark.sql import functions as F
@@ -125,3 +127,16 @@ def test_without_repeats_keeps_columns(spark):
 def test_empty(spark):
     assert s.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     assert s.dedup(frame(spark, [(1, None, None, None, None)])).first()[1:4] == (0, 0, 0)
+
+
+def test_workers_hold_little(monkeypatch):
+    """Anchors of a large batch are found in bounded pieces; what stays in a worker is as long as a piece."""
+    monkeypatch.setattr(s.shared, "_POWERS", {})
+    rnd = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays([pa.array([rnd.integers(97, 123, 2000, np.uint8).tobytes().decode() for _ in range(2000)])], names=["text"])
+    tracemalloc.start()
+    for _ in s._anchors_of(batch, 0):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and sum(x.nbytes for x in s.shared._POWERS.values()) < 8 << 20, peak

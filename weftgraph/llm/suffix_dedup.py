@@ -44,7 +44,7 @@ BLOCK = 256
 #: The bits of the hashes that are used; tests use few, so that hashes collide.
 KEY_BITS = CONTEXT_BITS = -1
 _WINDOW = LENGTH - GRAM + 1
-_SEGMENT = 1 << 19
+_SEGMENT = 1 << 18
 _POS_BITS = 20
 _FIRST = -(1 << 63)
 _SPANS = "doc long, tie long, start long, stop long"
