@@ -41,6 +41,33 @@ def test_split_at_spaces_is_the_library(text):
     assert np.frombuffer(CODEC.encode([text])[0], "<u4").tolist() == ids(text)
 
 
+def test_parts_seen_before_are_not_asked_again(monkeypatch):
+    """Nor are a text's first part, parts of more than 24 letters, and parts that come in other texts."""
+    own = bpe.Codec(PATH)
+    texts = ["Größe foo\nfoo the\tfoo 's", "foo Größe", "", " \x00 \x00\x00", "donaudampfschifffahrtsgesellschaft 日本 Größe"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+    asked = []
+    plain = own.plain
+    monkeypatch.setattr(own, "plain", lambda some: asked.extend(some) or plain(some))
+    more = ["Größe 日本\nfoo the\tfoo", texts[4], *texts[:3]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(more)] == [ids(t) for t in more]
+    assert asked == []
+
+
+@pytest.mark.parametrize("kept", [40, 1 << 20])
+@pytest.mark.parametrize("most", [3, 1 << 15])
+def test_parts_that_fall_on_one_row_or_are_forgotten(monkeypatch, kept, most):
+    monkeypatch.setattr(bpe, "_SLOT_BITS", 2)
+    monkeypatch.setattr(bpe, "_KEPT_IDS", kept)
+    monkeypatch.setattr(bpe, "_MOST_PARTS", most)
+    own, rnd = bpe.Codec(PATH), random.Random(5)
+    words = ["", "a", "ab", "'s", "\x00", "\x00\x00", "größer", "x" * 14, "x" * 15, "x" * 16, "日本語日本語日本語", "y" * 60, "a\tb", "<|endoftext|>", "1234567", "12345678", "123456789"]
+    for _ in range(40):
+        texts = ["".join(rnd.choice([" ", "\n"]) + rnd.choice(words) for _ in range(rnd.randrange(9)))[rnd.randrange(2) :] for _ in range(7)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [ids(t) for t in texts]
+    assert len(own._ids) <= 4 * kept + 1000
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXTS, TEXTS)
 def test_join_is_the_library(a, b):

@@ -17,7 +17,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,16 @@ from weftgraph.llm import shared
 
 LEAF_CHARS = 16_384
 GUARD = 4
-_CACHED_WORDS = 400_000
-_CACHED_CHARS = 24
+#: Parts of up to so many bytes are kept in arrays, by their bytes; up to _CACHED_BYTES in a dict; longer ones not at all.
+_KEY_BYTES = 15
+_CACHED_BYTES = 48
+_SLOT_BITS = 20
+#: All kept parts are forgotten once they have more ids or the dict more parts than this.
+_KEPT_IDS = 4_000_000
+_KEPT_LONG = 200_000
+_MOST_PARTS = 1 << 15
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(_KEY_BYTES + 1)], np.uint64)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(_KEY_BYTES + 1)], np.uint64)
 #: White space next to more of it, or at the end, may share a token with it; texts without any split safely.
 _SHARED_SPACE = re.compile(r"\s(?:\s|\Z)")
 _TOGETHER = 100
@@ -39,7 +46,10 @@ class Codec:
     """The tokenizers library on one vocabulary, with a bounded cache of the parts that texts split into.
 
     Between characters other than white space, a space begins a new word of the pre-tokenizer and a line feed is one
-    of its own, so a text splits before each and every part has its own ids. A part is kept without its space.
+    of its own, so a text splits before each and every part has its own ids.
+
+    A short part's bytes and length are two whole numbers, which the rows of a table are compared with, all parts of
+    a piece at once. A row is found by a hash and holds the last part that fell on it.
     """
 
     def __init__(self, path: str):
@@ -50,7 +60,10 @@ class Codec:
         self.library.no_truncation()
         self.library.no_padding()
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._words: dict[str, bytes] = {}
+        #: Rows of (first bytes, other bytes and length, place); a place is a start in _ids and a number of ids.
+        self._table = np.zeros((1 << _SLOT_BITS, 3), np.uint64)
+        self._long: dict[bytes, int] = {}
+        self._ids, self._used = np.zeros(_KEPT_IDS, np.uint32), 0
         vocab = self.library.get_vocab(with_added_tokens=True)
         #: Whether a token begins with a space or a line feed.
         self._starts = np.zeros(max(vocab.values()) + 1, bool)
@@ -63,36 +76,90 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        parts = [None if _SHARED_SPACE.search(t) or any(s in t for s in self._special) else t.replace("\n", " \n").split(" ") for t in texts]
-        if len(self._words) > _CACHED_WORDS:
-            self._words.clear()
-        words = self._words
-        flat = list(chain.from_iterable(p[1:] for p in parts if p))
-        found = list(map(words.get, flat))
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = dict.fromkeys(flat[i] for i in missing)
-        new = dict(zip(new, self._led_parts(list(new))))
-        for i in missing:
-            found[i] = new[flat[i]]
-        words.update((w, ids) for w, ids in new.items() if len(w) <= _CACHED_CHARS)
-        first = self.plain([p[0] if p else t for p, t in zip(parts, texts)])
-        out, at = [], 0
-        for f, p in zip(first, parts):
-            n = len(p) - 1 if p else 0
-            out.append(b"".join([np.array(f, "<u4").tobytes(), *found[at : at + n]]))
-            at += n
+        data, offs = shared.buffers(pa.array(texts, pa.string()))
+        whole = [i for i, t in enumerate(texts) if _SHARED_SPACE.search(t) or any(s in t for s in self._special)]
+        cut = (data == 0x20) | (data == 0x0A)
+        for i in whole:
+            cut[offs[i] : offs[i + 1]] = False
+        cuts = np.flatnonzero(cut)
+        before = np.searchsorted(cuts, offs[:-1])
+        begin = np.insert(cuts, before, offs[:-1])
+        end = np.append(begin[1:], offs[-1])
+        first = before + np.arange(len(texts))
+        end[first[whole]] = begin[first[whole]]
+        raw, padded = data.tobytes(), np.append(data, np.zeros(16, np.uint8))
+        found = [self._parts(raw, padded, begin[lo : lo + _MOST_PARTS], end[lo : lo + _MOST_PARTS]) for lo in range(0, len(begin), _MOST_PARTS)]
+        packed = b"".join([ids.tobytes() for ids, _ in found])
+        at = 4 * np.concatenate([[0], *[n for _, n in found]]).cumsum()[np.append(first, len(begin))]
+        out = [packed[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        for i, ids in zip(whole, self.plain([texts[i] for i in whole])):
+            out[i] = np.array(ids, "<u4").tobytes()
         return out
 
-    def _led_parts(self, parts: list[str]) -> list[bytes]:
-        """Packed ids of each part: joined texts, cut before each token that begins with a space or a line feed."""
-        led = [p if p[:1] == "\n" else " " + p for p in parts]
-        ids = [np.array(x, "<u4") for x in self.plain(["".join(led[i : i + _TOGETHER]) for i in range(0, len(led), _TOGETHER)])]
-        if not ids:
-            return []
+    def _parts(self, raw: bytes, padded: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts raw[begin:end], one after the other, and how many each part has."""
+        if self._used > _KEPT_IDS or len(self._long) > _KEPT_LONG:
+            self._table[:], self._used = 0, 0
+            self._long.clear()
+        size = end - begin
+        short = size <= _KEY_BYTES
+        clipped = np.minimum(size, _KEY_BYTES)
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        low = eight[begin].view("<u8")[:, 0] & _LOW[clipped]
+        high = (eight[begin + 8].view("<u8")[:, 0] & _HIGH[clipped]) | (clipped.astype(np.uint64) << np.uint64(56))
+        slot = ((low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)) ^ (low >> np.uint64(29))
+        slot = ((slot ^ (slot >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        rows = self._table.take(slot, axis=0)
+        # An empty part is like a row never filled: no ids.
+        is_known = (rows[:, 0] == low) & (rows[:, 1] == high) & short
+        place = rows[:, 2].astype(np.int64)
+        place[size == 0] = 0
+        missing = np.flatnonzero(~is_known & (size > 0))
+        kept = self._used
+        if len(missing):
+            parts = [raw[a:b] for a, b in zip(begin[missing].tolist(), end[missing].tolist())]
+            places = dict.fromkeys(parts)
+            new = [p for p in places if p not in self._long]
+            places.update((p, self._long[p]) for p in places if p in self._long)
+            places.update(self._added([p for p in new if len(p) <= _CACHED_BYTES]))
+            kept = self._used
+            places.update(self._added([p for p in new if len(p) > _CACHED_BYTES]))
+            self._long.update((p, places[p]) for p in new if _KEY_BYTES < len(p) <= _CACHED_BYTES)
+            place[missing] = list(map(places.__getitem__, parts))
+            missing = missing[short[missing]]
+            missing = missing[np.unique(slot[missing], return_index=True)[1]]
+            self._table[slot[missing]] = np.stack((low[missing], high[missing], place[missing].astype(np.uint64)), 1)
+        count = place & 0xFFFFFFFF
+        ends = np.cumsum(count)
+        at = np.repeat((place >> 32) - (ends - count), count)
+        at += np.arange(len(at))
+        ids = self._ids.take(at)
+        self._used = kept
+        if len(self._ids) > 4 * _KEPT_IDS:
+            self._ids = self._ids[: max(kept, _KEPT_IDS)].copy()
+        return ids, count
+
+    def _added(self, parts: list[bytes]) -> Iterator[tuple[bytes, int]]:
+        """Encode parts and put their ids behind those used: (part, place)."""
+        if not parts:
+            return iter(())
+        led = [p for p in parts if p[:1] in b" \n"]
+        own = [p for p in parts if p[:1] not in b" \n"]
+        # Joined texts, cut before each token that begins with a space or a line feed.
+        texts = [b"".join(led[i : i + _TOGETHER]).decode() for i in range(0, len(led), _TOGETHER)] + [p.decode() for p in own]
+        ids = [np.array(x, np.uint32) for x in self.plain(texts)]
         flat = np.concatenate(ids)
-        cuts = np.flatnonzero(self._starts[flat]).tolist()
-        packed = flat.tobytes()
-        return [packed[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(flat)])]
+        cut = self._starts[flat]
+        cut[np.cumsum([0, *map(len, ids[:-1])])] = True
+        begin = np.flatnonzero(cut)
+        if len(begin) != len(parts):
+            raise ValueError("the vocabulary joins what the pre-tokenizer parts")
+        if self._used + len(flat) > len(self._ids):
+            self._ids = np.concatenate((self._ids[: self._used], np.zeros(len(flat) + _KEPT_IDS // 8, np.uint32)))
+        self._ids[self._used : self._used + len(flat)] = flat
+        place = (begin + self._used << 32) + np.diff(begin, append=len(flat))
+        self._used += len(flat)
+        return zip(led + own, place.tolist())
 
     def decode(self, rows: list[bytes]) -> list[str]:
         return self.library.decode_batch([np.frombuffer(r, "<u4").tolist() for r in rows], skip_special_tokens=False)
