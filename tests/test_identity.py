@@ -45,6 +45,13 @@ def test_entities_that_share_a_uid_are_quarantined(spark, monkeypatch):
     assert good.count() + bad.count() == nodes(spark).count()
 
 
+def test_keys_of_many_types_are_one_expression_worked_out_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(identity._keyed(nodes(spark), endpoint_schema()).where("reason is null")).count("md5(") == 1
+    good, _ = identity.identify_nodes(nodes(spark), endpoint_schema())
+    assert "md5(" not in plan(good)
+
+
 def canonical(rows):
     """Sessions of (t, created) by the rule over all rows in order of (bucket, creation first)."""
     out, number, last = {}, 0, None

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import generators
-from weftgraph.sources import sysmon
+from weftgraph.sources import fixture, sysmon
 
 #: The host, ids and times of a published event.
 GOLDEN = r"""<Event xmlns="http://schemas.microsoft.com/win/2004/08/events/event"><System>
@@ -150,3 +150,9 @@ def test_nodes_of_one_key_are_one(spark):
 def test_no_edge_to_itself(spark):
     df = spark.createDataFrame([("t", 1, [("a", "e", "a"), ("a", "e", "b")])], "tenant_id string, event_id long, edges array<struct<src_key:string,edge:string,dst_key:string>>")
     assert [(r.src_key, r.dst_key) for r in generators.edges_of(df).collect()] == [("a", "b")]
+
+
+def test_generators_work_out_the_header_fields_that_they_read(spark, sf):
+    logs = fixture.sysmon_logs(fixture.table(spark, sf, "events"), 1)
+    plan = generators.process_create(sysmon.parse(logs, header=generators.HEADER))._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan
