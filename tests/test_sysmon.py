@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import generators
+from weftgraph.plans import catalog_events
 from weftgraph.sources import fixture, sysmon
 
 #: The host, ids and times of a published event.
@@ -156,3 +157,8 @@ def test_generators_work_out_the_header_fields_that_they_read(spark, sf):
     logs = fixture.sysmon_logs(fixture.table(spark, sf, "events"), 1)
     plan = generators.process_create(sysmon.parse(logs, header=generators.HEADER))._jdf.queryExecution().optimizedPlan().toString()
     assert "conv(" not in plan
+
+
+def test_payloads_of_two_events_need_no_join(spark, sf):
+    plan = catalog_events.x_first_event(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -250,8 +250,8 @@ def x_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of a comment that holds an event, an event, and another one: the first true one counts."""
     events = spread(fixture.table(spark, sf_dir, "events"))
-    one, other = (fixture.sysmon_logs(events, k) for k in (1, 5))
-    both = one.join(other.select("event_id", F.col("log_event").alias("after")), "event_id")
+    # Both are made of one row: a join would send every payload around, or broadcast them all.
+    both = events.select(F.lit(fixture.TENANT).alias("tenant_id"), "event_id", *[fixture.sysmon_text(k).alias(n) for k, n in ((1, "log_event"), (5, "after"))])
     text = F.concat(F.lit("<!-- <Event><System/></Event> -->\n"), F.regexp_replace("log_event", "<Event>", "<Event xmlns=\"http://schemas.microsoft.com/win/2004/08/events/event\">"), F.lit("\n<!--\n-->"), F.col("after"))
     return sysmon.parse(both.withColumn("log_event", text)).select("event_id", "event_name", "system.computer", F.col("data")["CommandLine"].alias("command_line"))
 

@@ -121,6 +121,11 @@ def sysmon_logs(events: DataFrame, event_id: int | Column, image: Column | None
 
     image, parent: names of the process and its parent.
     """
+    return events.select(F.lit(TENANT).alias("tenant_id"), "event_id", sysmon_text(event_id, image, parent, whole_header).alias("log_event"))
+
+
+def sysmon_text(event_id: int | Column, image: Column | None = None, parent: Column | None = None, whole_header: bool = False) -> Column:
+    """The payload of an event, as sysmon_logs has it."""
     time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
     kind = F.lit(event_id) if isinstance(event_id, int) else event_id
     host = F.concat(F.lit("HOST-"), F.col("user_id") % 7)
@@ -147,7 +152,7 @@ def sysmon_logs(events: DataFrame, event_id: int | Column, image: Column | None
         rest = [F.lit("<Version>5</Version><Level>4</Level><Task>1</Task><Opcode>0</Opcode><TimeCreated SystemTime=\""), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("\"/><EventRecordID>"), F.col("event_id"), F.lit("</EventRecordID><Correlation ActivityID=\"a-"), F.col("event_id"), F.lit("\"/><Execution ProcessID=\""), F.col("user_id"), F.lit("\" ThreadID=\""), F.col("event_id") % 97]
         rest.append(F.lit("\"/><Channel>Microsoft-Windows-Sysmon/Operational</Channel><Security UserID=\"S-1-5-18\"/>"))
     system = F.concat(F.lit('<System><Provider Name="Sysmon" Guid="{5770385F-C22A-43E0-BF4C-06F5698FFBD9}"/><EventID>'), kind.cast("string"), F.lit("</EventID><Keywords>0x8000000000000000</Keywords>"), *rest, F.lit("<Computer>"), host, F.lit("</Computer></System>"))
-    return events.select(F.lit(TENANT).alias("tenant_id"), "event_id", F.concat(F.lit("<Event>"), system, F.lit("<EventData>"), data, F.lit("</EventData></Event>")).alias("log_event"))
+    return F.concat(F.lit("<Event>"), system, F.lit("<EventData>"), data, F.lit("</EventData></Event>"))
 
 
 def osquery_logs(events: DataFrame, pack: str) -> DataFrame:
