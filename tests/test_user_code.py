@@ -1,7 +1,10 @@
 """Users' functions: what they build, and what becomes of what they raise."""
 
+from compare import assert_same, duck
+
 from weftgraph.operators import generators, user_code
 from weftgraph.operators.graph import Graph
+from weftgraph.plans import catalog
 from weftgraph.plans.pattern import Node
 
 
@@ -51,3 +54,12 @@ def test_matches_are_judged_one_by_one(spark):
     assert rows[2, 3][2].startswith("ZeroDivisionError: ")
     plain = user_code.judged(user_code.UserAnalyzer("v", query, lambda m: len(m)), seen, g)
     assert [(r.analyzer, r.score, r.context) for r in plain.where("a = 2").collect()] == [("v", 2, {})]
+
+
+def test_of_writes_by_one_event_the_first_in_the_file_counts(spark, sf, tmp_path):
+    con = duck(sf)
+    con.execute(f"COPY (SELECT * FROM part WHERE p_partkey < 4) TO '{tmp_path}/part.parquet'")
+    # Part 1 has two lines of one event, O first; part 2's first event has no status, part 3's lines have no event.
+    rows = "(7, 1, 1, 'O'), (7, 1, 1, 'F'), (1, 2, 1, NULL), (2, 2, 1, 'F'), (NULL, 3, 1, 'O')"
+    con.execute(f"COPY (SELECT l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, l_linenumber::INTEGER AS l_linenumber, l_linestatus FROM (VALUES {rows}) v(l_orderkey, l_partkey, l_linenumber, l_linestatus)) TO '{tmp_path}/lineitem.parquet'")
+    assert assert_same(catalog.QUERIES["m_extended_types"](spark, str(tmp_path)), duck(str(tmp_path)), catalog.ORACLES["m_extended_types"]) == 24

@@ -69,11 +69,13 @@ def a_user_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _line_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item describes its part: its name, the line as a first mention, sizes that lines make smaller or larger."""
     line, part = (fixture.table(spark, sf_dir, n) for n in ("lineitem", "part"))
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    strings = F.create_map(F.lit("p_name"), F.col("p_name"), F.lit("status"), F.col("l_linestatus"), F.lit("unknown"), F.lit("x"))
+    # Lines of one number in an order are one event; the one that stands first in its file is the first.
+    rows = line.select("*", F.col("_metadata.row_index").alias("position")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    event = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    # A line without a number or an order has no place among the mentions.
+    strings = F.create_map(F.lit("p_name"), F.col("p_name"), F.lit("status"), F.when(event.isNotNull(), F.col("l_linestatus")), F.lit("unknown"), F.lit("x"))
     numbers = F.create_map(F.lit("least"), F.col("p_size") - F.col("l_linenumber"), F.lit("most"), F.col("p_size") + F.col("l_linenumber")).cast("map<string,bigint>")
-    event = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id")
-    return rows.select(F.lit("t0").alias("tenant_id"), event, fixture.uid("Part", "l_partkey").alias("uid"), F.lit("Part").alias("node_type"), strings.alias("strings"), numbers.alias("numbers"))
+    return rows.select(F.lit("t0").alias("tenant_id"), event.alias("event_id"), "position", fixture.uid("Part", "l_partkey").alias("uid"), F.lit("Part").alias("node_type"), strings.alias("strings"), numbers.alias("numbers"))
 
 
 #: One type in two pieces of schema text, and the same declared in Python.
