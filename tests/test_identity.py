@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import identity
+from weftgraph.operators import assemble, identity
 from weftgraph.schema import endpoint_schema
 from weftgraph.streaming import arrival
 from weftgraph.streaming.arrival import Sessions, Timeline, attributed
@@ -173,3 +173,12 @@ def test_stream_in_order_of_arrival(spark, tmp_path):
             want[i] = models.setdefault(key, Sessions()).place(t, created)
     got = {r.arrival: r.session_no for r in spark.read.parquet(str(out)).collect()}
     assert got == want
+
+
+def test_merged_properties_are_worked_out_once_for_all_types(spark):
+    good, _ = identity.identify_nodes(nodes(spark), endpoint_schema())
+    edges = spark.createDataFrame([], "tenant_id string, src long, edge string, dst long")
+    g = assemble.graph_of(good, edges, endpoint_schema(), "t")
+    assert g.nodes["Asset"].count() == 10
+    # A type without nodes is not written; its table reads what was merged.
+    assert "Generate" not in g.nodes["File"]._jdf.queryExecution().optimizedPlan().toString()
